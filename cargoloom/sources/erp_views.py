@@ -86,16 +86,17 @@ VIEWS: dict[str, str] = {
     "md_haulier": """
         SELECT * FROM (VALUES (1, 'Swift Haul', 'SWH'), (2, 'Stone Haul', 'STH')) AS t(haulierId, haulierName, haulierCode)""",
     "md_User": """
-        SELECT * FROM (VALUES (0, 'ann', 1, 1), (1, 'bob', 2, 1), (2, 'cid', 3, 1), (3, 'dee', 1, 1), (4, 'eve', 2, 0))
-            AS t(userId, userName, companyId, status)""",
+        SELECT DISTINCT user_id AS userId, concat('user', user_id) AS userName, CAST(1 + user_id % 3 AS INT) AS companyId,
+               CASE WHEN user_id % 6 = 4 THEN 0 ELSE 1 END AS status FROM {events}""",
     "md_Role": """
         SELECT * FROM (VALUES (1, 'planning'), (2, 'loading'), (3, 'sales')) AS t(roleId, roleName)""",
     "companyRole": """
         SELECT * FROM (VALUES (11, 1, 1), (12, 1, 2), (13, 1, 3), (21, 2, 1), (22, 2, 2), (23, 2, 3), (31, 3, 1), (32, 3, 2), (33, 3, 3))
             AS t(companyRoleId, companyId, roleId)""",
     "userRole": """
-        SELECT * FROM (VALUES (1, 0, 11), (2, 0, 13), (3, 1, 21), (4, 1, 22), (5, 2, 31), (6, 2, 33), (7, 3, 12), (8, 4, 21))
-            AS t(userRoleId, userId, userrolecompanyroleid)""",
+        SELECT DISTINCT user_id * 2 AS userRoleId, user_id AS userId, CAST(10 * (1 + user_id % 3) + 1 + user_id % 2 AS INT) AS userrolecompanyroleid FROM {events}
+        UNION ALL
+        SELECT DISTINCT user_id * 2 + 1, user_id, CAST(10 * (1 + user_id % 3) + 3 AS INT) FROM {events} WHERE user_id % 4 < 3""",
     "companyRoleFunction": """
         SELECT * FROM (VALUES (1, 11, 1018, 1, 1, 0), (2, 13, 1018, 0, 1, 0), (3, 21, 1018, 1, 0, 1), (4, 22, 1020, 1, 1, 1),
             (5, 31, 1018, 0, 0, 0), (6, 33, 1018, 0, 1, 1)) AS t(companyRoleFunctionId, companyRoleId, menuLevel2Id, functionAdd, functionEdit, functionDelete)""",
@@ -119,15 +120,16 @@ VIEWS: dict[str, str] = {
         SELECT * FROM (VALUES (1, 11, '9403.20', 'Metal goods'), (2, 12, '9403.60', 'Wood goods'), (3, 13, '9404.10', 'Supports'),
             (4, 15, '9405.10', 'Lamps')) AS t(htsId, prodCategoryId, htsCode, htsDesc)""",
     "md_CurrencyRate": """
-        SELECT * FROM (VALUES
-            (1, 1, DATE '1995-01-01', DATE '1997-12-31', 'SGD', 'USD', 1350000, 1),
-            (2, 1, DATE '1998-01-01', DATE '2002-12-31', 'SGD', 'USD', 1410000, 1),
-            (3, 2, DATE '1995-01-01', DATE '1999-12-31', 'MYR', 'USD', 3800000, 1),
-            (4, 2, DATE '1999-06-01', DATE '2002-12-31', 'MYR', 'USD', 3950000, 1),
-            (5, 3, DATE '1995-01-01', DATE '2002-12-31', 'SGD', 'USD', 1390000, 1),
-            (6, 1, DATE '1995-01-01', DATE '2002-12-31', 'SGD', 'MYR', 440000, 1),
-            (7, 1, DATE '1995-01-01', DATE '1996-12-31', 'SGD', 'EUR', 1500000, 0))
-            AS t(rateId, companyId, startDate, endDate, homeCurrency, foreignCurrency, foreignRate, status)""",
+        SELECT CAST(year(o_orderdate) * 10 + 1 + o_custkey % 3 AS INT) AS rateId, CAST(1 + o_custkey % 3 AS INT) AS companyId,
+               make_date(CAST(year(o_orderdate) AS INT), 1, 1) AS startDate,
+               make_date(CAST(year(o_orderdate) AS INT), CASE WHEN o_custkey % 3 = 2 AND year(o_orderdate) % 2 = 0 THEN 6 ELSE 12 END, 30) AS endDate,
+               CASE WHEN o_custkey % 3 = 1 THEN 'MYR' ELSE 'SGD' END AS homeCurrency, 'USD' AS foreignCurrency,
+               CAST(1300000 + count(*) % 97 * 1000 AS BIGINT) AS foreignRate, 1 AS status
+        FROM {orders} GROUP BY o_custkey % 3, year(o_orderdate)
+        UNION ALL
+        SELECT CAST(year(o_orderdate) * 10 + 5 AS INT), 1, make_date(CAST(year(o_orderdate) AS INT), 4, 1), make_date(CAST(year(o_orderdate) AS INT), 5, 31),
+               'SGD', 'USD', CAST(1400000 + count(*) % 89 * 1000 AS BIGINT), CASE WHEN year(o_orderdate) % 3 = 0 THEN 0 ELSE 1 END
+        FROM {orders} GROUP BY year(o_orderdate)""",
     "md_SequenceNumber": """
         SELECT * FROM (VALUES (1, 1, 'PO', 'P1-yy-xxxxx', 41, 99999), (2, 2, 'PO', 'P2-yy-xxxxx', 7, 99999), (3, 3, 'PO', 'P3yyxxxxx', 99990, 99999),
             (4, 1, 'WO', 'W1-yy-xxxxx', 1, 99999), (5, 2, 'WO', 'W2-yy-xxxxx', 1, 99999), (6, 3, 'WO', 'W3-yy-xxxxx', 500, 99999),
