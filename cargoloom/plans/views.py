@@ -22,7 +22,7 @@ def only(df: DataFrame, ids: DataFrame | None) -> DataFrame:
 def present(df: DataFrame, *names: str) -> DataFrame:
     """Select the named columns the table has, in this order."""
     have = {c.lower() for c in df.columns}
-    return df.select(*[n for n in names if n.lower() in have])
+    return df.select(*[F.col(n).alias(n) for n in names if n.lower() in have])
 
 
 def attribute(df: DataFrame, t: Tables, category: int, out: str, item: str = "invID") -> DataFrame:
@@ -180,7 +180,7 @@ def container_bookings(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     boxes = lookup(only(t.lrContainer, ids), t.md_Port, {"portId": "portId"}, portName="portName")
     boxes = code_name(boxes, t.md_MasterCategory, "containerTypeId", "containerType", "inner")
     boxes = code_name(boxes, t.md_MasterCategory, "forwarderId", "forwarder")
-    boxes = lookup(boxes, t.md_haulier, {"haulierId": "haulierId"}, _haulier="haulierName")
+    boxes = lookup(boxes, t.md_haulier, {"haulierId": "haulierId"}, _haulier="haulier")
     return boxes.withColumns({"containerNo": F.coalesce("containerNo", F.lit("")), "containerSealNo": F.coalesce("containerSealNo", F.lit("")),
                               "haulierId": F.coalesce("haulierId", F.lit(0)), "haulier": F.coalesce("_haulier", F.lit(""))}) \
         .transform(present, "lrContainerId", "lrHeaderId", "containerType", "containerSeq", "containerNo", "containerSealNo", "forwarderId",
@@ -218,7 +218,7 @@ def shipment_lines(t: Tables, ids: DataFrame | None = None) -> DataFrame:
 def shipment_freight(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     ships = code_name(only(t.shipmentHeader, ids), t.md_MasterCategory, "containerTypeId", "containerType", "inner")
     ships = code_name(ships, t.md_MasterCategory, "forwarderId", "forwarder")
-    ships = lookup(ships, t.md_haulier, {"haulierId": "haulierId"}, haulier="haulierName")
+    ships = lookup(ships, t.md_haulier, {"haulierId": "haulierId"}, haulier="haulier")
     ships = code_name(ships, t.md_MasterCategory, "vesselId", "vessel")
     return present(ships, "shipmentId", "shipId", "bol", "containerSeqNo", "containerNo", "containerSealNo", "containerMaxGross", "containerTare",
                    "containerTypeId", "containerType", "forwarderId", "forwarder", "haulierId", "haulier", "vessel", "ETD", "ETA",

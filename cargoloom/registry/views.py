@@ -79,7 +79,7 @@ LEFT JOIN md_Customer c ON c.customerId = h.customerId AND c.customerId <> 0 LEF
 register("container_bookings", lambda t: V.container_bookings(t), """
 SELECT b.lrContainerId, b.lrHeaderId, ct.categoryName AS containerType, b.containerSeq, b.containerNo, b.containerSealNo, b.forwarderId, f.categoryName AS forwarder,
        CAST(b.forwarderBookingDate AS VARCHAR) AS forwarderBookingDate, b.forwarderBookingNo, CAST(b.ETD AS VARCHAR) AS ETD, CAST(b.ETA AS VARCHAR) AS ETA,
-       b.haulierId, coalesce(h.haulierName, '') AS haulier, b.portId, p.portName
+       b.haulierId, coalesce(h.haulier, '') AS haulier, b.portId, p.portName
 FROM lrContainer b JOIN md_MasterCategory ct ON ct.categoryId = b.containerTypeId LEFT JOIN md_MasterCategory f ON f.categoryId = b.forwarderId
 LEFT JOIN md_haulier h ON h.haulierId = b.haulierId LEFT JOIN md_Port p ON p.portId = b.portId""")
 
@@ -89,7 +89,7 @@ FROM lrContainer b JOIN md_MasterCategory ct ON ct.categoryId = b.containerTypeI
 
 register("shipment_headers", lambda t: V.shipment_headers(t), """
 SELECT h.shipmentId, h.shipId, h.bol, c.customerName, CAST(h.shipmentDate AS VARCHAR) AS shipmentDate, st.categoryName AS shipStatus,
-       CAST(h.containerPullOutDate AS VARCHAR) AS checkoutDate, h.lrName, h.soName, h.customerPO, h.invoiceId, h.pickupAddrId, h.shipToId, h.pol, h.pod,
+       CAST(h.containerPullOutDate AS VARCHAR) AS checkoutDate, h.lrName, h.soName, h.customerPO, h.invoiceId, h.customerInvoiceNo, h.InvoiceAmount AS invoiceAmount, h.pickupAddrId, h.shipToId, h.pol, h.pod,
        h.paymentTermId, pt.categoryName AS paymentTerm, h.note, h.apiStatus, CAST(h.invoiceDate AS VARCHAR) AS invoiceDate, w.label AS shipFrom, s.shipToLabel
 FROM shipmentHeader h JOIN md_Customer c ON h.customerId = c.customerId JOIN md_MasterCategory pt ON h.paymentTermId = pt.categoryId
 JOIN md_MasterCategory st ON h.shipmentStatus = st.categoryId JOIN md_Warehouse w ON h.pickupAddrId = w.warehouseId
@@ -103,14 +103,14 @@ JOIN md_MasterCategory m ON l.lineItemStatus = m.categoryId""")
 
 register("shipment_freight", lambda t: V.shipment_freight(t), """
 SELECT h.shipmentId, h.shipId, h.bol, h.containerSeqNo, h.containerNo, h.containerSealNo, h.containerTypeId, ct.categoryName AS containerType, h.forwarderId,
-       f.categoryName AS forwarder, h.haulierId, x.haulierName AS haulier, v.categoryName AS vessel, CAST(h.ETD AS VARCHAR) AS ETD, CAST(h.ETA AS VARCHAR) AS ETA,
+       f.categoryName AS forwarder, h.haulierId, x.haulier AS haulier, v.categoryName AS vessel, CAST(h.ETD AS VARCHAR) AS ETD, CAST(h.ETA AS VARCHAR) AS ETA,
        CAST(h.containerPullOutDate AS VARCHAR) AS containerPullOutDate
 FROM shipmentHeader h JOIN md_MasterCategory ct ON ct.categoryId = h.containerTypeId LEFT JOIN md_MasterCategory f ON f.categoryId = h.forwarderId
 LEFT JOIN md_haulier x ON x.haulierId = h.haulierId LEFT JOIN md_MasterCategory v ON v.categoryId = h.vesselId""")
 
 register("bill_of_lading", lambda t: V.bill_of_lading(t), """
 SELECT DISTINCT h.bol, h.customerId, CAST(h.shipmentDate AS VARCHAR) AS shipmentDate, h.lrName, h.pol, h.pod, ct.categoryName AS containerType, h.containerNo,
-       h.forwarderBookingNo AS bookingNo, h.containerSealNo, v.categoryName AS vesselName, CAST(h.ETD AS VARCHAR) AS ETD, CAST(h.ETA AS VARCHAR) AS ETA,
+       h.forwarderBookingNo AS bookingNo, h.containerSealNo, h.countryOfOrigin, v.categoryName AS vesselName, CAST(h.ETD AS VARCHAR) AS ETD, CAST(h.ETA AS VARCHAR) AS ETA,
        h.bolTotalShipmentWeight, h.note, q.totalPcs
 FROM shipmentHeader h JOIN md_MasterCategory ct ON ct.categoryId = h.containerTypeId LEFT JOIN md_MasterCategory v ON v.categoryId = h.vesselId
 LEFT JOIN (SELECT x.bol, CAST(sum(l.shipmentQty) AS BIGINT) AS totalPcs FROM shipmentHeader x JOIN shipmentLineItem l ON l.shipmentId = x.shipmentId GROUP BY 1) q

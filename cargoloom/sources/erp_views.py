@@ -57,7 +57,9 @@ _LR_STATUS = ("CASE {k} % 32 WHEN 0 THEN 2132 WHEN 4 THEN 2133 WHEN 8 THEN 2129
 VIEWS: dict[str, str] = {
     "md_MasterCategory": f"""
         SELECT categoryId, categoryName, categoryParentID, 1 AS status
-        FROM (VALUES {_CODES}) AS t(categoryId, categoryName, categoryParentID)""",
+        FROM (VALUES {_CODES}) AS t(categoryId, categoryName, categoryParentID)
+        UNION ALL
+        SELECT CAST(n_nationkey AS INT), n_name, 2, 1 FROM {{nation}}""",
     "md_MasterCategoryAttribute": """
         SELECT * FROM (VALUES
             (1, 3154, 'CBM', '28 m3', 1), (2, 3155, 'CBM', '58 m3', 1), (3, 3156, 'CBM', '67 m3', 1),
@@ -66,13 +68,10 @@ VIEWS: dict[str, str] = {
         ) AS t(attributeId, masterCategoryId, attributeName, attributeValue, statusFlag)""",
     "md_Company": """
         SELECT * FROM (VALUES
-            (1, 'Harbour Marketing', 'HBM', 'M', '1 Quay Street', 'Level 2', 'Singapore', '', '018956', 3, '6501', '6511'),
-            (2, 'Northern Works', 'NOW', 'F', '22 Mill Road', '', 'Johor', 'Johor', '81100', 22, '6502', '6512'),
-            (3, 'Lakeside Trading', 'LKT', 'M', '5 Dock Lane', 'Unit 9', 'Hull', 'Yorkshire', 'HU1', 7, '6503', '')
-        ) AS t(companyId, companyName, companyShortCode, companyType, companyAddress, companyAddressLine2,
-               companyCity, companyStates, companyPostcode, companyCountry, companyContactNumber, companyFaxNumber)""",
-    "md_Country": """
-        SELECT CAST(n_nationkey AS INT) AS categoryId, n_name AS categoryName FROM {nation}""",
+            (1, 'Harbour Marketing', 'HBM', 1, '1 Quay Street', 'Level 2', 'Singapore', '', '018956', 3, '6501', '6511'),
+            (2, 'Northern Works', 'NOW', 0, '22 Mill Road', '', 'Johor', 'Johor', '81100', 22, '6502', '6512'),
+            (3, 'Lakeside Trading', 'LKT', 1, '5 Dock Lane', 'Unit 9', 'Hull', 'Yorkshire', 'HU1', 7, '6503', '')
+        ) AS t(companyId, companyName, companyShortCode, isMarketing, address, addressLine2, city, state, postcode, country, telephoneNumber, faxNumber)""",
     "md_Warehouse": """
         SELECT * FROM (VALUES
             (1, 1, 'L1', 'MAIN', 'Quay 1', '', 'Singapore', '', '018956', 3, '6501', 1),
@@ -84,7 +83,7 @@ VIEWS: dict[str, str] = {
         SELECT * FROM (VALUES (1, 'POD', 'Antwerp', 1), (2, 'POD', 'Busan', 1), (3, 'POD', 'Cadiz', 1),
             (4, 'POD', 'Durban', 1), (5, 'POD', 'Ennore', 1)) AS t(portId, portType, portName, statusFlag)""",
     "md_haulier": """
-        SELECT * FROM (VALUES (1, 'Swift Haul', 'SWH'), (2, 'Stone Haul', 'STH')) AS t(haulierId, haulierName, haulierCode)""",
+        SELECT * FROM (VALUES (1, 'Swift Haul', 1), (2, 'Stone Haul', 1)) AS t(haulierId, haulier, statusFlag)""",
     "md_User": """
         SELECT DISTINCT user_id AS userId, concat('user', user_id) AS userName, CAST(1 + user_id % 3 AS INT) AS companyId,
                CASE WHEN user_id % 6 = 4 THEN 0 ELSE 1 END AS status FROM {events}""",
@@ -101,24 +100,24 @@ VIEWS: dict[str, str] = {
         SELECT * FROM (VALUES (1, 11, 1018, 1, 1, 0), (2, 13, 1018, 0, 1, 0), (3, 21, 1018, 1, 0, 1), (4, 22, 1020, 1, 1, 1),
             (5, 31, 1018, 0, 0, 0), (6, 33, 1018, 0, 1, 1)) AS t(companyRoleFunctionId, companyRoleId, menuLevel2Id, functionAdd, functionEdit, functionDelete)""",
     "md_DefaultConfig": """
-        SELECT * FROM (VALUES (1, 0, 'CargoReadyDays', '14'), (2, 2, 'CargoReadyDays', '10'), (3, 0, 'HomeCurrency', 'SGD'),
-            (4, 2, 'HomeCurrency', 'MYR'), (5, 0, 'VesselBooking', 'FOB'), (6, 1, 'PackingUnit', 'CTN'))
+        SELECT * FROM (VALUES (1, 0, 'CargoReadyDate', '14'), (2, 2, 'CargoReadyDate', '10'), (3, 0, 'DefaultCurrency', 'SGD'),
+            (4, 2, 'DefaultCurrency', 'MYR'), (5, 0, 'VesselBooking', 'FOB'), (6, 1, 'PackingUnit', 'CTN'))
             AS t(configId, companyId, configName, configValue)""",
     "md_CompanyBank": """
-        SELECT * FROM (VALUES (1, 1, 'Harbour Bank', '100-200'), (2, 2, 'Mill Bank', '300-400')) AS t(bankId, companyId, bankName, accountNo)""",
+        SELECT * FROM (VALUES (1, 1, '100-200', 1), (2, 2, '300-400', 1)) AS t(bankId, companyId, accountNumber, statusFlag)""",
     "md_termNCondition": """
-        SELECT * FROM (VALUES (1, 1, 0, 'SO', 1, 'Payment before loading'), (2, 1, 0, 'SO', 2, 'Goods remain ours until paid'),
-            (3, 2, 0, 'SO', 1, 'Ex works'), (4, 2, 4, 'SO', 1, 'Free on board'), (5, 3, 0, 'PI', 1, 'Valid for 30 days'))
-            AS t(termId, companyId, customerId, module, seqNo, term)""",
+        SELECT * FROM (VALUES (1, 0, 'SO', 1, 'Payment before loading', 1), (1, 0, 'SO', 2, 'Goods remain ours until paid', 1),
+            (2, 0, 'SO', 1, 'Ex works', 1), (2, 4, 'SO', 1, 'Free on board', 1), (3, 0, 'PI', 1, 'Valid for 30 days', 1), (1, 9, 'SO', 1, 'Old', 0))
+            AS t(companyId, customerId, module, termRow, termText, statusFlag)""",
     "md_SupplierTerm": """
-        SELECT * FROM (VALUES (1, 0, 'PO', 'Deliver on time', 1), (2, 1, 'PO', 'Label every carton', 1), (3, 2, 'PO', 'Old clause', 0),
-            (4, 3, 'PO', 'Send samples', 1)) AS t(termId, supplierId, module, term, status)""",
+        SELECT * FROM (VALUES (1, 0, 'PO', 1, 'Deliver on time', 1), (1, 1, 'PO', 1, 'Label every carton', 1), (2, 2, 'PO', 1, 'Old clause', 0),
+            (2, 3, 'PO', 1, 'Send samples', 1), (2, 3, 'PO', 2, 'Send papers', 1)) AS t(companyId, supplierId, module, termRow, termCondition, statusFlag)""",
     "md_reportAdditionalRemarks": """
-        SELECT * FROM (VALUES (1, 1, 0, 'SO', 1, 'Check marks and numbers'), (2, 2, 0, 'SO', 1, 'Pack in export cartons'),
-            (3, 2, 4, 'SO', 1, 'Pallets only'), (4, 3, 0, 'SO', 1, 'No part shipment')) AS t(remarkId, companyId, customerId, module, seqNo, remarks)""",
+        SELECT * FROM (VALUES (1, 0, 'SO', 1, 'Marks', 'Check marks and numbers', 1), (2, 0, 'SO', 1, 'Packing', 'Pack in export cartons', 1),
+            (2, 4, 'SO', 1, 'Packing', 'Pallets only', 1), (3, 0, 'SO', 1, 'Shipment', 'No part shipment', 1), (3, 0, 'SO', 2, 'Old', 'Gone', 0))
+            AS t(companyId, customerId, module, lineNum, remarksName, remarks, statusFlag)""",
     "md_InventoryHTSCode": """
-        SELECT * FROM (VALUES (1, 11, '9403.20', 'Metal goods'), (2, 12, '9403.60', 'Wood goods'), (3, 13, '9404.10', 'Supports'),
-            (4, 15, '9405.10', 'Lamps')) AS t(htsId, prodCategoryId, htsCode, htsDesc)""",
+        SELECT * FROM (VALUES (11, '9403.20'), (12, '9403.60'), (13, '9404.10'), (15, '9405.10')) AS t(HTSCode_prodCategoryId, HTSCode)""",
     "md_CurrencyRate": """
         SELECT CAST(year(o_orderdate) * 10 + 1 + o_custkey % 3 AS INT) AS rateId, CAST(1 + o_custkey % 3 AS INT) AS companyId,
                make_date(CAST(year(o_orderdate) AS INT), 1, 1) AS startDate,
@@ -218,7 +217,12 @@ VIEWS: dict[str, str] = {
     "soHeader": f"""
         SELECT o_orderkey AS soHeaderId, CAST(1 + o_custkey % 3 AS INT) AS companyId, o_custkey AS customerId, o_orderkey % 10 AS supplierId,
                concat('SO-', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0')) AS soName, CAST(o_orderdate AS DATE) AS soDate,
-               CASE WHEN o_orderkey % 5 = 0 THEN concat('PO', o_orderkey % 5000, ',PO', o_orderkey % 4000) ELSE concat('PO', o_orderkey % 5000) END AS customerPO,
+               CASE WHEN o_orderkey % 5 = 0 THEN concat('PO', o_orderkey % 5000, ', PO', o_orderkey % 4000)
+                    WHEN o_orderkey % 4 = 1 THEN concat('P-', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0'))
+                    ELSE concat('PO', o_orderkey % 5000) END AS customerPO,
+               CASE WHEN o_custkey % 10 = 3 THEN concat('SO-', lpad(CAST(o_orderkey - o_orderkey % 10 AS VARCHAR(20)), 9, '0')) ELSE '' END AS reference1,
+               'Singapore' AS portOfLanding, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate + INTERVAL 3 DAY AS DATE) END AS lastUpdatedDate,
+               CAST(3401 + o_custkey % 2 AS INT) AS shipWay,
                CASE WHEN o_orderkey % 4 = 0 THEN concat('TP', o_custkey % 7) ELSE '' END AS thirdParty,
                CASE WHEN o_orderkey % 4 = 0 THEN concat('TPO', o_orderkey % 900) ELSE '' END AS thirdPartyPO, o_custkey AS shipToId,
                CAST(1 + o_custkey % 5 AS INT) AS portOfDestination, CAST(o_orderdate + INTERVAL 30 DAY AS DATE) AS earlyShipDate,
@@ -236,12 +240,14 @@ VIEWS: dict[str, str] = {
                CAST(CASE WHEN l_returnflag = 'R' THEN l_quantity WHEN l_returnflag = 'A' THEN floor(l_quantity / 3) ELSE 0 END AS INT) AS shpQty,
                CASE l_linenumber WHEN 7 THEN 1107 WHEN 6 THEN 1108 WHEN 5 THEN 1105 ELSE (CASE WHEN l_linestatus = 'F' THEN 2125 ELSE 1106 END) END AS soLineItemStatus,
                CAST(3234 + l_linenumber % 3 AS INT) AS tagDivision, CASE WHEN l_linenumber = 1 THEN '' ELSE concat('Desc ', l_partkey) END AS soItemDesc,
-               concat('R', l_suppkey) AS itemReference1, '' AS itemNote
+               concat('R', l_suppkey) AS itemReference1, concat('E', l_partkey) AS itemReference2, '' AS itemNote,
+               CASE WHEN l_linenumber % 2 = 0 THEN {_LINE_ID} END AS ref_poLineItemId
         FROM {{lineitem}}""",
     "poHeader": f"""
         SELECT o_orderkey AS poId, CAST(1 + o_custkey % 3 AS INT) AS companyId, o_orderkey % 10 AS supplierId,
                concat('P-', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0')) AS poName, CAST(o_orderdate + INTERVAL 5 DAY AS DATE) AS poDate,
-               concat('SO-', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0')) AS poReferenceId, o_custkey AS shipToId, 'SEA' AS shipVia,
+               concat('SO-', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0')) AS poReferenceId, o_custkey AS shipToId, CAST(3401 + o_custkey % 3 AS INT) AS shipVia, 'Singapore' AS portOfLanding,
+               CAST(1 + o_custkey % 5 AS INT) AS portOfDestination, concat('PO', o_orderkey % 5000, ', PO', o_orderkey % 4000) AS reference1,
                CAST(o_orderdate + INTERVAL 20 DAY AS DATE) AS poEarlyShipDate, CAST(o_orderdate + INTERVAL 27 DAY AS DATE) AS poLateShipDate,
                {_PO_STATUS.format(k='o_orderkey')} AS poStatus, CAST(floor(o_totalprice * 100) AS BIGINT) AS poGrossTotal,
                CASE WHEN o_orderkey % 3 = 0 THEN concat('2x40HQ + 1x20GP lot ', o_orderkey % 10) WHEN o_orderkey % 3 = 1 THEN '1x40GP' ELSE '' END AS poNote,
@@ -262,6 +268,7 @@ VIEWS: dict[str, str] = {
         SELECT o_orderkey - o_orderkey % 4 AS lrHeaderId, min(CAST(1 + o_custkey % 3 AS INT)) AS companyId, min(o_custkey) AS customerId,
                min(o_orderkey % 10) AS supplierId, concat('LR-', lpad(CAST(o_orderkey - o_orderkey % 4 AS VARCHAR(20)), 9, '0')) AS lrName,
                min(CAST(o_orderdate + INTERVAL 22 DAY AS DATE)) AS lrDate, min(CAST(o_orderdate + INTERVAL 25 DAY AS DATE)) AS lrShipDate, '' AS lrNote,
+               CASE WHEN (o_orderkey - o_orderkey % 4) % 8 = 4 THEN o_orderkey - o_orderkey % 4 - 4 END AS ref_customerLrHeaderId,
                CASE (o_orderkey - o_orderkey % 4) % 12 WHEN 0 THEN '_REL_' WHEN 4 THEN '_READYLOAD_' ELSE '' END AS apiStatus,
                {_LR_STATUS.format(k='(o_orderkey - o_orderkey % 4)')} AS lrStatus
         FROM {{orders}} GROUP BY o_orderkey - o_orderkey % 4""",
@@ -280,7 +287,7 @@ VIEWS: dict[str, str] = {
         SELECT {_LINE_ID} AS lrDetailsId, {_LR} AS lrHeaderId, {_LR} * 10 + 1 + l_orderkey % 2 AS lrContainerId, l_orderkey AS soHeaderId,
                {_LINE_ID} AS soLineItemId, l_orderkey AS poId, {_LINE_ID} AS poDetailsId, concat('SS-', l_partkey % 500) AS supplierSku, l_partkey AS invID,
                CAST(l_quantity AS INT) AS qty, CAST(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE floor(l_quantity / 2) END AS INT) AS processQty,
-               concat('ln ', l_linenumber) AS itemNote, CAST(floor(l_quantity / 5) AS INT) AS cartonQty,
+               concat('ln ', l_linenumber) AS itemNote, CAST(floor(l_quantity / 5) AS INT) AS cartonQty, CAST(5 AS INT) AS qtyPerCarton,
                CASE WHEN l_linenumber = 7 THEN 2130 ELSE {_LR_STATUS.format(k=_LR)} END AS itemStatus
         FROM {{lineitem}}""",
     "shipmentHeader": """
@@ -290,7 +297,8 @@ VIEWS: dict[str, str] = {
                concat('BOL-', (o_orderkey - o_orderkey % 4) * 10 + 1 + o_orderkey % 2) AS bol,
                CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('INV-', o_orderkey) END AS invoiceId, CAST(o_orderdate + INTERVAL 33 DAY AS DATE) AS invoiceDate,
                o_orderkey AS soHeaderId, concat('SO-', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0')) AS soName, concat('PO', o_orderkey % 5000) AS customerPO,
-               CAST(1 + o_custkey % 4 AS INT) AS pickupAddrId, o_custkey AS shipToId, 'Singapore' AS pol, CAST(1 + o_custkey % 5 AS INT) AS podPortId,
+               CASE WHEN o_orderkey % 2 = 0 THEN concat('CI', o_orderkey) END AS customerInvoiceNo, CAST(floor(o_totalprice * 100) AS BIGINT) AS InvoiceAmount,
+               'Singapore' AS countryOfOrigin, CAST(1 + o_custkey % 4 AS INT) AS pickupAddrId, o_custkey AS shipToId, 'Singapore' AS pol, CAST(1 + o_custkey % 5 AS INT) AS podPortId,
                concat('Port ', o_custkey % 5) AS pod, CAST(1131 + o_custkey % 2 AS INT) AS paymentTermId, CAST(3154 + o_custkey % 3 AS INT) AS containerTypeId,
                CAST(1 + o_orderkey % 2 AS INT) AS containerSeqNo, concat('CN', o_orderkey - o_orderkey % 4, '-', 1 + o_orderkey % 2) AS containerNo,
                concat('SEAL', o_orderkey % 7) AS containerSealNo, CAST(3301 + o_custkey % 3 AS INT) AS forwarderId, CAST(1 + o_custkey % 3 AS INT) AS haulierId,
