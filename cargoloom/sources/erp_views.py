@@ -173,7 +173,8 @@ VIEWS: dict[str, str] = {
                CAST(p_size % 3 AS INT) AS sub, CAST(replace(p_brand, 'Brand#', '') AS INT) AS brandNo
         FROM {part}""",
     "md_Inventory": """
-        SELECT p_partkey AS invID, CAST(1 + p_partkey % 3 AS INT) AS companyId, concat('IT', lpad(CAST(p_partkey AS VARCHAR(20)), 8, '0')) AS itemCode,
+        SELECT p_partkey AS invID, CAST(1 + p_partkey % 3 AS INT) AS companyId, CASE WHEN p_partkey % 4 = 1 THEN concat('00', sub, '.', lpad(CAST(p_partkey % 40 AS VARCHAR(20)), 4, '0'))
+                    ELSE concat('IT', lpad(CAST(p_partkey AS VARCHAR(20)), 8, '0')) END AS itemCode,
                cat AS productCategory, cat * 10 + sub AS productSubCategory, (cat * 10 + sub) * 100 + brandNo AS productType,
                concat('M', p_size) AS modelNo, concat('SKU-', p_partkey) AS inventorySKU, p_name AS productName,
                concat(p_type, ' ', p_name) AS itemDesc, CAST(p_size * 9 AS BIGINT) AS netWeight, CAST(p_size * 10 AS BIGINT) AS grossWeight,
@@ -197,7 +198,7 @@ VIEWS: dict[str, str] = {
         SELECT p_partkey * 10 + 2, p_partkey, 1123, concat('BOX-', p_size % 5) FROM {part} WHERE p_size % 4 <> 0""",
     "md_CustomerSku": """
         SELECT concat(o_custkey, '-', l_partkey) AS customerskuId, l_partkey AS invID, o_custkey AS customerId,
-               CAST(1 + l_partkey % 3 AS INT) AS companyId, concat('CS-', o_custkey, '-', l_partkey) AS customerSku, concat('MS-', l_partkey) AS merchantSKU,
+               CAST(1 + o_custkey % 3 AS INT) AS companyId, concat('CS-', o_custkey, '-', l_partkey) AS customerSku, concat('MS-', l_partkey) AS merchantSKU,
                concat('EAN', l_partkey) AS EAN, CASE WHEN l_partkey % 5 = 0 THEN '' ELSE concat('Item ', l_partkey) END AS itemDesc,
                1120 AS currencyCode, min(CAST(floor(l_extendedprice * 100 / l_quantity) AS BIGINT)) AS csCost,
                CAST(3234 + l_partkey % 3 AS INT) AS tagDivision, CASE WHEN (o_custkey + l_partkey) % 9 = 0 THEN 0 ELSE 1 END AS statusflag
@@ -331,9 +332,9 @@ VIEWS: dict[str, str] = {
         FROM {{lineitem}}""",
     "rawBom": """
         SELECT p_partkey * 10 + 1 AS rawBomId, CAST(1 + p_partkey % 3 AS INT) AS companyId, p_partkey AS invId, p_partkey + 1 AS rawBomInvId,
-               CAST(1 + p_size % 3 AS INT) AS rawBomQty, CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE 1 END AS status FROM {part} WHERE p_size <> 10
+               CAST(1 + p_size % 3 AS INT) AS rawBomQty, CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE 1 END AS status FROM {part} WHERE p_size <> 10 AND p_size < 40
         UNION ALL
-        SELECT p_partkey * 10 + 2, CAST(1 + p_partkey % 3 AS INT), p_partkey, p_partkey + 2, CAST(1 + p_size % 2 AS INT), 1 FROM {part} WHERE p_size < 25""",
+        SELECT p_partkey * 10 + 2, CAST(1 + p_partkey % 3 AS INT), p_partkey, p_partkey + 2, CAST(1 + p_size % 2 AS INT), 1 FROM {part} WHERE p_size < 25 AND p_size <> 10""",
     "procurementProcess": f"""
         SELECT {_LINE_ID} AS procurementProcessId, CAST(1 + o_custkey % 3 AS INT) AS companyId, l_orderkey AS soHeaderId, {_LINE_ID} AS soLineItemId, l_partkey + 1 AS invId,
                CAST(l_quantity AS INT) AS processQty, l_partkey AS rawBomInvId, CAST(2 AS INT) AS rawBomQty, CAST(l_quantity * 2 AS BIGINT) AS rawBomTotalQty,
@@ -383,15 +384,90 @@ VIEWS: dict[str, str] = {
     "notificationRecipient": """
         SELECT event_id AS recipientId, event_id AS notificationID, CAST(user_id % 5 AS INT) AS userID, CASE WHEN value > 60 THEN 1 ELSE 0 END AS isRead
         FROM {events}""",
-    "temp_SoFilelog": """
-        SELECT o_orderkey AS sofilelog_Id, concat('file', o_orderkey % 5, '.csv') AS fileLoaded, CAST(1 + o_custkey % 3 AS INT) AS companyId,
+    # Staged upload files, with planted faults: blanks, unknown names, bad numbers and dates, repeats.
+    "temp_SoFilelog": f"""
+        SELECT {_LINE_ID} AS sofilelog_Id, concat('file', o_orderkey - o_orderkey % 3, '.csv') AS fileLoaded, CAST(1 + o_custkey % 3 AS INT) AS companyId,
                CASE WHEN o_orderkey % 97 = 0 THEN '' WHEN o_orderkey % 89 = 0 THEN 'Unknown' WHEN o_orderkey % 2 = 0 THEN concat(upper(c_name), ' ') ELSE c_name END AS customerName,
-               CASE WHEN o_orderkey % 83 = 0 THEN NULL ELSE concat('NPO', o_orderkey % 9000) END AS customerPO,
-               CASE WHEN o_orderkey % 71 = 0 THEN '' ELSE concat('st-', o_custkey % 100) END AS destinationlabel,
-               concat('MS-', o_orderkey % 2000) AS csitemCode,
-               CASE WHEN o_orderkey % 79 = 0 THEN 'x' ELSE CAST(1 + o_orderkey % 50 AS VARCHAR(20)) END AS orderQty,
+               CASE WHEN o_orderkey % 83 = 0 THEN NULL WHEN o_orderkey % 61 = 0 THEN concat('po', o_orderkey % 5000) ELSE concat('NPO', o_orderkey) END AS customerPO,
+               CASE WHEN o_orderkey % 71 = 0 THEN 'L9' WHEN o_orderkey % 2 = 0 THEN concat('l', 1 + o_custkey % 4) ELSE '' END AS destinationlabel,
+               CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE concat('st-', o_custkey % 100) END AS destination,
+               concat('CS-', o_custkey, '-', l_partkey) AS customerSku, concat('MS-', l_partkey) AS csitemCode, '' AS ItemDescription,
+               CASE WHEN o_orderkey % 4 = 0 THEN concat('TP', o_custkey % 7) ELSE '' END AS thirdPartyCustomer, '' AS thirdPartyPO,
+               CASE WHEN o_orderkey % 79 = 0 THEN 'x' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) END AS orderQty,
                CASE WHEN o_orderkey % 73 = 0 THEN '1997-13-01' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) END AS shipDate
-        FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
+        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey""",
+    "temp_lrLog": f"""
+        SELECT {_LINE_ID} AS lrLogId, concat('lr', o_orderkey, '.csv') AS fileLoaded, CAST(1 + o_custkey % 3 AS INT) AS companyId,
+               CASE WHEN o_orderkey % 53 = 0 THEN 'P-none' ELSE concat('p-', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0')) END AS poName,
+               concat('PO', o_orderkey % 5000) AS customerPo,
+               CASE o_custkey % 5 WHEN 0 THEN 'antwerp' WHEN 1 THEN 'Busan' WHEN 2 THEN 'Cadiz' WHEN 3 THEN 'Durban' ELSE 'Ennore' END AS pod,
+               concat('SS-', l_partkey % 500) AS supplierSku, CASE WHEN o_orderkey % 47 = 0 THEN '' ELSE concat('MS-', l_partkey) END AS merchantSku,
+               CASE WHEN o_orderkey % 43 = 0 THEN 'many' WHEN o_orderkey % 41 = 0 THEN '-1' WHEN o_orderkey % 37 = 0 THEN '99'
+                    WHEN o_orderkey % 3 = 0 THEN CAST(CAST(1 + floor(l_quantity / 4) AS INT) AS VARCHAR(20))
+                    ELSE CAST(CAST(l_quantity - floor(l_quantity / 3) AS INT) AS VARCHAR(20)) END AS lrQty,
+               CAST(CAST(o_orderdate + INTERVAL 40 DAY AS DATE) AS VARCHAR(20)) AS shipDate,
+               CASE WHEN o_orderkey % 31 = 0 THEN '50FT' WHEN o_orderkey % 29 = 0 AND l_linenumber = 1 THEN '20gp' ELSE '40hq' END AS containerType,
+               CAST(1 + l_linenumber % 2 AS VARCHAR(20)) AS containerSeq, CASE WHEN o_orderkey % 23 = 0 THEN concat('n', l_linenumber) ELSE '' END AS notes,
+               '5' AS qtyPerCarton, CASE WHEN o_orderkey % 59 = 0 THEN 'none' ELSE {_LINE_ID} END AS poDetailsId
+        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey WHERE l_linestatus = 'O'""",
+    "temp_loadingPlanningLog": f"""
+        SELECT {_LINE_ID} AS lrLogId, concat('plan', o_orderkey, '.csv') AS fileLoaded, CAST(1 + o_custkey % 3 AS INT) AS companyId,
+               CASE WHEN o_orderkey % 31 = 0 THEN '50FT' WHEN o_orderkey % 29 = 0 AND l_linenumber = 1 THEN '20gp' ELSE '40hq' END AS containerType,
+               CASE WHEN o_orderkey % 41 = 0 THEN '0' ELSE CAST(1 + l_linenumber % 2 AS VARCHAR(20)) END AS containerSeq,
+               CASE WHEN o_orderkey % 89 = 0 THEN 'Unknown' ELSE upper(c_name) END AS customerName, concat('ms-', l_partkey) AS merchantSku,
+               CASE WHEN o_orderkey % 43 = 0 THEN '' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) END AS lrQty,
+               CASE WHEN o_orderkey % 19 = 0 THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR(20)) ELSE CAST(CAST(o_orderdate + INTERVAL 40 DAY AS DATE) AS VARCHAR(20)) END AS shipDate,
+               concat('ST-', o_custkey % 100) AS shipToLabel, '' AS notes
+        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey""",
+    "temp_poReceivedLog": f"""
+        SELECT concat('D', o_orderkey) AS poReceivedLogId, concat('rcv', o_orderkey, '.csv') AS fileName, CAST(1 + o_custkey % 3 AS INT) AS companyId,
+               CASE WHEN o_orderkey % 67 = 0 THEN 'XX' ELSE 'DO' END AS recordType, CASE WHEN o_orderkey % 17 = 0 THEN concat('DO', o_orderkey % 800) ELSE concat('NDO', o_orderkey) END AS column1,
+               CASE WHEN o_orderkey % 73 = 0 THEN '1997-13-01' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) END AS column2, 'ok' AS column3, '' AS column4, '' AS column5, '' AS column6
+        FROM {{orders}} WHERE o_orderstatus <> 'P'
+        UNION ALL
+        SELECT {_LINE_ID}, concat('rcv', o_orderkey, '.csv'), CAST(1 + o_custkey % 3 AS INT), 'DL',
+               CASE WHEN o_orderkey % 17 = 0 THEN concat('DO', o_orderkey % 800) ELSE concat('NDO', o_orderkey) END,
+               CASE WHEN o_orderkey % 53 = 0 THEN 'P-none' ELSE concat('P-', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0')) END,
+               CASE WHEN o_orderkey % 37 = 0 AND l_linenumber = 1 THEN 'annex' WHEN o_custkey % 3 = 0 THEN 'main' WHEN o_custkey % 3 = 1 THEN 'L2' ELSE 'Lake' END,
+               concat('ss-', l_partkey % 500), CASE WHEN o_orderkey % 43 = 0 THEN 'many' WHEN o_orderkey % 41 = 0 THEN '99' ELSE CAST(CAST(ceil(l_quantity / 3) AS INT) AS VARCHAR(20)) END, 'part'
+        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R'""",
+    "temp_inventoryMovementLog": """
+        SELECT event_id AS invMovementLog_Id, concat('mv', event_id - event_id % 8, '.csv') AS fileLoaded, CAST(1 + user_id % 3 AS INT) AS companyId,
+               CASE WHEN event_id % 97 = 0 THEN '' WHEN event_id % 89 = 0 THEN 'Nowhere' WHEN user_id % 3 = 0 THEN 'Main' WHEN user_id % 3 = 1 THEN 'l2' ELSE 'lake' END AS warehouseLabel,
+               CASE event_type WHEN 'purchase' THEN 'SHIP' WHEN 'view' THEN 'adj' WHEN 'click' THEN 'RevShip' ELSE 'SHIPADJ' END AS action,
+               CASE WHEN event_type = 'view' OR event_id % 83 = 0 THEN '' ELSE concat('SH', event_id) END AS shipId,
+               concat('SO-', lpad(CAST(event_id AS VARCHAR(20)), 9, '0')) AS orderNo, concat('sku-', user_id) AS inventorySku,
+               CASE WHEN event_id % 79 = 0 THEN NULL ELSE CAST(floor(value) AS INT) END AS qty, CASE WHEN event_id % 71 = 0 THEN '' ELSE 'count' END AS reason, CAST(user_id % 7 AS INT) AS enterBy, ts AS enterDate
+        FROM {events}""",
+    "temp_inventoryLog": """
+        SELECT p_partkey AS logId, concat('item', p_partkey - p_partkey % 4, '.csv') AS fileName, CAST(1 + p_partkey % 3 AS INT) AS companyId,
+               CASE WHEN p_partkey % 61 = 0 THEN 'NOTHING' ELSE lower(p_type) END AS productCategory, concat(p_type, ' group ', sub) AS productSubCategory,
+               concat(p_type, ' ', p_brand) AS productType,
+               CASE WHEN p_partkey % 12 < 4 THEN '' WHEN p_partkey % 59 = 0 THEN concat('it', lpad(CAST(p_partkey AS VARCHAR(20)), 8, '0')) WHEN p_partkey % 53 = 0 THEN 'SAME' ELSE concat('NEW', p_partkey) END AS itemCode,
+               concat('n', p_size) AS modelNo, concat('nsku-', p_partkey) AS inventorySKU, p_name AS productName, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'made' END AS description,
+               CASE WHEN p_partkey % 47 = 0 THEN 'heavy' ELSE CAST(p_size AS VARCHAR(20)) END AS grossWeight, '1' AS grossLength, '1' AS grossWidth, '1' AS grossHeight,
+               '1' AS netWeight, CAST(p_size AS VARCHAR(20)) AS netLength, '2' AS netWidth, '3' AS netHeight, CASE WHEN p_partkey % 43 = 0 THEN '' ELSE '7' END AS cbm,
+               CASE WHEN p_partkey % 41 = 0 THEN 'TON' ELSE 'pcs' END AS measurement, '' AS glCode, CASE WHEN p_partkey % 5 = 0 THEN 'Y' ELSE 'N' END AS virtualProduct,
+               split_part(p_name, ' ', 1) AS color, concat('BOX-', p_size % 5) AS packaging, '' AS size,
+               'color' AS attributeName_1, split_part(p_name, ' ', 1) AS attributeValue_1, CASE WHEN p_partkey % 37 = 0 THEN 'shine' ELSE 'Packing' END AS attributeName_2, concat('BOX-', p_size % 5) AS attributeValue_2
+        FROM partShape""",
+    "temp_rawBomLog": """
+        SELECT p_partkey AS rawBomLogId, concat('bom', p_partkey - p_partkey % 5, '.csv') AS fileName, concat('it', lpad(CAST(p_partkey AS VARCHAR(20)), 8, '0')) AS upc,
+               concat('IT', lpad(CAST(p_partkey + 3 AS VARCHAR(20)), 8, '0')) AS rawBomUpc, CASE WHEN p_partkey % 31 = 0 THEN 'two' ELSE CAST(1 + p_size % 4 AS VARCHAR(20)) END AS rawBomQty
+        FROM {part} WHERE p_size >= 30""",
+    "temp_customerSkuLog": """
+        SELECT concat(o_custkey, '-', l_partkey, '-', o_orderkey % 2) AS customerSkuLog, concat('cs', o_custkey, '-', l_partkey % 10, '.csv') AS fileLoaded, CAST(1 + o_custkey % 3 AS INT) AS companyId,
+               CASE WHEN o_custkey % 89 = 0 THEN 'Unknown' ELSE min(upper(c_name)) END AS customerName, CASE WHEN l_partkey % 97 = 0 THEN 'sku-none' ELSE concat('sku-', l_partkey) END AS inventorySku,
+               CASE WHEN l_partkey % 13 = 0 THEN concat('cs-', o_custkey, '-', l_partkey) ELSE concat('NCS-', o_custkey, '-', l_partkey) END AS customerSku,
+               concat('ms-', l_partkey) AS merchantSku, '' AS itemDesc, CASE WHEN l_partkey % 83 = 0 THEN 'XXX' ELSE 'usd' END AS currencyCode, CAST(1 + l_partkey % 90 AS VARCHAR(20)) AS customerCost
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey GROUP BY o_custkey, l_partkey, o_orderkey % 2""",
+    "temp_supplierSkuLog": """
+        SELECT concat(l_suppkey, '-', l_partkey) AS supplierSkuLog, concat('ss', l_suppkey, '-', l_partkey % 60, '.csv') AS fileLoaded, CAST(1 + l_suppkey % 3 AS INT) AS companyId,
+               CASE WHEN l_suppkey % 29 = 0 THEN 'Unknown' ELSE min(s_name) END AS supplierName, concat('sku-', l_partkey + 1) AS inventorySku,
+               CASE WHEN l_partkey % 71 = 0 THEN concat('ss-', l_suppkey, '-', l_partkey) ELSE concat('NSS-', l_suppkey, '-', l_partkey) END AS supplierSku, '' AS itemDesc,
+               CASE WHEN l_partkey % 83 = 0 THEN 'XXX' WHEN l_partkey % 61 = 0 THEN 'USD' WHEN l_suppkey % 3 = 0 THEN 'usd' WHEN l_suppkey % 3 = 1 THEN 'sgd' ELSE 'MYR' END AS currencyCode,
+               CAST(1 + l_partkey % 90 AS VARCHAR(20)) AS supplierCost, '10' AS moq, CASE WHEN l_partkey % 79 = 0 THEN 'MAYBE' WHEN l_partkey % 2 = 0 THEN 'yes' ELSE 'NO' END AS isDefault
+        FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY l_suppkey, l_partkey""",
 }
 
 _WORD = re.compile(r"\b(" + "|".join(sorted(VIEWS, key=len, reverse=True)) + r")\b")
