@@ -50,7 +50,7 @@ register("po_export_rows_slice", lambda t: V.po_export_rows(t, row_start=2, row_
 register("po_export_row_count", lambda t: V.po_export_row_count(t), _EXPORT + " SELECT poId, count(*) AS rowReturn FROM u GROUP BY poId")
 
 register("request_lines", lambda t: V.request_lines(t), """
-SELECT l.lrDetailsId, l.lrHeaderId, l.lrContainerId, l.poDetailsId, c.containerSeq, p.poName, s.soName, s.customerPO, l.supplierSku, sl.merchantSku, l.qty AS lrQty,
+SELECT l.lrDetailsId, l.lrHeaderId, l.lrContainerId, l.poDetailsId, c.containerSeq, p.poName, s.soName, s.customerPO, l.supplierSku, sl.merchantSku, l.qty AS lrQty, l.confirmQty,
        coalesce((SELECT CAST(sum(balanceQty) AS BIGINT) FROM inventoryBalanceWH b WHERE b.companyId = h.companyId AND b.invId = l.invID), 0) AS invBalance,
        l.itemNote, m.categoryName AS itemStatus, s.customerId
 FROM lrLineItem l JOIN lrContainer c ON l.lrContainerId = c.lrContainerId JOIN lrHeader h ON l.lrHeaderId = h.lrHeaderId

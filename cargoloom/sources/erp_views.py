@@ -201,13 +201,13 @@ VIEWS: dict[str, str] = {
                CAST(1 + o_custkey % 3 AS INT) AS companyId, concat('CS-', o_custkey, '-', l_partkey) AS customerSku, concat('MS-', l_partkey) AS merchantSKU,
                concat('EAN', l_partkey) AS EAN, CASE WHEN l_partkey % 5 = 0 THEN '' ELSE concat('Item ', l_partkey) END AS itemDesc,
                1120 AS currencyCode, min(CAST(floor(l_extendedprice * 100 / l_quantity) AS BIGINT)) AS csCost,
-               CAST(3234 + l_partkey % 3 AS INT) AS tagDivision, CASE WHEN (o_custkey + l_partkey) % 9 = 0 THEN 0 ELSE 1 END AS statusflag
+               CAST(3234 + l_partkey % 3 AS INT) AS tagDivision, CASE WHEN (o_custkey + l_partkey) % 9 = 0 OR l_partkey % 23 = 0 THEN 0 ELSE 1 END AS statusflag
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey""",
     "md_SupplierSku": """
         SELECT concat(l_partkey, '-', l_suppkey) AS supplierskuId, l_partkey AS invId, l_suppkey AS supplierId,
                CAST(1 + l_suppkey % 3 AS INT) AS companyId, concat('SS-', l_suppkey, '-', l_partkey) AS supplierSku, concat('Part ', l_partkey) AS itemDesc,
                CAST(1120 + l_suppkey % 3 AS INT) AS currencyCode, min(CAST(floor(l_extendedprice * 100 / l_quantity) AS BIGINT)) AS supCost,
-               CASE WHEN (l_partkey + l_suppkey) % 2 = 0 THEN 1 ELSE 0 END AS isDefault, CASE WHEN (l_partkey + l_suppkey) % 7 = 0 THEN 0 ELSE 1 END AS statusflag
+               CASE WHEN (l_partkey + l_suppkey) % 2 = 0 THEN 1 ELSE 0 END AS isDefault, CASE WHEN (l_partkey + l_suppkey) % 7 = 0 OR l_partkey % 23 = 0 THEN 0 ELSE 1 END AS statusflag
         FROM {lineitem} GROUP BY l_partkey, l_suppkey""",
     "md_ShipToDestination": """
         SELECT c_custkey AS shipToId, CAST(1 + c_custkey % 3 AS INT) AS companyId, c_custkey AS customerId, CAST(1 + c_custkey % 4 AS INT) AS warehouseId,
@@ -236,7 +236,7 @@ VIEWS: dict[str, str] = {
         SELECT {_LINE_ID} AS soLineItemId, l_orderkey AS soHeaderId, l_partkey AS invID, l_suppkey AS supplierId,
                concat('CS-', l_partkey) AS customerSku, concat('MS-', l_partkey) AS merchantSku, concat('EAN', l_partkey) AS EAN, 'USD' AS currencyCode,
                {_CENTS} AS csCost, CAST(l_quantity AS INT) AS odrQty,
-               CAST(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE floor(l_quantity / 2) END AS INT) AS poQty,
+               CAST(CASE WHEN l_orderkey % 7 IN (0, 2) THEN 0 WHEN l_linestatus = 'F' THEN l_quantity ELSE floor(l_quantity / 2) END AS INT) AS poQty,
                CAST(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE floor(l_quantity / 4) END AS INT) AS processQty,
                CAST(CASE WHEN l_returnflag = 'R' THEN l_quantity WHEN l_returnflag = 'A' THEN floor(l_quantity / 3) ELSE 0 END AS INT) AS shpQty,
                CASE l_linenumber WHEN 7 THEN 1107 WHEN 6 THEN 1108 WHEN 5 THEN 1105 ELSE (CASE WHEN l_linestatus = 'F' THEN 2125 ELSE 1106 END) END AS soLineItemStatus,
@@ -278,6 +278,7 @@ VIEWS: dict[str, str] = {
                concat('LR-', lpad(CAST(o_orderkey - o_orderkey % 4 AS VARCHAR(20)), 9, '0')) AS lrName,
                CAST(3154 + min(o_custkey) % 3 AS INT) AS containerTypeId, CAST(1 + o_orderkey % 2 AS INT) AS containerSeq,
                concat('CN', o_orderkey - o_orderkey % 4, '-', 1 + o_orderkey % 2) AS containerNo, concat('SEAL', min(o_orderkey)) AS containerSealNo,
+               CASE WHEN (o_orderkey - o_orderkey % 4) % 8 = 4 THEN (o_orderkey - o_orderkey % 4 - 4) * 10 + 1 + o_orderkey % 2 END AS ref_lrContainerId,
                min(CAST(o_orderdate + INTERVAL 24 DAY AS DATE)) AS earlyShipDate, min(CAST(o_orderdate + INTERVAL 31 DAY AS DATE)) AS lateShipDate,
                CAST(1 + min(o_custkey) % 5 AS INT) AS portId, CAST(3301 + min(o_custkey) % 3 AS INT) AS forwarderId, CAST(1 + min(o_custkey) % 3 AS INT) AS haulierId,
                CASE WHEN min(o_custkey) % 4 = 0 THEN '' ELSE concat('FB', min(o_orderkey) % 3000) END AS forwarderBookingNo,
@@ -288,7 +289,7 @@ VIEWS: dict[str, str] = {
         SELECT {_LINE_ID} AS lrDetailsId, {_LR} AS lrHeaderId, {_LR} * 10 + 1 + l_orderkey % 2 AS lrContainerId, l_orderkey AS soHeaderId,
                {_LINE_ID} AS soLineItemId, l_orderkey AS poId, {_LINE_ID} AS poDetailsId, concat('SS-', l_partkey % 500) AS supplierSku, l_partkey AS invID,
                CAST(l_quantity AS INT) AS qty, CAST(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE floor(l_quantity / 2) END AS INT) AS processQty,
-               concat('ln ', l_linenumber) AS itemNote, CAST(floor(l_quantity / 5) AS INT) AS cartonQty, CAST(5 AS INT) AS qtyPerCarton,
+               concat('ln ', l_linenumber) AS itemNote, CAST(floor(l_quantity / 5) AS INT) AS cartonQty, CAST(5 AS INT) AS qtyPerCarton, CAST(NULL AS VARCHAR(40)) AS ref_lrLineItemId, CAST(0 AS INT) AS confirmQty,
                CASE WHEN l_linenumber = 7 THEN 2130 ELSE {_LR_STATUS.format(k=_LR)} END AS itemStatus
         FROM {{lineitem}}""",
     "shipmentHeader": """
