@@ -23,6 +23,7 @@ DRIVER_TABLES = (
 _LINE_ID = "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)"
 _LR = "(l_orderkey - l_orderkey % 4)"
 _WO = "(l_orderkey - l_orderkey % 5)"
+_SUPPLIER = "(o_custkey % 3 + 3 * (o_orderkey % 3))"  # a supplier of the order's company
 _CENTS = "CAST(floor(l_extendedprice * 100 / l_quantity) AS BIGINT)"
 
 # The document states, units, currencies and other codes every
@@ -49,8 +50,8 @@ _CODES = """
 
 _SO_STATUS = ("CASE {k} % 7 WHEN 0 THEN 1105 WHEN 1 THEN 1106 WHEN 2 THEN 6237 WHEN 3 THEN 2125 "
               "WHEN 4 THEN 2144 WHEN 5 THEN 1107 ELSE 1108 END")
-_PO_STATUS = ("CASE {k} % 8 WHEN 0 THEN 1079 WHEN 1 THEN 1080 WHEN 2 THEN 1085 WHEN 3 THEN 1078 "
-              "WHEN 4 THEN 1077 WHEN 5 THEN 2143 WHEN 6 THEN 1086 ELSE 1087 END")
+_PO_STATUS = ("CASE WHEN {k} % 32 BETWEEN 8 AND 11 OR {k} % 32 BETWEEN 16 AND 19 THEN 1077 ELSE CASE {k} % 8 WHEN 0 THEN 1079 WHEN 1 THEN 1080 WHEN 2 THEN 1085 WHEN 3 THEN 1078 "
+              "WHEN 4 THEN 1077 WHEN 5 THEN 2143 WHEN 6 THEN 1086 ELSE 1087 END END")
 _LR_STATUS = ("CASE {k} % 32 WHEN 0 THEN 2132 WHEN 4 THEN 2133 WHEN 8 THEN 2129 WHEN 12 THEN 2134 "
               "WHEN 16 THEN 2135 WHEN 20 THEN 2145 WHEN 24 THEN 2130 ELSE 2131 END")
 
@@ -148,7 +149,7 @@ VIEWS: dict[str, str] = {
             AS t(emailListId, companyId, emailCategoryId, email, status)""",
     "md_Customer": """
         SELECT c_custkey AS customerId, CAST(1 + c_custkey % 3 AS INT) AS companyId,
-               CASE WHEN c_custkey % 10 = 3 THEN CAST(1 + c_custkey % 3 AS INT) ELSE 0 END AS internal_branchId,
+               CASE WHEN c_custkey % 10 = 3 THEN CAST(1 + (c_custkey + 2) % 3 AS INT) ELSE 0 END AS internal_branchId,
                CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE c_custkey - c_custkey % 10 END AS parent_customerId,
                c_name AS customerName, concat('C', c_custkey) AS customerShortCode,
                concat(c_mktsegment, ' Street') AS customerAddress,
@@ -202,13 +203,21 @@ VIEWS: dict[str, str] = {
                concat('EAN', l_partkey) AS EAN, CASE WHEN l_partkey % 5 = 0 THEN '' ELSE concat('Item ', l_partkey) END AS itemDesc,
                1120 AS currencyCode, min(CAST(floor(l_extendedprice * 100 / l_quantity) AS BIGINT)) AS csCost,
                CAST(3234 + l_partkey % 3 AS INT) AS tagDivision, CASE WHEN (o_custkey + l_partkey) % 9 = 0 OR l_partkey % 23 = 0 THEN 0 ELSE 1 END AS statusflag
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey""",
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_custkey <> 13 GROUP BY o_custkey, l_partkey
+        UNION ALL
+        SELECT concat('13-', p_partkey), p_partkey, CAST(13 AS BIGINT), 2, concat('CS-13-', p_partkey), concat('MS-', p_partkey), concat('EAN', p_partkey), concat('Item ', p_partkey),
+               1120, CAST(p_size * 100 AS BIGINT), CAST(3234 + p_partkey % 3 AS INT), CASE WHEN p_partkey % 29 = 0 THEN 0 ELSE 1 END
+        FROM {part}""",
+    "supplierOffer": f"""
+        SELECT l_partkey AS part, {_SUPPLIER} AS supplier, min({_CENTS}) AS cents
+        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey GROUP BY l_partkey, {_SUPPLIER}
+        UNION ALL
+        SELECT l_partkey, l_suppkey, min({_CENTS}) FROM {{lineitem}} WHERE l_suppkey >= 9 GROUP BY l_partkey, l_suppkey""",
     "md_SupplierSku": """
-        SELECT concat(l_partkey, '-', l_suppkey) AS supplierskuId, l_partkey AS invId, l_suppkey AS supplierId,
-               CAST(1 + l_suppkey % 3 AS INT) AS companyId, concat('SS-', l_suppkey, '-', l_partkey) AS supplierSku, concat('Part ', l_partkey) AS itemDesc,
-               CAST(1120 + l_suppkey % 3 AS INT) AS currencyCode, min(CAST(floor(l_extendedprice * 100 / l_quantity) AS BIGINT)) AS supCost,
-               CASE WHEN (l_partkey + l_suppkey) % 2 = 0 THEN 1 ELSE 0 END AS isDefault, CASE WHEN (l_partkey + l_suppkey) % 7 = 0 OR l_partkey % 23 = 0 THEN 0 ELSE 1 END AS statusflag
-        FROM {lineitem} GROUP BY l_partkey, l_suppkey""",
+        SELECT concat(part, '-', supplier) AS supplierskuId, part AS invId, supplier AS supplierId, CAST(1 + supplier % 3 AS INT) AS companyId,
+               concat('SS-', supplier, '-', part) AS supplierSku, concat('Part ', part) AS itemDesc, CAST(1120 + supplier % 3 AS INT) AS currencyCode, cents AS supCost,
+               CASE WHEN (part + supplier) % 2 = 0 THEN 1 ELSE 0 END AS isDefault, CASE WHEN (part + supplier) % 37 = 0 OR part % 23 = 0 THEN 0 ELSE 1 END AS statusflag
+        FROM supplierOffer""",
     "md_ShipToDestination": """
         SELECT c_custkey AS shipToId, CAST(1 + c_custkey % 3 AS INT) AS companyId, c_custkey AS customerId, CAST(1 + c_custkey % 4 AS INT) AS warehouseId,
                concat('L', 1 + c_custkey % 4) AS locNo, concat('Store ', c_custkey) AS shipToName, concat('ST-', c_custkey % 100) AS shipToLabel,
@@ -216,7 +225,7 @@ VIEWS: dict[str, str] = {
                CAST(c_nationkey AS INT) AS country, CAST(1 + c_custkey % 5 AS INT) AS pod
         FROM {customer}""",
     "soHeader": f"""
-        SELECT o_orderkey AS soHeaderId, CAST(1 + o_custkey % 3 AS INT) AS companyId, o_custkey AS customerId, o_orderkey % 10 AS supplierId,
+        SELECT o_orderkey AS soHeaderId, CAST(1 + o_custkey % 3 AS INT) AS companyId, o_custkey AS customerId, {_SUPPLIER} AS supplierId,
                concat('SO-', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0')) AS soName, CAST(o_orderdate AS DATE) AS soDate,
                CASE WHEN o_orderkey % 5 = 0 THEN concat('PO', o_orderkey % 5000, ', PO', o_orderkey % 4000)
                     WHEN o_orderkey % 4 = 1 THEN concat('P-', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0'))
@@ -242,10 +251,10 @@ VIEWS: dict[str, str] = {
                CASE l_linenumber WHEN 7 THEN 1107 WHEN 6 THEN 1108 WHEN 5 THEN 1105 ELSE (CASE WHEN l_linestatus = 'F' THEN 2125 ELSE 1106 END) END AS soLineItemStatus,
                CAST(3234 + l_linenumber % 3 AS INT) AS tagDivision, CASE WHEN l_linenumber = 1 THEN '' ELSE concat('Desc ', l_partkey) END AS soItemDesc,
                concat('R', l_suppkey) AS itemReference1, concat('E', l_partkey) AS itemReference2, '' AS itemNote,
-               CASE WHEN l_linenumber % 2 = 0 THEN {_LINE_ID} END AS ref_poLineItemId
+               CASE WHEN l_linenumber % 2 = 0 OR l_orderkey % 32 BETWEEN 8 AND 11 THEN {_LINE_ID} END AS ref_poLineItemId
         FROM {{lineitem}}""",
     "poHeader": f"""
-        SELECT o_orderkey AS poId, CAST(1 + o_custkey % 3 AS INT) AS companyId, o_orderkey % 10 AS supplierId,
+        SELECT o_orderkey AS poId, CAST(1 + o_custkey % 3 AS INT) AS companyId, {_SUPPLIER} AS supplierId,
                concat('P-', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0')) AS poName, CAST(o_orderdate + INTERVAL 5 DAY AS DATE) AS poDate,
                concat('SO-', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0')) AS poReferenceId, o_custkey AS shipToId, CAST(3401 + o_custkey % 3 AS INT) AS shipVia, 'Singapore' AS portOfLanding,
                CAST(1 + o_custkey % 5 AS INT) AS portOfDestination, concat('PO', o_orderkey % 5000, ', PO', o_orderkey % 4000) AS reference1,
@@ -257,17 +266,17 @@ VIEWS: dict[str, str] = {
         FROM {{orders}}""",
     "poLineItem": f"""
         SELECT {_LINE_ID} AS podetailsId, l_orderkey AS poId, {_LINE_ID} AS soLineItemId, l_partkey AS invID, l_suppkey AS skuSupplierId,
-               concat('SS-', l_partkey % 500) AS supplierSku, concat('MS-', l_partkey) AS merchantSku, concat('EAN', l_partkey) AS EAN,
+               concat('CS-13-', l_partkey) AS supplierSku, concat('MS-', l_partkey) AS merchantSku, concat('EAN', l_partkey) AS EAN,
                CASE WHEN l_linenumber = 1 THEN '' ELSE concat('PO item ', l_partkey) END AS poItemDesc, 'USD' AS currencyCode,
                CAST(floor(l_extendedprice * 100 / l_quantity) AS BIGINT) AS unitPrice, CAST(l_quantity AS INT) AS qty,
                CAST(CASE WHEN l_returnflag = 'R' THEN l_quantity WHEN l_returnflag = 'A' THEN floor(l_quantity / 3) ELSE 0 END AS INT) AS rcvQty,
-               CAST(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE floor(l_quantity / 3) END AS INT) AS lrQty,
+               CAST(CASE WHEN l_orderkey % 16 = 4 THEN 0 WHEN l_linestatus = 'F' THEN l_quantity ELSE floor(l_quantity / 3) END AS INT) AS lrQty,
                CASE l_linenumber WHEN 7 THEN 1086 WHEN 6 THEN 1087 ELSE {_PO_STATUS.format(k='l_orderkey')} END AS itemStatus,
                concat('Remark ', l_suppkey % 5) AS itemNote, concat('R', l_suppkey) AS itemReference1
         FROM {{lineitem}}""",
     "lrHeader": f"""
         SELECT o_orderkey - o_orderkey % 4 AS lrHeaderId, min(CAST(1 + o_custkey % 3 AS INT)) AS companyId, min(o_custkey) AS customerId,
-               min(o_orderkey % 10) AS supplierId, concat('LR-', lpad(CAST(o_orderkey - o_orderkey % 4 AS VARCHAR(20)), 9, '0')) AS lrName,
+               min({_SUPPLIER}) AS supplierId, concat('LR-', lpad(CAST(o_orderkey - o_orderkey % 4 AS VARCHAR(20)), 9, '0')) AS lrName,
                min(CAST(o_orderdate + INTERVAL 22 DAY AS DATE)) AS lrDate, min(CAST(o_orderdate + INTERVAL 25 DAY AS DATE)) AS lrShipDate, '' AS lrNote,
                CASE WHEN (o_orderkey - o_orderkey % 4) % 8 = 4 THEN o_orderkey - o_orderkey % 4 - 4 END AS ref_customerLrHeaderId,
                CASE (o_orderkey - o_orderkey % 4) % 12 WHEN 0 THEN '_REL_' WHEN 4 THEN '_READYLOAD_' ELSE '' END AS apiStatus,
@@ -287,7 +296,7 @@ VIEWS: dict[str, str] = {
         FROM {{orders}} GROUP BY o_orderkey - o_orderkey % 4, o_orderkey % 2""",
     "lrLineItem": f"""
         SELECT {_LINE_ID} AS lrDetailsId, {_LR} AS lrHeaderId, {_LR} * 10 + 1 + l_orderkey % 2 AS lrContainerId, l_orderkey AS soHeaderId,
-               {_LINE_ID} AS soLineItemId, l_orderkey AS poId, {_LINE_ID} AS poDetailsId, concat('SS-', l_partkey % 500) AS supplierSku, l_partkey AS invID,
+               {_LINE_ID} AS soLineItemId, l_orderkey AS poId, {_LINE_ID} AS poDetailsId, concat('CS-13-', l_partkey) AS supplierSku, l_partkey AS invID,
                CAST(l_quantity AS INT) AS qty, CAST(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE floor(l_quantity / 2) END AS INT) AS processQty,
                concat('ln ', l_linenumber) AS itemNote, CAST(floor(l_quantity / 5) AS INT) AS cartonQty, CAST(5 AS INT) AS qtyPerCarton, CAST(NULL AS VARCHAR(40)) AS ref_lrLineItemId, CAST(0 AS INT) AS confirmQty,
                CASE WHEN l_linenumber = 7 THEN 2130 ELSE {_LR_STATUS.format(k=_LR)} END AS itemStatus
@@ -355,17 +364,26 @@ VIEWS: dict[str, str] = {
         FROM {events} GROUP BY user_id
         UNION ALL
         SELECT CAST(1 + (user_id + 1) % 4 AS INT), CAST(1 + user_id % 3 AS INT), user_id, CAST(count(*) AS BIGINT), CAST(0 AS BIGINT)
-        FROM {events} WHERE event_type = 'view' GROUP BY user_id""",
+        FROM {events} WHERE event_type = 'view' GROUP BY user_id
+        UNION ALL
+        SELECT 1, 1, p_partkey, CASE WHEN p_partkey % 19 = 0 THEN CAST(5 AS BIGINT) ELSE CAST(100000 + p_partkey AS BIGINT) END, CAST(0 AS BIGINT)
+        FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {events} WHERE user_id = p_partkey) 
+        UNION ALL
+        SELECT 2, 2, p_partkey, CASE WHEN p_partkey % 19 = 0 THEN CAST(5 AS BIGINT) ELSE CAST(100000 + p_partkey AS BIGINT) END, CAST(0 AS BIGINT)
+        FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {events} WHERE user_id = p_partkey) 
+        UNION ALL
+        SELECT 3, 3, p_partkey, CASE WHEN p_partkey % 19 = 0 THEN CAST(5 AS BIGINT) ELSE CAST(100000 + p_partkey AS BIGINT) END, CAST(0 AS BIGINT)
+        FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {events} WHERE user_id = p_partkey)""",
     "inventoryBalanceWh_Lock": f"""
         SELECT {_LINE_ID} AS warehouseBalanceLockId, CAST(1 + l_partkey % 3 AS INT) AS companyId, l_orderkey AS soHeaderId, {_LINE_ID} AS soLineItemId,
                CAST(1 + l_partkey % 4 AS INT) AS warehouseId, l_partkey AS invid, CAST(l_quantity AS BIGINT) AS lockQty, CAST(floor(l_quantity / 4) AS BIGINT) AS releaseQty
         FROM {{lineitem}} WHERE l_returnflag = 'A'""",
-    "poReceivedHeader": """
-        SELECT o_orderkey AS poRcvHeaderId, CAST(1 + o_custkey % 3 AS INT) AS companyId, o_orderkey % 10 AS supplierId, CAST(o_orderdate + INTERVAL 29 DAY AS DATE) AS poRcvDate,
+    "poReceivedHeader": f"""
+        SELECT o_orderkey AS poRcvHeaderId, CAST(1 + o_custkey % 3 AS INT) AS companyId, {_SUPPLIER} AS supplierId, CAST(o_orderdate + INTERVAL 29 DAY AS DATE) AS poRcvDate,
                concat('RCV', o_orderkey) AS poRcvName, concat('DO', o_orderkey % 800) AS supplierDO, CAST(1 + o_custkey % 4 AS INT) AS warehouseId, 3159 AS poRcvStatus
-        FROM {orders} WHERE o_orderstatus = 'F'""",
+        FROM {{orders}} WHERE o_orderstatus = 'F'""",
     "poReceivedLineItem": f"""
-        SELECT {_LINE_ID} AS poRcvLineItemId, l_orderkey AS poRcvHeaderId, {_LINE_ID} AS poDetailsId, l_partkey AS invId, concat('SS-', l_partkey % 500) AS supplierSku,
+        SELECT {_LINE_ID} AS poRcvLineItemId, l_orderkey AS poRcvHeaderId, {_LINE_ID} AS poDetailsId, l_partkey AS invId, concat('CS-13-', l_partkey) AS supplierSku,
                CAST(floor(l_quantity / 2) AS INT) AS rcvQty, '' AS notes, 3159 AS poRcvLineItemStatus
         FROM {{lineitem}} WHERE l_returnflag <> 'N'""",
     "orderProcess": """
@@ -402,7 +420,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN o_orderkey % 53 = 0 THEN 'P-none' ELSE concat('p-', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0')) END AS poName,
                concat('PO', o_orderkey % 5000) AS customerPo,
                CASE o_custkey % 5 WHEN 0 THEN 'antwerp' WHEN 1 THEN 'Busan' WHEN 2 THEN 'Cadiz' WHEN 3 THEN 'Durban' ELSE 'Ennore' END AS pod,
-               concat('SS-', l_partkey % 500) AS supplierSku, CASE WHEN o_orderkey % 47 = 0 THEN '' ELSE concat('MS-', l_partkey) END AS merchantSku,
+               concat('CS-13-', l_partkey) AS supplierSku, CASE WHEN o_orderkey % 47 = 0 THEN '' ELSE concat('MS-', l_partkey) END AS merchantSku,
                CASE WHEN o_orderkey % 43 = 0 THEN 'many' WHEN o_orderkey % 41 = 0 THEN '-1' WHEN o_orderkey % 37 = 0 THEN '99'
                     WHEN o_orderkey % 3 = 0 THEN CAST(CAST(1 + floor(l_quantity / 4) AS INT) AS VARCHAR(20))
                     ELSE CAST(CAST(l_quantity - floor(l_quantity / 3) AS INT) AS VARCHAR(20)) END AS lrQty,
@@ -430,7 +448,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN o_orderkey % 17 = 0 THEN concat('DO', o_orderkey % 800) ELSE concat('NDO', o_orderkey) END,
                CASE WHEN o_orderkey % 53 = 0 THEN 'P-none' ELSE concat('P-', lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0')) END,
                CASE WHEN o_orderkey % 37 = 0 AND l_linenumber = 1 THEN 'annex' WHEN o_custkey % 3 = 0 THEN 'main' WHEN o_custkey % 3 = 1 THEN 'L2' ELSE 'Lake' END,
-               concat('ss-', l_partkey % 500), CASE WHEN o_orderkey % 43 = 0 THEN 'many' WHEN o_orderkey % 41 = 0 THEN '99' ELSE CAST(CAST(ceil(l_quantity / 3) AS INT) AS VARCHAR(20)) END, 'part'
+               concat('cs-13-', l_partkey), CASE WHEN o_orderkey % 43 = 0 THEN 'many' WHEN o_orderkey % 41 = 0 THEN '99' ELSE CAST(CAST(ceil(l_quantity / 3) AS INT) AS VARCHAR(20)) END, 'part'
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R'""",
     "temp_inventoryMovementLog": """
         SELECT event_id AS invMovementLog_Id, concat('mv', event_id - event_id % 8, '.csv') AS fileLoaded, CAST(1 + user_id % 3 AS INT) AS companyId,

@@ -32,7 +32,19 @@ class Tables:
             raise KeyError(f"no table named {name}") from None
 
     def replace(self, **frames: DataFrame) -> "Tables":
-        return Tables({**self._frames, **{k.lower(): v for k, v in frames.items()}})
+        """The same tables with some of them exchanged."""
+        return Overlay(self, frames)
+
+
+class Overlay(Tables):
+    """Tables laid over other tables."""
+
+    def __init__(self, base: Tables, frames: Mapping[str, DataFrame]):
+        super().__init__(frames)
+        self._base = base
+
+    def get(self, name: str) -> DataFrame:
+        return self._frames[name.lower()] if name.lower() in self._frames else self._base.get(name)
 
 
 class StarSchemaTables(Tables):
