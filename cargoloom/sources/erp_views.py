@@ -248,7 +248,7 @@ VIEWS: dict[str, str] = {
                CAST(CASE WHEN l_orderkey % 7 IN (0, 2) THEN 0 WHEN l_linestatus = 'F' THEN l_quantity ELSE floor(l_quantity / 2) END AS INT) AS poQty,
                CAST(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE floor(l_quantity / 4) END AS INT) AS processQty,
                CAST(CASE WHEN l_returnflag = 'R' THEN l_quantity WHEN l_returnflag = 'A' THEN floor(l_quantity / 3) ELSE 0 END AS INT) AS shpQty,
-               CASE l_linenumber WHEN 7 THEN 1107 WHEN 6 THEN 1108 WHEN 5 THEN 1105 ELSE (CASE WHEN l_linestatus = 'F' THEN 2125 ELSE 1106 END) END AS soLineItemStatus,
+               CASE WHEN l_linenumber = 7 THEN 1107 WHEN l_linenumber = 6 THEN 1108 WHEN l_orderkey % 7 = 2 THEN 6237 WHEN l_linenumber = 5 THEN 1105 WHEN l_linestatus = 'F' THEN 2125 ELSE 1106 END AS soLineItemStatus,
                CAST(3234 + l_linenumber % 3 AS INT) AS tagDivision, CASE WHEN l_linenumber = 1 THEN '' ELSE concat('Desc ', l_partkey) END AS soItemDesc,
                concat('R', l_suppkey) AS itemReference1, concat('E', l_partkey) AS itemReference2, '' AS itemNote,
                CASE WHEN l_linenumber % 2 = 0 OR l_orderkey % 32 BETWEEN 8 AND 11 THEN {_LINE_ID} END AS ref_poLineItemId
