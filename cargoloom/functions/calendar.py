@@ -44,3 +44,9 @@ def calendar_columns(c: str):
         year_start.alias("FirstDayOfYear"), F.last_day(F.add_months(year_start, 11)).alias("LastDayOfYear"),
         F.add_months(month_start, 1).alias("FirstDayOfNextMonth"), F.add_months(year_start, 12).alias("FirstDayOfNextYear"),
     ]
+
+
+def numbers_of(df: DataFrame, start, stop, step: int = 1, out: str = "i") -> DataFrame:
+    """Each row once per number from start to stop by step; rows whose start lies beyond stop give none."""
+    first, last = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (start, stop))
+    return df.where(first <= last if step > 0 else first >= last).withColumn(out, F.explode(F.sequence(first, last, F.lit(step))))

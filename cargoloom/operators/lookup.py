@@ -95,3 +95,8 @@ def rate_at(df: DataFrame, rates: DataFrame, company: str, home: str, foreign: s
     same = ((F.col(company) == F.col("_qc")) & (F.col(home) == F.col("_qh"))
             & (F.col(foreign) == F.col("_qf")) & (F.col(on_date) == F.col("_qd")))
     return df.join(chosen, same, "left").drop("_qc", "_qh", "_qf", "_qd")
+
+
+def pivot_attributes(attributes: DataFrame, item: str, name: str, value: str, names: list[str]) -> DataFrame:
+    """Attribute rows -> one row per item with a column per fixed name (matched case-insensitively)."""
+    return attributes.groupBy(item).agg(*[F.max(F.when(text_key(name) == n.lower(), F.col(value))).alias(n) for n in names])

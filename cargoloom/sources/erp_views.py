@@ -140,13 +140,12 @@ VIEWS: dict[str, str] = {
             (19, 1, 'LR', 'L1-yy-xxxxx', 1, 99999), (20, 2, 'LR', 'L2-yy-xxxxx', 1, 99999), (21, 3, 'LR', 'L3-yy-xxxxx', 1, 99999))
             AS t(Id, csID, condition, ItemFormat, NextNum, MaxNum)""",
     "md_EmailCategory": """
-        SELECT * FROM (VALUES (1, 'SO-NEW', 1), (2, 'SO-CANCEL', 1), (3, 'SO-REOPEN', 1), (4, 'LR-RELEASE', 1), (5, 'LR-READY', 1),
-            (6, 'WO-NEW', 1), (7, 'ASN', 1), (8, 'RTG', 1)) AS t(emailCategoryId, emailCategory, status)""",
+        SELECT * FROM (VALUES (1, 'New SO', 1), (2, 'Cancel SO', 1), (3, 'Reopen SO', 1), (4, 'Released LR', 1), (5, 'Ready LR', 1), (6, 'New WO', 1),
+            (7, 'Shipment ASN', 1), (8, 'Shipment RTG', 1)) AS t(emailCategoryId, actionName, status)""",
     "md_EmailList": """
-        SELECT * FROM (VALUES (1, 1, 1, 'a@one.test', 1), (2, 1, 1, 'b@one.test', 1), (3, 2, 1, 'c@two.test', 1), (4, 3, 1, 'd@three.test', 0),
-            (5, 1, 2, 'a@one.test', 1), (6, 2, 2, 'c@two.test', 1), (7, 3, 3, 'e@three.test', 1), (8, 1, 4, 'f@one.test', 1),
-            (9, 2, 5, 'c@two.test', 1), (10, 1, 6, 'g@one.test', 1), (11, 3, 6, 'h@three.test', 1), (12, 1, 7, 'a@one.test', 1), (13, 2, 8, 'c@two.test', 1))
-            AS t(emailListId, companyId, emailCategoryId, email, status)""",
+        SELECT DISTINCT user_id * 10 + user_id % 8 AS emailListId, CAST(1 + user_id % 3 AS INT) AS companyId, CAST(1 + user_id % 8 AS INT) AS emailCategoryId,
+               concat('user', user_id, '@example.test') AS emailAddress, CASE WHEN user_id % 5 = 4 THEN 0 ELSE 1 END AS status
+        FROM {events} WHERE user_id < 90""",
     "md_Customer": """
         SELECT c_custkey AS customerId, CAST(1 + c_custkey % 3 AS INT) AS companyId,
                CASE WHEN c_custkey % 10 = 3 THEN CAST(1 + (c_custkey + 2) % 3 AS INT) ELSE 0 END AS internal_branchId,
