@@ -43,6 +43,10 @@ def id_list(df: DataFrame, column: str, path: str, name: str, type_: str = "bigi
 
 
 def payload_text(df: DataFrame, by: list[str], columns: list[str], path: str, out: str = "payload") -> DataFrame:
-    """One JSON list per group: ``{"path": [{...}, ...]}`` with rows in column order."""
+    """One JSON list per group: ``{"path": [{...}, ...]}`` with rows in column order.
+
+    A payload is one text value, so group by something the size of a request
+    or a document, never by a status, a company or another unbounded key.
+    """
     rows = F.array_sort(F.collect_list(F.struct(*columns)))
     return df.groupBy(*by).agg(F.to_json(F.struct(rows.alias(path))).alias(out))

@@ -35,8 +35,19 @@ def portable(df: DataFrame) -> DataFrame:
     return df.select(*[out(f) for f in df.schema.fields])
 
 
+_OPEN: dict[tuple[str, str], StarSchemaTables] = {}
+
+
+def _tables(spark: SparkSession, directory: str) -> StarSchemaTables:
+    """The tables of a directory; a view is parsed once per application, not once per query."""
+    key = (spark.sparkContext.applicationId, directory)
+    if key not in _OPEN:
+        _OPEN[key] = StarSchemaTables(spark, directory)
+    return _OPEN[key]
+
+
 def _runner(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, directory: portable(build(StarSchemaTables(spark, directory)))
+    return lambda spark, directory: portable(build(_tables(spark, directory)))
 
 
 def _load() -> None:

@@ -18,10 +18,12 @@ from .reports import _address, _config
 from .transitions import _so
 
 # --- payloads
-_payloads = lambda t: payload_text(t.soHeader.select(F.col("soStatus"), F.col("soHeaderId").cast("string").alias("soHeaderId"), "customerPO"), ["soStatus"], ["soHeaderId", "customerPO"], "soList")
+# one payload per forty neighbouring orders, the size of a request
+_payloads = lambda t: payload_text(t.soHeader.select((F.col("soHeaderId") - F.col("soHeaderId") % 40).alias("requestNo"), F.col("soHeaderId").cast("string").alias("soHeaderId"), "customerPO"), ["requestNo"],
+                                   ["soHeaderId", "customerPO"], "soList")
 register("payload_ids", lambda t: id_list(_payloads(t), "payload", "soList", "soHeaderId"), "SELECT soHeaderId FROM soHeader")
-register("payload_rows", lambda t: parse_payload(_payloads(t), "payload", {"soHeaderId": "bigint", "customerPO": "int"}, "soList", keep=("soStatus",)),
-         "SELECT soStatus, soHeaderId, try_cast(customerPO AS INT) AS customerPO FROM soHeader")
+register("payload_rows", lambda t: parse_payload(_payloads(t), "payload", {"soHeaderId": "bigint", "customerPO": "int"}, "soList", keep=("requestNo",)),
+         "SELECT soHeaderId - soHeaderId % 40 AS requestNo, soHeaderId, try_cast(customerPO AS INT) AS customerPO FROM soHeader")
 register("payload_object", lambda t: parse_payload(t.soHeader.select(F.to_json(F.struct(F.col("soHeaderId").cast("string").alias("soHeaderId"), "soName")).alias("p")), "p", {"soHeaderId": "bigint", "soName": "string"}),
          "SELECT soHeaderId, soName FROM soHeader")
 

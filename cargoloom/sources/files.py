@@ -37,20 +37,22 @@ def publish(spark: SparkSession, root: str, outputs: Mapping[str, DataFrame], ve
     for name, df in outputs.items():
         df.write.mode("overwrite").parquet(f"{root}/versions/{version}/{name}")
     fs, path = _filesystem(spark, root)
-    fresh, current = path(f"{root}/_pointer.{version}"), path(f"{root}/_pointer")
+    fresh, current = path(f"{root}/CURRENT.{version}"), path(f"{root}/CURRENT")
     stream = fs.create(fresh, True)
     stream.write(bytearray(version, "utf-8"))
     stream.close()
-    fs.delete(current, False)
-    if not fs.rename(fresh, current):
-        raise RuntimeError(f"could not point {root} at version {version}")
+    # one rename that replaces the pointer, so there is no moment without one
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(options, 1)
+    how[0] = options.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fresh, current, how)
     return version
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
     fs, path = _filesystem(spark, root)
-    pointer = path(f"{root}/_pointer")
-    return spark.read.text(f"{root}/_pointer").first()[0] if fs.exists(pointer) else None
+    return spark.read.text(f"{root}/CURRENT").first()[0] if fs.exists(path(f"{root}/CURRENT")) else None
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
