@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, text_key
-from .ordering import ordinal
+from .ordering import ordinal, shared_checkpoint
 
 # A message lists at most this many keys; further keys go to further parts of the message.
 KEYS_PER_MESSAGE = 100
@@ -47,7 +47,8 @@ def validate(df: DataFrame, rules: list[Rule], row_id: str, scope: list[str], st
     checks = F.array(*[F.struct(F.lit(i + 1).alias("ruleNo"), F.lit(r.message).alias("rule"),
                                 (r.key if r.key is not None else F.lit("")).cast("string").alias("key"),
                                 F.coalesce(r.failed, F.lit(False)).alias("failed")) for i, r in enumerate(rules)])
-    flagged = df.withColumn("_failures", F.filter(checks, lambda c: c["failed"]))
+    # errors, accepted rows and all that is made from them start from these rows, so they are computed once
+    flagged = shared_checkpoint(df.withColumn("_failures", F.filter(checks, lambda c: c["failed"])))
     errors = flagged.select(*scope, row_id, F.explode("_failures").alias("_f")) \
         .select(*scope, row_id, "_f.ruleNo", "_f.rule", "_f.key")
     clean = flagged.where(F.size("_failures") == 0).drop("_failures")
@@ -106,13 +107,17 @@ def exceeds(requested: str, open_qty: str) -> Column:
     return F.sum(requested) > F.max(open_qty)
 
 
-def flag_groups(df: DataFrame, checks: list[tuple[list[str], dict[str, Column]]]) -> DataFrame:
+def flag_groups(df: DataFrame, checks: list[tuple[list[str], dict[str, Column]]], written: bool = False) -> DataFrame:
     """Mark rows whose group fails a test; ``checks`` are (group columns, {flag: aggregate test}).
 
+    The rows are read once more per grouping; ``written`` writes them to the
+    shared folder first, for rows that are costly to make.
+
     Each grouping is one map-side-combined aggregate over ``df`` itself, and only
     failing groups come back to be joined, so a large clean input joins with
     little, and a very large group is one row.
     """
+    df = shared_checkpoint(df) if written else df
     out = df
     for n, (group, tests) in enumerate(checks):
         keys = _keys(df, group)

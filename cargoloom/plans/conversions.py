@@ -18,7 +18,7 @@ from ..functions.text import blank
 from ..operators.history import audit_feed
 from ..operators.ledger import BALANCE_KEY, ledger_apply, release
 from ..operators.lookup import config_value, keep_if, lookup, rate_at
-from ..operators.ordering import running_totals, shared_checkpoint
+from ..operators.ordering import running_totals
 from ..operators.validate import Rule, differs, exceeds, flag_groups, validate
 from ..sources.tables import Tables
 from .loads import ReceiptDocuments, receive
@@ -277,7 +277,7 @@ def ship_loading_requests(t: Tables, requests: DataFrame, as_of) -> Shipments:
     short = demand.where(F.col("_upto") > F.coalesce("_stock", F.lit(0))).select("lrHeaderId", "invId", F.lit(True).alias("_short"))
     rows = rows.join(short, ["lrHeaderId", "invId"], "left")
     checked = validate(rows, [Rule("{} has not enough stock", F.col("_short"), F.col("supplierSku"))], "lrDetailsId", ["requestId"])
-    good = shared_checkpoint(checked.accepted.drop("_short"))  # every output below starts from these rows
+    good = checked.accepted.drop("_short")
 
     bols = allocate_numbers(good.select("companyId", "lrContainerId").distinct(), t.md_SequenceNumber, "BOL", "companyId", ["lrContainerId"], as_of, "bol")
     ships = allocate_numbers(good.select("companyId", "lrContainerId", "soHeaderId").distinct(), t.md_SequenceNumber, "SHIP", "companyId", ["lrContainerId", "soHeaderId"], as_of, "shipId")

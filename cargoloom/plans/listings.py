@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import blank, contains_text, distinct_list
 from ..operators.history import unread_flags
 from ..operators.lookup import between_if, code_name, keep_if, lookup
+from ..operators.ordering import shared_checkpoint
 from ..operators.paging import paged_listing
 from ..sources.tables import Tables
 
@@ -174,15 +175,20 @@ def loading_request_listing(t: Tables, company_id=None, supplier_id=None, ship_d
 
     by = ["lrHeaderId", "lrName", "bookingNo", "customerName", "earlyShipDate", "lateShipDate", "containerType", "containerSeq",
           "lrStatus", "status", "itemStatus"]
-    rows = lines.groupBy(*by).agg(F.countDistinct("supplierSku").alias("uniqueSku"), F.sum("qty").alias("totalLrQty"),
-                                  F.sum(F.coalesce("_stock", F.lit(0))).alias("invBalance"))
-    names = lines.groupBy("lrHeaderId").agg(distinct_list("soName").alias("soName"), distinct_list("customerPO").alias("customerPO"))
+    # the grouped rows are counted and paged, so they are made once; the lists are made for the page only
+    rows = shared_checkpoint(lines.groupBy(*by).agg(F.countDistinct("supplierSku").alias("uniqueSku"), F.sum("qty").alias("totalLrQty"),
+                                                    F.sum(F.coalesce("_stock", F.lit(0))).alias("invBalance")))
+
+    def lists(of: DataFrame) -> DataFrame:
+        return of.groupBy("lrHeaderId").agg(distinct_list("soName").alias("soName"), distinct_list("customerPO").alias("customerPO"))
+
     sorts = {1: "lrName", 2: "bookingNo", 3: "customerName", 4: "soName", 5: "customerPO", 6: "earlyShipDate", 7: "containerType",
              8: "containerSeq", 9: "uniqueSku", 10: "totalLrQty"}
     key = ["lrHeaderId", "containerSeq", "customerName", "itemStatus"]
     if sort_by in (4, 5):
-        return paged_listing(rows.join(names, "lrHeaderId"), sorts, sort_by, direction, key, row_start, page_rows)
-    return paged_listing(rows, sorts, sort_by, direction, key, row_start, page_rows).join(names, "lrHeaderId")
+        return paged_listing(rows.join(lists(lines), "lrHeaderId"), sorts, sort_by, direction, key, row_start, page_rows)
+    page = paged_listing(rows, sorts, sort_by, direction, key, row_start, page_rows)
+    return page.join(lists(lines.join(_ids(page, "lrHeaderId"), "lrHeaderId", "left_semi")), "lrHeaderId")
 
 
 def loading_pending_listing(t: Tables, company_id=None, customer_id=None, ship_dates=(None, None), port=None,

@@ -17,7 +17,7 @@ from ..functions.numbering import allocate_codes, allocate_numbers
 from ..functions.text import blank, date_or_null, int_or_null, number_or_null, text_key
 from ..operators.ledger import BALANCE_KEY, all_lines_in, ledger_apply, roll_up_qty, signed_qty
 from ..operators.lookup import keep_if, lookup, resolve
-from ..operators.validate import Checked, Rule, differs, exceeds, flag_groups, in_file_duplicates, open_qty_guard, required, validate
+from ..operators.validate import Checked, Rule, differs, exceeds, flag_groups, in_file_duplicates, required, validate
 from ..sources.tables import Tables
 
 
@@ -49,7 +49,7 @@ def orders_holding(staged: DataFrame, orders: DataFrame) -> DataFrame:
     pieces = F.flatten(F.transform(F.filter("_lengths", lambda n: n <= F.length("_text")),
                                    lambda n: F.transform(F.sequence(F.lit(1), F.length("_text") - n + 1), lambda i: F.substring("_text", i, n))))
     grams = known.select("companyId", "customerId", F.explode(F.array_distinct(pieces)).alias("_po"))
-    return asked.join(grams, ["companyId", "customerId", "_po"], "left_semi")
+    return grams.join(asked, ["companyId", "customerId", "_po"], "left_semi").distinct()
 
 
 # --- sales orders ---------------------------------------------------------------------------------------------
@@ -140,7 +140,7 @@ def check_loading_request_file(t: Tables, as_of, file: str | None = None, compan
     rows = flag_groups(rows, [
         (scope, {"_ports": differs("portId"), "_dates": differs("shipDate"), "_suppliers": differs("supplierId")}),
         ([*scope, "containerSeq"], {"_types": differs("containerTypeId"), "_notes": differs("notes")}),
-        ([*scope, "poDetailsId"], {"_over": exceeds("_qty", "_open")})])
+        ([*scope, "poDetailsId"], {"_over": exceeds("_qty", "_open")})], written=True)
     rules = [
         required("Customer PO, port, supplier SKU, merchant SKU, quantity, ship date, container type and sequence, PO line", "customerPo", "pod", "supplierSku",
                  "merchantSku", "lrQty", "shipDate", "containerType", "containerSeq", "poDetailsId"),
@@ -204,7 +204,7 @@ def check_loading_plan_file(t: Tables, file: str | None = None, company_id=None,
     scope = ["fileLoaded"]
     rows = flag_groups(rows, [
         (scope, {"_customers": differs("customerId"), "_dates": differs("shipDate"), "_places": differs("shipToId")}),
-        ([*scope, "containerSeq"], {"_types": differs("containerTypeId")})])
+        ([*scope, "containerSeq"], {"_types": differs("containerTypeId")})], written=True)
     rules = [
         required("Customer name, SKU, quantity, ship date and destination", "customerName", "merchantSku", "lrQty", "shipDate", "shipToLabel"),
         Rule("Container sequence and quantity must be positive whole numbers", missing("_qty") | (F.col("_qty") <= 0) | missing("_seq") | (F.col("_seq") <= 0)),
@@ -243,7 +243,7 @@ def check_receipt_file(t: Tables, file: str | None = None, company_id=None, stri
     used = t.poReceivedHeader.select(text_key("supplierDO").alias("_uno"), F.col("supplierId").alias("_us"), F.col("companyId").alias("_uc"), F.lit(True).alias("_used")).distinct()
     rows = rows.join(used, (F.col("_no") == F.col("_uno")) & (F.col("supplierId") == F.col("_us")) & (F.col("companyId") == F.col("_uc")), "left").drop("_uno", "_us", "_uc")
     rows = rows.withColumn("_openQty", F.col("_poQty") - F.col("_poRcv"))
-    rows = open_qty_guard(rows, "poDetailsId", "rcvQty", "_openQty", "_over", scope)
+    rows = flag_groups(rows, [([*scope, "poDetailsId"], {"_over": exceeds("rcvQty", "_openQty")})], written=True)
     rules = [
         Rule("Record type {} is neither DO nor DL", ~F.col("_kind").isin("DO", "DL"), F.col("recordType")),
         required("Delivery order number", "doNo"),

@@ -9,7 +9,7 @@ from ..functions.address import party_addresses, phone_line
 from ..functions.permission import may_add
 from ..functions.text import blank, distinct_list
 from ..operators.lookup import between_if, code_name, config_value, keep_if, lookup, resolve
-from ..operators.ordering import ordinal
+from ..operators.ordering import ordinal, shared_checkpoint
 from ..sources.tables import Tables
 from .views import attribute, container_limits, money, only
 
@@ -219,7 +219,7 @@ def container_summary(t: Tables, company_id=None, dates=(None, None)) -> DataFra
         "customerId": F.when(F.col("_lrCustomer") == 0, F.col("_soCustomer")).otherwise(F.col("_lrCustomer")),
         "thirdPartyPo": F.when(F.col("isMarketing") == 1, F.col("_customerPo")).otherwise(F.col("_third")),
         "customerPo": F.coalesce("_po", "_customerPo"), "rptMonth": F.trunc("lateShipDate", "MM").cast("date")})
-    lines = lookup(lines, t.md_Customer, {"customerId": "customerId"}, customer="customerName")
+    lines = shared_checkpoint(lookup(lines, t.md_Customer, {"customerId": "customerId"}, customer="customerName"))  # read at three grains
     per_order = lines.groupBy("soHeaderId").agg(F.countDistinct("lrContainerId").alias("containerQty"),
                                                 distinct_list("inventoryType", ", ").alias("inventoryTypeList"))
     rows = lines.select("soHeaderId", "customerId", "customer", "soDate", "lateShipDate", "customerPo", "thirdPartyPo", "containerType", "shipTo",
@@ -270,7 +270,7 @@ def request_print_lines(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     lines = lookup(lines, t.soLineItem, {"soLineItemId": "soLineItemId"}, customerSku="customerSku", merchantSku="merchantSku", soItemDesc=F.upper("soItemDesc"))
     lines = lookup(lines, t.md_Inventory, {"invID": "invID"}, cbm="cbm", grossWeight="grossWeight", netWeight="netWeight")
     heads = lookup(t.lrHeader, t.md_Company, {"companyId": "companyId"}, isMarketing="isMarketing")
-    lines = lookup(lines, heads, {"lrHeaderId": "lrHeaderId"}, isMarketing="isMarketing", _lrCustomer="customerId")
+    lines = shared_checkpoint(lookup(lines, heads, {"lrHeaderId": "lrHeaderId"}, isMarketing="isMarketing", _lrCustomer="customerId"))  # read at three grains
 
     named = {"soName": "SoName", "poName": "PoName", "customerPO": "CustomerPO", "thirdPartyPo": "ThirdPartyPo"}
     per_box = lines.groupBy("lrContainerId").agg(*[distinct_list(c, ", ").alias(f"header{n}") for c, n in named.items()])
@@ -339,7 +339,7 @@ def shipping_print_lines(t: Tables, report_type: str, ids: DataFrame | None = No
     items = lookup(items, t.md_inventoryType, {"_type": "inventoryTypeId"}, inventoryType="inventoryType")
     zero = F.lit(0)
     items = items.withColumns({"discount": zero, "tax": zero, "_cost": F.col("shipQty") * F.col("csCost")})
-    items = items.withColumn("ttlAmount", F.col("_cost") - F.col("shipQty") * F.col("discount") + F.col("shipQty") * F.col("tax"))
+    items = shared_checkpoint(items.withColumn("ttlAmount", F.col("_cost") - F.col("shipQty") * F.col("discount") + F.col("shipQty") * F.col("tax")))
     totals = items.groupBy("documentKey").agg(
         F.sum("shipQty").alias("ttlShipQty"), F.min("measurement").alias("measurement"), F.sum(F.col("shipQty") * F.col("_cbm")).alias("totalShipmentCbm"),
         F.sum("_cost").alias("invCost"), F.sum(F.col("shipQty") * F.col("discount")).alias("invDiscount"), F.sum(F.col("shipQty") * F.col("tax")).alias("invTax"),
@@ -426,6 +426,7 @@ def work_order_print(t: Tables, ids: DataFrame | None = None) -> DataFrame:
                    customerModelNo="itemReference1", EAN="itemReference2", itemDesc="soItemDesc")
     items = lines.groupBy("workOrderHeaderId", "soName", "customerPo", "POD", "thirdPartyPo", "invId", "customerSku", "merchantSku", "customerModelNo",
                           "EAN", "itemDesc").agg(F.sum("confirmQty").alias("totalQty"))
+    items = shared_checkpoint(items)  # read at four grains
     per_item = items.groupBy("workOrderHeaderId", "invId").agg(F.sum("totalQty").alias("sumQty"))
     per_order = items.groupBy("workOrderHeaderId").agg(F.sum("totalQty").alias("sumQty"))
     items = items.join(per_item, ["workOrderHeaderId", "invId"])
