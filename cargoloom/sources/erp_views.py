@@ -383,7 +383,8 @@ VIEWS: dict[str, str] = {
         FROM {{orders}} WHERE o_orderstatus = 'F'""",
     "poReceivedLineItem": f"""
         SELECT {_LINE_ID} AS poRcvLineItemId, l_orderkey AS poRcvHeaderId, {_LINE_ID} AS poDetailsId, l_partkey AS invId, concat('CS-13-', l_partkey) AS supplierSku,
-               CAST(floor(l_quantity / 2) AS INT) AS rcvQty, '' AS notes, 3159 AS poRcvLineItemStatus
+               CAST(floor(l_quantity / 2) AS INT) AS rcvQty, '' AS notes,
+               CASE WHEN l_quantity >= 2 THEN 3159 ELSE 2142 END AS poRcvLineItemStatus
         FROM {{lineitem}} WHERE l_returnflag <> 'N'""",
     "orderProcess": """
         SELECT o_orderkey AS opId, CAST(1 + o_custkey % 3 AS INT) AS companyId, o_custkey AS customerId, concat('OP', o_orderkey) AS opName, o_custkey AS shipToId,
