@@ -74,14 +74,12 @@ def config_value(df: DataFrame, config: DataFrame, company: str, name: str, out:
     return df.withColumn(out, F.coalesce(F.col("_own"), common.scalar())).drop("_own")
 
 
-def rate_at(df: DataFrame, rates: DataFrame, company: str, home: str, foreign: str, on_date: str,
-            key: list[str], out: str = "rate") -> DataFrame:
+def rate_at(df: DataFrame, rates: DataFrame, company: str, home: str, foreign: str, on_date: str, out: str = "rate") -> DataFrame:
     """Rate valid on a date for the company and currency pair; newest rate id when periods overlap.
 
     The (company, pair, date) combinations are de-duplicated before the range
-    join, so the join works on distinct combinations rather than on rows; the
-    result is an equi-join back.  ``key`` is not needed for the choice and only
-    documents which columns identify a row.  NULL means no valid rate.
+    join, so the join works on distinct dates of a pair rather than on rows; the
+    result is an equi-join back.  NULL means no valid rate.
     """
     active = rates.where(F.col("status") == 1).select(
         F.col("companyId").alias("_c"), F.col("homeCurrency").alias("_h"), F.col("foreignCurrency").alias("_f"),

@@ -12,6 +12,7 @@ from ..functions.numbering import allocate_codes
 from ..functions.text import blank, number_or_null, text_key
 from ..operators.changes import ADD, DELETE, UPDATE, Applied, ChangeSpec, action_is, apply_changes
 from ..operators.lookup import lookup
+from ..operators.ordering import running_max
 from ..operators.validate import Rule, differs, flag_groups, validate
 from ..sources.tables import Tables
 from .conversions import _with_totals, add_qty
@@ -55,9 +56,14 @@ class Rates(NamedTuple):
 def change_currency_rates(t: Tables, changes: DataFrame) -> Rates:
     """Each new rate updates the newest rate of its company and pair that still runs at its start, or is added; draft POs take the rate."""
     pair = ["companyId", "homeCurrency", "foreignCurrency"]
-    known = t.md_CurrencyRate.select(*[F.col(c).alias(f"_{c}") for c in pair], "rateId", F.col("endDate").alias("_end"))
-    cond = (F.col("companyId") == F.col("_companyId")) & (F.col("homeCurrency") == F.col("_homeCurrency")) & (F.col("foreignCurrency") == F.col("_foreignCurrency")) & (F.col("_end") >= F.col("startDate"))
-    newest = changes.join(known, cond, "left").groupBy("changeId", *pair, "startDate", "endDate", "foreignRate").agg(F.max("rateId").alias("rateId"))
+    columns = ["changeId", *pair, "startDate", "endDate", "foreignRate"]
+    # Rates at their end and changes at their start are laid out from late to early per pair;
+    # the highest rate id so far is then the newest rate still running at the change's start.
+    asked = changes.select(*pair, F.col("startDate").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("int").alias("_id"), F.struct(*columns).alias("_change"))
+    known = t.md_CurrencyRate.select(*pair, F.col("endDate").alias("_at"), F.lit(0).alias("_side"), F.col("rateId").cast("int").alias("_id"),
+                                     F.lit(None).cast(asked.schema["_change"].dataType).alias("_change"))
+    laid = running_max(known.unionByName(asked), [F.col("_at").desc(), F.col("_side"), F.col("_id"), F.col("_change.changeId")], pair, rateId=F.col("_id"))
+    newest = laid.where(F.col("_side") == 1).select("_change.*", "rateId")
     added = newest.where(F.col("rateId").isNull()).drop("rateId").withColumn("status", F.lit(1))
     last = newest.where(F.col("rateId").isNotNull()).groupBy(F.col("rateId").alias("_id")).agg(
         F.max_by(F.struct(F.col("startDate").alias("s"), F.col("endDate").alias("e"), F.col("foreignRate").alias("r")), "changeId").alias("n"))

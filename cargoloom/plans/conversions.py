@@ -67,7 +67,7 @@ def convert_to_purchase_orders(t: Tables, requests: DataFrame, as_of) -> Purchas
     rows = lookup(rows, t.md_MasterCategory, {"_skuCurrency": "categoryId"}, currencyCode="categoryName")
     rows = lookup(rows, t.md_Inventory, {"invID": "invID"}, itemCode="itemCode", _sku="inventorySKU", _itemDesc="itemDesc")
     rows = config_value(rows, t.md_DefaultConfig, "companyId", "DefaultCurrency", "homeCurrency").withColumns({"foreignCurrency": F.lit("USD"), "_today": F.lit(as_of).cast("date")})
-    rows = rate_at(rows, t.md_CurrencyRate, "companyId", "homeCurrency", "foreignCurrency", "_today", ["soLineItemId"], "_rate")
+    rows = rate_at(rows, t.md_CurrencyRate, "companyId", "homeCurrency", "foreignCurrency", "_today", "_rate")
     name = F.col("soName")
     checked = validate(rows, [
         Rule("{} is not approved", F.col("soStatus") != SO["approved"], name), Rule("{} has nothing open", F.col("soLineItemId").isNull(), name),
@@ -440,7 +440,7 @@ def order_materials(t: Tables, requests: DataFrame, as_of) -> ProcurementOrders:
     rows = lookup(rows, t.md_MasterCategory, {"_currency": "categoryId"}, foreignCurrency="categoryName")
     rows = lookup(rows, t.md_Inventory, {"rawBomInvId": "invID"}, itemCode="itemCode", _sku="inventorySKU")
     rows = config_value(rows, t.md_DefaultConfig, "companyId", "DefaultCurrency", "homeCurrency").withColumn("_today", F.lit(as_of).cast("date"))
-    rows = rate_at(rows, t.md_CurrencyRate, "companyId", "homeCurrency", "foreignCurrency", "_today", ["procurementProcessId"], "_found")
+    rows = rate_at(rows, t.md_CurrencyRate, "companyId", "homeCurrency", "foreignCurrency", "_today", "_found")
     same = F.col("homeCurrency") == F.col("foreignCurrency")
     rows = rows.withColumn("_rate", F.when(same, F.lit(1000000).cast("long")).otherwise(F.col("_found")))
     checked = validate(rows, [Rule("{} has no order quantity", F.coalesce("orderQty", F.lit(0)) == 0, F.col("procurementProcessId")),

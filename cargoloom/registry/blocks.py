@@ -34,7 +34,7 @@ register("resolve_lowest", lambda t: resolve(t.poLineItem.select("podetailsId",
 register("config_values", lambda t: config_value(t.soHeader.select("soHeaderId", "companyId"), t.md_DefaultConfig, "companyId", "CargoReadyDate", "days"),
          f"SELECT soHeaderId, companyId, {_config('h.companyId', 'CargoReadyDate')} AS days FROM soHeader h")
 register("rates_at_order_date", lambda t: rate_at(config_value(t.soHeader.select("soHeaderId", "companyId", "soDate"), t.md_DefaultConfig, "companyId", "DefaultCurrency", "home").withColumn("fc", F.lit("USD")),
-                                                  t.md_CurrencyRate, "companyId", "home", "fc", "soDate", ["soHeaderId"]).select("soHeaderId", "rate"), """
+                                                  t.md_CurrencyRate, "companyId", "home", "fc", "soDate").select("soHeaderId", "rate"), """
 SELECT h.soHeaderId, (SELECT arg_max(foreignRate, rateId) FROM md_CurrencyRate r WHERE r.status = 1 AND r.companyId = h.companyId AND r.homeCurrency = CASE h.companyId WHEN 2 THEN 'MYR' ELSE 'SGD' END
    AND r.foreignCurrency = 'USD' AND h.soDate BETWEEN r.startDate AND r.endDate) AS rate FROM soHeader h""")
 register("attribute_columns", lambda t: pivot_attributes(lookup(t.inventory_attributes, t.md_MasterCategory, {"categoryId": "categoryId"}, _n="categoryName"), "invID", "_n", "value", ["color", "packing", "customer"]),

@@ -106,7 +106,7 @@ def test_rate_on_date(spark):
                                   "rateId int, companyId int, startDate date, endDate date, homeCurrency string, foreignCurrency string, foreignRate int, status int")
     df = spark.createDataFrame([(1, 1, "sgd", "USD", d(2020, 3, 1)), (2, 1, "SGD", "USD", d(2020, 6, 15)), (3, 1, "SGD", "USD", d(2021, 1, 1)), (4, 2, "SGD", "USD", d(2020, 3, 1))],
                                "id int, c int, h string, f string, on date")
-    assert rows(rate_at(df, rates, "c", "h", "f", "on", ["id"]), "id", "rate") == [(1, 10), (2, 20), (3, None), (4, None)]
+    assert rows(rate_at(df, rates, "c", "h", "f", "on"), "id", "rate") == [(1, 10), (2, 20), (3, None), (4, None)]
 
 
 def test_pivot_attributes(spark):
