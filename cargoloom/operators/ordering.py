@@ -36,10 +36,9 @@ def _running(df: DataFrame, order_by: Sequence[str | Column], within: Sequence[s
              fold: Callable[[str], Column], combine: Callable[[Column, Column], Column]) -> DataFrame:
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     groups = [F.col(c) for c in within]
-    parts = int(SparkSession.active().conf.get("spark.sql.shuffle.partitions"))
     n = range(len(columns))
     ranged = (df.withColumns({f"_v{i}": c for i, c in enumerate(columns.values())})
-              .repartitionByRange(parts, *groups, *order)
+              .repartitionByRange(*groups, *order)
               .sortWithinPartitions(*groups, *order)
               .withColumn("_pos", F.monotonically_increasing_id()))
     ranged = shared_checkpoint(ranged).withColumn("_part", F.shiftright("_pos", 33))

@@ -11,6 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").appName("tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+               .config("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small data in several partitions
                .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint"))).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")

@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -42,7 +43,20 @@ def test_distinct_list_orders_and_keeps_null_for_empty(spark):
     assert rows(df.groupBy("g").agg(distinct_list("v").alias("l"))) == [(1, "a,b"), (2, None)]
 
 
-def test_ordinal_with_a_hot_group(spark):
+@pytest.mark.parametrize("coalesce", ["false", "true"])
+def test_ordinal_with_a_hot_group(spark, coalesce):
+    """Several range partitions, as planned or merged into fewer by adaptive execution."""
+    for name, value in {"coalescePartitions.enabled": coalesce, "coalescePartitions.parallelismFirst": "false", "advisoryPartitionSizeInBytes": "24k"}.items():
+        spark.conf.set(f"spark.sql.adaptive.{name}", value)
+    try:
+        check_hot_group(spark)
+    finally:
+        for name in ("coalescePartitions.parallelismFirst", "advisoryPartitionSizeInBytes"):
+            spark.conf.unset(f"spark.sql.adaptive.{name}")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+
+def check_hot_group(spark):
     random.seed(5)
     data = [(random.choice(["hot"] * 6 + ["a", "b"]), random.randint(0, 50), i) for i in range(4000)]
     got = rows(ordinal(spark.createDataFrame(data, "g string, v int, id int"), ["v", "id"], ["g"]), "id", "rowNo")
