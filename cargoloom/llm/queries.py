@@ -5,17 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .dac import read_documents, write_dac
+from .packing import best_fit_packing
 from .quality_rules import quality_rules
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_documents(write_dac(table(spark, sf_dir, "documents"))).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = best_fit_packing(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_quality_rules,)
+    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op6_quality_rules)
 }
 
 ORACLES: dict[str, str] = {}
