@@ -11,6 +11,7 @@ from .common import table
 from .dac import read_documents, write_dac
 from .packing import best_fit_packing
 from .quality_rules import quality_rules
+from .warc import read_warc, write_warc
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +27,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_warc(write_warc(table(spark, sf_dir, "pages")), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op6_quality_rules)
+    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op6_quality_rules, op7_warc)
 }
 
 ORACLES: dict[str, str] = {}
