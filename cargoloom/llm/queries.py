@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .dac import read_documents, write_dac
+from .minhash import near_duplicates
 from .packing import best_fit_packing
 from .quality_rules import quality_rules
 from .warc import read_warc, write_warc
@@ -23,6 +24,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -33,7 +38,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op6_quality_rules, op7_warc)
+    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op4_minhash_near_dedup, op6_quality_rules, op7_warc)
 }
 
 ORACLES: dict[str, str] = {}
