@@ -13,6 +13,7 @@ from .minhash import near_duplicates
 from .packing import best_fit_packing
 from .quality_rules import quality_rules
 from .warc import read_warc, write_warc
+from .winnow import edited_likeness
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +38,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op4_minhash_near_dedup, op6_quality_rules, op7_warc)
+    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op4_minhash_near_dedup, op6_quality_rules, op7_warc, op8_winnowing)
 }
 
 ORACLES: dict[str, str] = {}
