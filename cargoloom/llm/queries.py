@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .dac import read_documents, write_dac
+from .license_scan import license_scan
 from .minhash import near_duplicates
 from .packing import best_fit_packing
 from .quality_rules import quality_rules
@@ -29,6 +30,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op4_minhash_near_dedup, op6_quality_rules, op7_warc, op8_winnowing)
+    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op4_minhash_near_dedup, op5_license_scans, op6_quality_rules, op7_warc, op8_winnowing)
 }
 
 ORACLES: dict[str, str] = {}
