@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .classifier import classify, fit
 from .common import table
 from .dac import read_documents, write_dac
 from .license_scan import license_scan
@@ -47,8 +48,13 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op4_minhash_near_dedup, op5_license_scans, op6_quality_rules, op7_warc, op8_winnowing)
+    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op4_minhash_near_dedup, op5_license_scans, op6_quality_rules, op7_warc, op8_winnowing, op10_quality_classifier)
 }
 
 ORACLES: dict[str, str] = {}
