@@ -2,10 +2,8 @@
 
 Each shingle falls into one of the bins and leaves its hash there if it is the smallest.  An empty bin takes
 the value of the first filled bin on its own random walk over all bins.  Bands of bins give bucket keys.
-Within a bucket only the links to one centre (the smallest id) are candidates; they are confirmed on full
-shingle sets.  The centre has then met every member of the bucket and leaves it; buckets whose other members
-are not in one component yet go through another round.  So the number of pairs follows the number of
-bucket entries, and no pair of a bucket is left out that could still join two components.
+Within a bucket only the links to a centre are candidates (see ``stars``); they are confirmed on full shingle
+sets.
 
 Documents with equal shingle sets are one class from the start, so copies cost one row each.
 
@@ -17,7 +15,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -26,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_named, in_arrow, steps, stored, texts
-from .components import components
+from .stars import star_components
 from .words import BLANKS, LOWER, U, byte_sums, grams, mix, row_of, running, span_hash, spans
 
 #: Bins a band and bands: a pair of similarity 0.8 shares no band about once in 200,000 cases.
@@ -140,38 +138,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     classes = signed.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")).where("rep IS NOT NULL")
     classes = stored(classes, "classes")
     same = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    heads = same.join(classes.select("a", "b", "rep", "n"), (same["doc_id"] == classes["rep"]) & (same["a"] == classes["a"]) & (same["b"] == classes["b"])) \
-        .select("rep", "n", "keys").dropDuplicates(["rep"])
-    entries = heads.select("rep", "n", F.explode("keys").alias("key"))
-    centres = entries.groupBy("key").agg(F.min("rep").alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "c")
-    buckets = stored(entries.join(centres, "key").where("rep > c").select("key", "c", "rep", "n"), "buckets")
-    sizes = classes.groupBy("rep").agg(F.max("n").alias("c_n")).withColumnRenamed("rep", "c")
-    fits = (F.col("n") * 100 >= F.col("c_n") * percent) & (F.col("c_n") * 100 >= F.col("n") * percent)  # else no intersection suffices
-
-    involved = buckets.select(F.col("c").alias("doc_id")).unionByName(buckets.select(F.col("rep").alias("doc_id"))).distinct()
-    bodies = stored(docs.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "bodies")
-
-    tested = links = None
-    rest = buckets
-    labels = None
-    while True:
-        pairs = rest.groupBy("c", "rep").agg(F.max("n").alias("n")).join(sizes, "c").where(fits).select("c", F.col("rep").alias("v"))
-        if tested is not None:
-            known = labels.select(F.col("node").alias("c"), F.col("component").alias("c_component"))
-            pairs = pairs.join(known, "c", "left").join(labels.withColumnRenamed("node", "v"), "v", "left") \
-                .where("coalesce(component, v) <> coalesce(c_component, c)").select("c", "v").join(tested, ["c", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        new = stored(_confirmed(pairs, bodies, words, percent), "confirmed")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        labels = stored(components(links.select(F.col("c").alias("u"), F.col("v").alias("v"))), "components")
-        # The centres have met their buckets' members; go on where the others aren't in one component.
-        open_rows = rest.select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        again = open_rows.groupBy("key").agg(F.min("rep").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "c")
-        rest = stored(open_rows.select("key", "rep", "n").join(again, "key").where("rep > c").select("key", "c", "rep", "n"), "buckets")
-        if rest.isEmpty():
-            break
-
+    heads = same.join(classes.select("a", "b", "rep"), (same["doc_id"] == classes["rep"]) & (same["a"] == classes["a"]) & (same["b"] == classes["b"])) \
+        .select("rep", "keys").dropDuplicates(["rep"])
+    entries = heads.select("rep", F.explode("keys").alias("key")).select("key", F.col("rep").alias("node"))
+    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
+
+    def narrow(pairs: DataFrame) -> DataFrame:
+        """Sets of too different sizes can't be similar, whatever they share."""
+        of = lambda name: sizes.select(F.col("rep").alias(name), F.col("n").alias(f"{name}_n"))
+        return pairs.join(of("c"), "c").join(of("v"), "v").where((F.col("v_n") * 100 >= F.col("c_n") * percent) & (F.col("c_n") * 100 >= F.col("v_n") * percent))
+
+    def prepare(nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        involved = nodes.withColumnRenamed("node", "doc_id")
+        bodies = stored(docs.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "bodies")
+        return lambda pairs: _confirmed(pairs, bodies, words, percent)
+
+    labels = star_components(entries, narrow, prepare)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "a", "b").join(named, ["a", "b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
