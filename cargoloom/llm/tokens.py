@@ -6,8 +6,10 @@ crosses such a place, so the ids of the chunks, one after the other, are the ids
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -18,20 +20,31 @@ from .words import ragged
 DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Distinct chunks that a worker remembers before it starts anew; affects speed only.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
 _CUT = re.compile(r"(?<!\s)(?= )")
 _JOINED = 4096
 
 
 class _Slots(dict):
-    """Numbers for chunks; new ones are noted for encoding."""
+    """Numbers for chunks, which are known by what follows ``before``; new ones are noted for encoding."""
 
-    def __init__(self, owner: "ChunkEncoder", before: str):
-        super().__init__()
+    def __init__(self, owner: "ChunkEncoder", before: str, known: dict[str, int] | None = None):
+        super().__init__(known or {})
         self.owner, self.before = owner, before
 
     def __missing__(self, piece: str) -> int:
-        self[piece] = slot = self.owner.take(self.before + piece)
+        owner = self.owner
+        self[piece] = slot = owner.count
+        owner.count += 1
+        loose = not piece or piece[-1].isspace()
+        if loose:
+            owner.loose.add(slot)
+        if self.before and not loose and not piece[0].isspace():
+            owner.joined.append(self.before + piece)
+            owner.joined_slots.append(slot)
+        else:
+            owner.alone.append((slot, self.before + piece))
         return slot
 
 
@@ -43,73 +56,90 @@ class ChunkEncoder:
         self.bytes_of = np.zeros(max(ids.values()) + 1, np.int64)
         for token, i in ids.items():
             self.bytes_of[i] = len(token)  # a character of the file stands for a byte
-        self._forget()
-
-    def _forget(self) -> None:
         self.spaced, self.plain = _Slots(self, " "), _Slots(self, "")
-        self.new: list[str] = []
-        self.ids, self.used, self.count = np.zeros(1 << 16, np.uint32), 0, 0
-        self.start, self.length, self.loose = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), np.zeros(1 << 15, bool)
-
-    def take(self, chunk: str) -> int:
-        slot = self.count
-        if slot == len(self.start):
-            self.start, self.length, self.loose = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length, self.loose))
-        self.loose[slot] = chunk[-1:].isspace()
-        self.count += 1
-        self.new.append(chunk)
-        return slot
+        self.count, self.used, self.loose = 0, 0, set()  # loose: chunks that end in white space
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.start, self.length, self.seen = (np.zeros(1 << 15, np.int64) for _ in range(3))
+        self._nothing_new()
+
+    def _nothing_new(self) -> None:
+        self.joined: list[str] = []
+        self.joined_slots: list[int] = []
+        self.alone: list[tuple[int, str]] = []
 
-    def _chunks(self, text: str) -> np.ndarray:
+    def _forget(self) -> None:
+        """Keep the chunks that came up more than once lately, or none if these are too many."""
+        kept = np.flatnonzero(self.seen[:self.count] > 1)
+        kept = kept if len(kept) < REMEMBERED // 2 else kept[:0]
+        number = np.full(self.count, -1)
+        number[kept] = np.arange(len(kept))
+        place = number.tolist()
+        renamed = lambda old: {p: n for p, slot in old.items() if (n := place[slot]) >= 0}
+        self.spaced, self.plain = _Slots(self, " ", renamed(self.spaced)), _Slots(self, "", renamed(self.plain))
+        self.loose = {place[slot] for slot in self.loose if place[slot] >= 0}
+        sizes = self.length[kept]
+        ids = self.ids[ragged(self.start[kept], sizes)]
+        self.ids[:len(ids)], self.used, self.count = ids, len(ids), len(kept)
+        self.start[:len(kept)], self.length[:len(kept)] = np.cumsum(sizes) - sizes, sizes
+        self.seen[:] = 0
+
+    def _chunks(self, text: str) -> list[int]:
+        """The chunks between blanks; the first has no blank before it, and is none if the text begins with one."""
         first, *rest = text.split(" ")
-        spaced = self.spaced
-        slots = np.array(([self.plain[first]] if first else []) + [spaced[p] for p in rest], np.int64)
-        if self.loose[slots[:-1]].any():  # white space before a blank: cut elsewhere only
-            plain = self.plain
-            slots = np.array([plain[c] for c in _CUT.split(text) if c], np.int64)
-        return slots
-
-    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks in turn and the count of each."""
-        ids = np.array(self.tokenizer.encode("".join(chunks), add_special_tokens=False).ids, np.uint32)
-        ends = np.cumsum(self.bytes_of[ids])
-        upto = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in chunks])) + 1
-        return ids, np.diff(upto, prepend=0)
+        slots = list(map(self.spaced.__getitem__, rest))
+        return [self.plain[first], *slots] if first else slots
+
+    def _careful(self, text: str) -> list[int]:
+        """As ``_chunks`` for a text with white space before a blank, where it isn't cut."""
+        return [self.plain[c] for c in _CUT.split(text) if c]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _keep(self, slots: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.start[slots], self.length[slots] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
 
     def _learn(self) -> None:
-        """Encode the new chunks: many in one call where the joined text falls apart into them again."""
-        slot = self.count - len(self.new)
-        alone = [not (c[:1] == " " and len(c) > 1 and not c[1].isspace() and not c[-1].isspace()) for c in self.new]
-        at = 0
-        while at < len(self.new):
-            upto = at + 1
-            if not alone[at]:
-                while upto < len(self.new) and upto - at < _JOINED and not alone[upto]:
-                    upto += 1
-                ids, many = self._encode(self.new[at:upto])
-            else:
-                ids = np.array(self.tokenizer.encode(self.new[at], add_special_tokens=False).ids, np.uint32)
-                many = np.array([len(ids)])
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-            self.ids[self.used:self.used + len(ids)] = ids
-            n = slice(slot + at, slot + upto)
-            self.length[n] = many
-            self.start[n] = self.used + np.cumsum(many) - many
-            self.used += len(ids)
-            at = upto
-        self.new = []
+        """Encode the new chunks: in one call those that a joined text falls apart into again, the others one by one."""
+        while self.count > len(self.start):
+            self.start, self.length, self.seen = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length, self.seen))
+        for at in range(0, len(self.joined), _JOINED):
+            chunks = self.joined[at:at + _JOINED]
+            ids = self._ids("".join(chunks))
+            ends = np.cumsum([len(c.encode()) for c in chunks])
+            upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+            self._keep(np.array(self.joined_slots[at:at + _JOINED]), ids, np.diff(upto, prepend=0))
+        for slot, chunk in self.alone:
+            ids = self._ids(chunk)
+            self._keep(np.array([slot]), ids, np.array([len(ids)]))
+        self._nothing_new()
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one array and the offsets of the texts; ``end_id`` closes each text."""
         if self.count > REMEMBERED:
             self._forget()
         slots = [self._chunks(t) for t in texts]
+        many = np.array([len(s) for s in slots], np.int64)
+        chunks = np.fromiter(chain.from_iterable(slots), np.int64, int(many.sum()))
+        if self.loose:
+            loose = np.zeros(self.count, bool)
+            loose[list(self.loose)] = True
+            before = loose[chunks]
+            before[np.cumsum(many)[many > 0] - 1] = False  # white space at the end of a text does no harm
+            if before.any():
+                for i in np.unique(np.repeat(np.arange(len(texts)), many)[before]).tolist():
+                    slots[i] = self._careful(texts[i])
+                many = np.array([len(s) for s in slots], np.int64)
+                chunks = np.fromiter(chain.from_iterable(slots), np.int64, int(many.sum()))
         self._learn()
-        chunks = np.concatenate([np.zeros(0, np.int64), *slots])
+        self.seen[:self.count] += np.bincount(chunks, minlength=self.count)
         sizes = self.length[chunks]
         ids = self.ids[ragged(self.start[chunks], sizes)]
-        per_text = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(s) for s in slots], dtype=np.int64)])]
+        per_text = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(many)])]
         if end_id is None:
             return ids, per_text
         return np.insert(ids, per_text[1:], end_id).astype(np.uint32), per_text + np.arange(len(per_text))
