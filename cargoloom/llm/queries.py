@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode
 from .classifier import classify, fit
 from .common import table
 from .dac import read_documents, write_dac
@@ -53,13 +54,19 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = decode(encode(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_line_dedup, op4_minhash_near_dedup, op5_license_scans, op6_quality_rules, op7_warc, op8_winnowing, op10_quality_classifier)
+    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_line_dedup, op4_minhash_near_dedup, op5_license_scans, op6_quality_rules, op7_warc, op8_winnowing, op9_byte_bpe, op10_quality_classifier)
 }
 
 ORACLES: dict[str, str] = {}
