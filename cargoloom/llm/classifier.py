@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_named, held_out, in_arrow, steps, texts
+from .common import arrow_map, column_named, held_out, in_arrow, kept_rows, steps, texts
 from .words import BLANKS, U, byte_sums, grams, ragged, row_of, span_hash, spans
 
 #: Bound of the labelled rows that training sees, taken in the order of a hash of the id.
@@ -131,15 +131,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return Model(np.frombuffer(bytes(found["weight"]), np.float32), found["bias"]) if found else train([])
 
 
+def _scores(batch: pa.RecordBatch, model: Model) -> np.ndarray:
+    return np.concatenate([model.score(*features(data, offsets)) for _, _, data, offsets in steps(column_named(batch, "text"))])
+
+
 def classify(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document, where it is read."""
-    weight, bias = model.weight, model.bias
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model(weight, bias)
-        for batch in batches:
-            scores = [known.score(*features(data, offsets)) for _, _, data, offsets in steps(column_named(batch, "text"))]
-            if scores:
-                yield pa.RecordBatch.from_arrays([column_named(batch, "doc_id"), pa.array(np.concatenate(scores))], names=["doc_id", "score"])
-    scored = in_arrow(texts(docs), run, "doc_id long, score double")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([column_named(batch, "doc_id"), pa.array(_scores(batch, model))], names=["doc_id", "score"])
+    scored = arrow_map(texts(docs), run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def likely_good(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The documents, all columns, with at least this score."""
+    return kept_rows(docs, lambda batch: pa.array(_scores(batch, model) >= least))

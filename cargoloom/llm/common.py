@@ -63,6 +63,11 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return in_arrow(df, run, schema)
 
 
+def kept_rows(docs: DataFrame, verdict: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``verdict`` marks true; decided where they are read."""
+    return arrow_map(docs, lambda batch: batch.filter(verdict(batch)), docs.schema)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column without gaps and the n + 1 offsets of its rows; null counts as empty."""
     column = pc.fill_null(column, "") if column.null_count else column

@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, column_named, steps, texts
+from .common import arrow_map, column_named, kept_rows, steps, texts
 from .words import BLANKS, byte_sums, grams, row_of, span_hash, spans
 
 #: (bytes from, lowest, highest ratio of the whole text); shorter texts have no band, headers weigh too much there.
@@ -119,3 +119,8 @@ def _judge(batch: pa.RecordBatch) -> pa.RecordBatch:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document: counts, ratios, the verdict ``kept`` and the reason of a refusal.  No shuffle."""
     return arrow_map(texts(docs), _judge, SCHEMA)
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, that the rules keep."""
+    return kept_rows(docs, lambda batch: column_named(_judge(batch), "kept"))
