@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -46,22 +47,29 @@ def _key(df: DataFrame, column: str) -> Column:
     return text_key(column) if df.schema[column].dataType.typeName() == "string" else F.col(column)
 
 
-def flag_taken(changes: DataFrame, target: DataFrame, spec: ChangeSpec) -> DataFrame:
-    """``_taken``: the unique columns collide with another row, or with an earlier addition of the same batch."""
+def flag_taken(changes: DataFrame, target: DataFrame, spec: ChangeSpec, bad: Column) -> DataFrame:
+    """``_taken``: the unique columns belong to another row, or to an earlier change of the same batch.
+
+    Only changes that no other rule rejects (``bad``) and that don't meet a stored row claim their key; the
+    earliest claim has it, and later changes of another row are taken.
+    """
     live = target if spec.status is None else target.where(F.col(spec.status).cast("int") == 1)
     names = [f"_u{i}" for i in range(len(spec.unique))]
     known = live.groupBy(*[_key(target, c).alias(n) for c, n in zip(spec.unique, names)]).agg(
         F.min(spec.key).alias("_lowKey"), F.max(spec.key).alias("_highKey"))
-    first = changes.where(action_is(ADD)).groupBy(*[_key(changes, c).alias(n) for c, n in zip(spec.unique, names)]).agg(F.min("changeId").alias("_firstAdd"))
-    marks = known.join(first, names, "full_outer")
-    cond = None
-    for c, n in zip(spec.unique, names):
-        one = _key(changes, c) == F.col(n)
-        cond = one if cond is None else cond & one
-    add = action_is(ADD) & (F.col("_lowKey").isNotNull() | (F.col("_firstAdd") < F.col("changeId")))
-    update = action_is(UPDATE) & F.col("_lowKey").isNotNull() & ((F.col("_lowKey") != F.col(spec.key)) | (F.col("_highKey") != F.col(spec.key)))
-    taken = (add | update) if spec.unique_on_update else add
-    return changes.join(marks, cond, "left").withColumn("_taken", F.coalesce(taken, F.lit(False))).drop(*names, "_lowKey", "_highKey", "_firstAdd")
+
+    def same(*columns: str) -> Column:
+        return reduce(lambda a, b: a & b, [_key(changes, c) == F.col(n) for c, n in zip(spec.unique, columns)])
+    add, update = action_is(ADD), action_is(UPDATE) & F.lit(spec.unique_on_update)
+    other = (F.col("_lowKey") != F.col(spec.key)) | (F.col("_highKey") != F.col(spec.key))
+    rows = changes.join(known, same(*names), "left").withColumn("_stored", F.coalesce(F.col("_lowKey").isNotNull() & (add | (update & other)), F.lit(False)))
+    claims = rows.where((add | update) & ~F.coalesce(bad, F.lit(False)) & ~F.col("_stored"))
+    claim = F.struct("changeId", F.when(update, F.col(spec.key)).alias("row"))
+    claimed = [f"_v{i}" for i in range(len(spec.unique))]
+    first = claims.groupBy(*[_key(changes, c).alias(n) for c, n in zip(spec.unique, claimed)]).agg(F.min(claim).alias("_first"))
+    later = (add | update) & (F.col("_first.changeId") < F.col("changeId")) & ~F.coalesce(update & (F.col("_first.row") == F.col(spec.key)), F.lit(False))
+    return rows.join(first, same(*claimed), "left").withColumn("_taken", F.col("_stored") | F.coalesce(later, F.lit(False))) \
+        .drop(*names, *claimed, "_lowKey", "_highKey", "_stored", "_first")
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, spec: ChangeSpec, rules: list[Rule] = []) -> Applied:
@@ -80,10 +88,12 @@ def apply_changes(target: DataFrame, changes: DataFrame, spec: ChangeSpec, rules
         for c in spec.required:
             missing = blank(c) if missing is None else missing | blank(c)
         checks.append(Rule(", ".join(spec.required) + " are required", action_is(ADD, UPDATE) & missing))
+    missing_row = Rule("Row {} does not exist", ~action_is(ADD) & F.col("_known").isNull(), F.col(spec.key))
     if spec.unique:
-        rows = flag_taken(rows, target, spec)
+        others = [F.coalesce(r.failed, F.lit(False)) for r in [*checks, missing_row, *rules]]
+        rows = flag_taken(rows, target, spec, reduce(lambda a, b: a | b, others))
         checks.append(Rule("{} exists already", F.col("_taken"), F.concat_ws(" / ", *[F.col(c).cast("string") for c in spec.unique])))
-    checks.append(Rule("Row {} does not exist", ~action_is(ADD) & F.col("_known").isNull(), F.col(spec.key)))
+    checks.append(missing_row)
     checked = validate(rows, [*checks, *rules], "changeId", ["changeId"])
     errors = checked.errors.select("changeId", "ruleNo", "rule", "key")
     good = checked.accepted

@@ -534,8 +534,7 @@ def correct_checkout(t: Tables, changes: DataFrame) -> Corrected:
     near = lookup(near, sums, {"shipmentId": "shipmentId"}, _weight="_weight").withColumn("shipmentWeight", F.coalesce("_weight", "shipmentWeight"))
     totals = near.groupBy(F.col("bol").alias("_bol")).agg(F.sum("shipmentWeight").alias("_total"))
     ships = near.join(totals, F.col("bol") == F.col("_bol")).withColumn("bolTotalShipmentWeight", F.col("_total")).select(*t.shipmentHeader.columns)
-    shipped = rows.groupBy(F.col("soLineItemId").alias("_l")).agg(F.sum("newShipQty").alias("_q"))
-    so_lines = t.soLineItem.join(shipped, F.col("soLineItemId") == F.col("_l")).withColumns({"shpQty": F.col("_q").cast("int"), "soLineItemStatus": F.lit(SO["production"])}).select(*t.soLineItem.columns)
+    so_lines = add_qty(t.soLineItem, rows, "soLineItemId", "shpQty", "adjustQty", -1, soLineItemStatus=F.lit(SO["production"]))
     so_heads = t.soHeader.join(so_lines.select("soHeaderId").distinct(), "soHeaderId", "left_semi").withColumn("soStatus", F.lit(SO["production"]))
     return Corrected(lines, ships, moves, ledger_apply(moves, t.inventoryBalanceWH), so_lines, so_heads)
 

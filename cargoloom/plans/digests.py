@@ -25,10 +25,10 @@ class Digest(NamedTuple):
 
 
 def recipients(t: Tables, action: str) -> DataFrame:
-    """Addresses per company for a kind of message, as one list."""
+    """Addresses of each company for a kind of message, a row each."""
     kinds = t.md_EmailCategory.where(F.col("actionName") == action).select("emailCategoryId")
     live = t.md_EmailList.where(F.col("status") == 1).join(kinds, "emailCategoryId", "left_semi")
-    return live.groupBy("companyId").agg(F.array_join(F.array_sort(F.collect_set("emailAddress")), ";").alias("recipients"))
+    return live.select("companyId", "emailAddress").distinct()
 
 
 def _advance(heads: DataFrame, picked: DataFrame, key: str, to: str) -> DataFrame:

@@ -220,8 +220,7 @@ def booking_pending_listing(t: Tables, company_id=None, ship_dates=(None, None),
     by = ["lrHeaderId", "lrName", "customerName", "earlyShipDate", "containerType", "forwarderId", "forwarderBookingNo",
           "forwarderBookingDate", "ETD", "ETA", "status"]
     rows = boxes.groupBy(*by).agg(F.count("containerSeq").alias("containerCount"))
-    return paged_listing(rows, {1: "earlyShipDate"}, 1, "ASC", ["lrHeaderId", "forwarderBookingNo", "containerType", "customerName"],
-                         row_start, page_rows)
+    return paged_listing(rows, {1: "earlyShipDate"}, 1, "ASC", [c for c in by if c != "earlyShipDate"], row_start, page_rows)
 
 
 def shipment_listing(t: Tables, company_id=None, customer_id=None, ship_dates=(None, None), search=None, documents_only=False,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -236,12 +238,8 @@ def request_print_header(t: Tables, ids: DataFrame | None = None) -> DataFrame:
         .select("lrHeaderId", "lrName", "lrDate", "companyName", "companyAddress", "companyPhone")
 
 
-# Customers whose requests show carton quantities.
-CARTON_CUSTOMERS = (12, 13, 14, 22)
-
-
-def request_print_lines(t: Tables, ids: DataFrame | None = None) -> DataFrame:
-    """Request lines with document lists per container and per request, type limits and type totals."""
+def request_print_lines(t: Tables, ids: DataFrame | None = None, carton_customers: Sequence[int] = ()) -> DataFrame:
+    """Request lines with document lists per container and per request, type limits and type totals; requests of ``carton_customers`` show carton quantities."""
     boxes = only(t.lrContainer.where(F.col("containerStatus") != 2130), ids)
     boxes = code_name(boxes, t.md_MasterCategory, "containerTypeId", "containerType", "inner")
     limits = container_limits(t)
@@ -278,7 +276,7 @@ def request_print_lines(t: Tables, ids: DataFrame | None = None) -> DataFrame:
                                                   F.min("_soCustomer").alias("_anyCustomer"))
     lines = lines.join(per_box, "lrContainerId").join(per_request, "lrHeaderId").join(totals, "lrHeaderId", "left").join(box_lists, "lrHeaderId", "left")
     buyer = F.when(F.col("isMarketing") == 0, F.col("_lrCustomer")).otherwise(F.col("_anyCustomer"))
-    lines = lines.withColumn("needCartonMaterial", F.when(buyer.isin(*CARTON_CUSTOMERS), 1).otherwise(0))
+    lines = lines.withColumn("needCartonMaterial", F.when(buyer.isin(*carton_customers), 1).otherwise(0))
     return lines.select("lrHeaderId", "lrName", "containerSeq", F.col("boxNo").alias("containerNo"), "headerCustomerPO", "headerThirdPartyPo", "headerSoName",
                         "headerPoName", "totalContainer", "notes", "earlyShipDate", "lateShipDate", "POL", "POD", "shipToLabel", "poName", "customerPO",
                         "thirdPartyPo", "supplierSku", "soItemDesc", "customerSku", "merchantSku", "qty", "cbm", "grossWeight", "netWeight", "containerType",
@@ -352,8 +350,8 @@ def shipping_print_lines(t: Tables, report_type: str, ids: DataFrame | None = No
     return rows.join(totals, "documentKey")
 
 
-def invoice_summary(t: Tables, company_id=None, customers: list | None = None, month_start=None) -> DataFrame:
-    """Invoiced shipments (of one month when given) with the supplier-side mirror invoice of marketing companies."""
+def invoice_summary(t: Tables, company_id=None, customers: list | None = None, month_start=None, supplier_prefix: str = "SUP-") -> DataFrame:
+    """Invoiced shipments (of one month when given) with the supplier-side mirror invoice of marketing companies, numbered with ``supplier_prefix``."""
     ships = keep_if(t.shipmentHeader, "companyId", company_id)
     if month_start is not None:  # half-open range, so the scan can skip files
         first = F.trunc(F.lit(month_start).cast("date"), "MM")
@@ -379,7 +377,7 @@ def invoice_summary(t: Tables, company_id=None, customers: list | None = None, m
     return ships.select("shipmentId", "customerName", "shipId", "invoiceId", F.concat("customerPO", F.coalesce("customerInvoiceNo", F.lit(""))).alias("csInvNPoNo"),
                         F.coalesce("customerInvoiceNo", F.lit("")).alias("customerInvoiceNo"), "invoiceDate", "customerPO", "poName", "pol", "pod", "ETA", "ETD",
                         F.lit("FOB").alias("tradeTerm"), "containerSeqNo", "containerType", "totalShipQty", F.lit("PCS").alias("UOM"), "currency",
-                        F.col("InvoiceAmount").alias("invoiceAmount"), "supplierName", mirror(F.concat(F.lit("FNP-"), "invoiceId")).alias("supplierInvoiceId"),
+                        F.col("InvoiceAmount").alias("invoiceAmount"), "supplierName", mirror(F.concat(F.lit(supplier_prefix), "invoiceId")).alias("supplierInvoiceId"),
                         mirror(F.col("invoiceDate")).alias("supplierInvoiceDate"), mirror(F.col("totalShipQty")).alias("supplierTotalShipQty"),
                         mirror(F.lit("PCS")).alias("supplierUOM"), mirror(F.col("_foreign")).alias("supplierCurrency"),
                         mirror(F.col("InvoiceAmount")).alias("supplierInvoiceAmount"))

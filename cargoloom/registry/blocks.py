@@ -52,9 +52,9 @@ SELECT l.lrDetailsId, l.poDetailsId, l.qty, p.qty - p.lrQty AS openQty, sum(l.qt
 register("ledger_balances", lambda t: ledger.balances_of(t.inventoryMovement), "SELECT warehouseId, companyId, invId, CAST(sum(qty) AS BIGINT) AS balanceQty FROM inventoryMovement GROUP BY ALL")
 register("running_balance", lambda t: ledger.running_balance(t.inventoryMovement).select("inventoryMovementId", "whBalanceQty"), """
 SELECT inventoryMovementId, CAST(sum(qty) OVER (PARTITION BY warehouseId, companyId, invId ORDER BY enterDate, inventoryMovementId ROWS UNBOUNDED PRECEDING) AS BIGINT) AS whBalanceQty FROM inventoryMovement""")
-register("ledger_apply", lambda t: ledger.ledger_apply(t.inventoryMovement.where(F.col("action") == "DO"), t.inventoryBalanceWH), """
+register("ledger_apply", lambda t: ledger.ledger_apply(t.inventoryMovement, t.inventoryBalanceWH), """
 SELECT coalesce(b.warehouseId, d.warehouseId) AS warehouseId, coalesce(b.companyId, d.companyId) AS companyId, coalesce(b.invId, d.invId) AS invId, coalesce(b.balanceQty, 0) + coalesce(d.q, 0) AS balanceQty, coalesce(b.lockQty, 0) AS lockQty
-FROM inventoryBalanceWH b FULL JOIN (SELECT warehouseId, companyId, invId, CAST(sum(qty) AS BIGINT) AS q FROM inventoryMovement WHERE action = 'DO' GROUP BY ALL) d
+FROM inventoryBalanceWH b FULL JOIN (SELECT warehouseId, companyId, invId, CAST(sum(qty) AS BIGINT) AS q FROM inventoryMovement GROUP BY ALL) d
   ON d.warehouseId = b.warehouseId AND d.companyId = b.companyId AND d.invId = b.invId""")
 register("rolled_up_quantity", lambda t: ledger.roll_up_qty(t.soLineItem, t.shipmentLineItem, "soLineItemId", "shpQty", "shipQty").select("soLineItemId", "shpQty"),
          "SELECT l.soLineItemId, CAST(l.shpQty + coalesce((SELECT sum(shipQty) FROM shipmentLineItem s WHERE s.soLineItemId = l.soLineItemId), 0) AS INT) AS shpQty FROM soLineItem l")
@@ -130,9 +130,9 @@ register("versions_as_of", lambda t: history.as_of(history.build_history(_events
 SELECT inventoryMovementId, invId, qty FROM inventoryMovement WHERE enterDate <= TIMESTAMP '2024-01-15 12:00:00' QUALIFY row_number() OVER (PARTITION BY invId ORDER BY enterDate DESC, inventoryMovementId DESC) = 1""")
 register("versions_joined_as_of", lambda t: history.as_of_join(
     t.actionNotification.select("actionNotificationID", (F.col("actionNotificationID") % 150).alias("invId"), "createDate"),
-    history.build_history(_events(t).where(F.col("qty") > 20).drop("qty"), "invId", "enterDate", "inventoryMovementId"), "invId", "createDate", "actionNotificationID")
+    history.build_history(_events(t).drop("qty"), "invId", "enterDate", "inventoryMovementId"), "invId", "createDate", "actionNotificationID")
     .select("actionNotificationID", "invId", "inventoryMovementId"), """
-SELECT a.actionNotificationID, a.actionNotificationID % 150 AS invId, m.inventoryMovementId FROM actionNotification a ASOF LEFT JOIN (SELECT * FROM inventoryMovement WHERE qty > 20) m
+SELECT a.actionNotificationID, a.actionNotificationID % 150 AS invId, m.inventoryMovementId FROM actionNotification a ASOF LEFT JOIN inventoryMovement m
  ON m.invId = a.actionNotificationID % 150 AND m.enterDate <= a.createDate""")
 register("default_naming", lambda t: history.default_naming(t.md_inventoryType, t.md_InventoryCategory, [0], 13, "[inventoryType] [modelno]").select("inventoryTypeId", "namingConvention"), """
 SELECT y.inventoryTypeId, CASE WHEN c.prodCategoryParentID = 13 AND y.namingConvention = '' THEN '[inventoryType] [modelno]' ELSE y.namingConvention END AS namingConvention
@@ -142,8 +142,8 @@ WITH r AS (SELECT soHeaderId, soStatus, CAST(soStatus AS VARCHAR) || '-' || CAST
 SELECT soHeaderId, CASE WHEN soStatus = 1106 THEN 6237 ELSE soStatus END AS soStatus FROM r""")
 
 # --- digests
-_WHO = """SELECT l.companyId, string_agg(DISTINCT l.emailAddress, ';' ORDER BY l.emailAddress) AS recipients FROM md_EmailList l JOIN md_EmailCategory c ON c.emailCategoryId = l.emailCategoryId
-WHERE c.actionName = '{action}' AND l.status = 1 GROUP BY 1"""
+_WHO = """SELECT DISTINCT l.companyId, l.emailAddress FROM md_EmailList l JOIN md_EmailCategory c ON c.emailCategoryId = l.emailCategoryId
+WHERE c.actionName = '{action}' AND l.status = 1"""
 
 
 def _digest(name, build, action, lines, advanced, key):
@@ -177,17 +177,12 @@ FROM workOrderHeader h JOIN workOrderLineItem l ON l.workOrderHeaderId = h.workO
 LEFT JOIN md_Inventory i ON i.invID = l.invId WHERE h.apiStatus = '_NEW_'""", "SELECT workOrderHeaderId, '_ACK_' AS apiStatus FROM workOrderHeader WHERE apiStatus = '_NEW_'", "workOrderHeaderId")
 
 
-# the fixture's bills of lading mix message states; the registered messages take the shipments one by one
-def _one_by_one(t):
-    return t.replace(shipmentHeader=t.shipmentHeader.withColumn("bol", F.concat("bol", F.lit("-"), F.col("shipmentId").cast("string"))))
-
-
 for _kind, _bad, _to in (("ASN", ["apiStatus NOT IN ('_RTG_', '_ASN_')", "containerPullOutDate IS NULL"], "_ASN_"), ("RTG", ["apiStatus NOT IN ('_NEW_', '_RTG_')", "coalesce(haulierId, 0) = 0", "coalesce(forwarderBookingNo, '') = ''"], "_RTG_"),
                          ("INV", ["apiStatus <> '_ASN_'"], None)):
-    _ms = f"WITH h AS (SELECT * REPLACE (bol || '-' || shipmentId AS bol) FROM shipmentHeader), g AS (SELECT * FROM h WHERE NOT ({' OR '.join(_bad)})), q AS (SELECT shipmentId, CAST(sum(shipQty) AS BIGINT) AS n FROM shipmentLineItem GROUP BY 1)"
-    register(f"shipment_message_{_kind.lower()}", lambda t, k=_kind: D.shipment_message(_one_by_one(t), k).bols, _ms + """
+    _ms = f"WITH h AS (SELECT * FROM shipmentHeader), g AS (SELECT * FROM h WHERE bol NOT IN (SELECT bol FROM h WHERE {' OR '.join(_bad)})), q AS (SELECT shipmentId, CAST(sum(shipQty) AS BIGINT) AS n FROM shipmentLineItem GROUP BY 1)"
+    register(f"shipment_message_{_kind.lower()}", lambda t, k=_kind: D.shipment_message(t, k).bols, _ms + """
 SELECT bol, companyId, count(*) AS totalOrders, CAST(sum(q.n) AS BIGINT) AS totalOrdersQty, CAST(sum(shipmentWeight) AS BIGINT) AS totalWeight FROM g JOIN q ON q.shipmentId = g.shipmentId GROUP BY bol, companyId""")
     register(f"shipment_message_{_kind.lower()}_errors", lambda t, k=_kind: D.shipment_message(t, k).errors.drop("rule"), "WITH h AS (SELECT * FROM shipmentHeader) " + " UNION ALL ".join(
         f"SELECT bol, shipmentId, {i} AS ruleNo, bol AS \"key\" FROM h WHERE {c}" for i, c in enumerate(_bad, 2)))
     if _to:
-        register(f"shipment_message_{_kind.lower()}_advanced", lambda t, k=_kind: D.shipment_message(_one_by_one(t), k).advanced.select("shipmentId", "apiStatus"), _ms + f" SELECT shipmentId, '{_to}' AS apiStatus FROM g")
+        register(f"shipment_message_{_kind.lower()}_advanced", lambda t, k=_kind: D.shipment_message(t, k).advanced.select("shipmentId", "apiStatus"), _ms + f" SELECT shipmentId, '{_to}' AS apiStatus FROM g")

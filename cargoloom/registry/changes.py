@@ -17,31 +17,38 @@ def _blank(x):
     return f"coalesce(trim(CAST({x} AS VARCHAR)), '') = ''"
 
 
-def _eq(c, text):
-    return (lambda a, b: f"lower(rtrim({a}.{c})) = lower(rtrim({b}.{c}))") if c in text else (lambda a, b: f"{a}.{c} = {b}.{c}")
-
-
 class Oracle:
     """SQL counterpart of applying a change set; ``extra`` adds columns to ``r``, ``rules`` are (condition, key)."""
 
     def __init__(self, target, key, changes, columns, required=(), unique=(), text=(), on_update=True, status=None, extra="", rules=(), joins="", ctes=""):
-        same = lambda a, b: " AND ".join(_eq(c, text)(a, b) for c in unique)
         live = f"x.{status} = 1" if status else "true"
+        value = lambda a, c: f"lower(rtrim({a}.{c}))" if c in text else f"{a}.{c}"
         checks = [("act NOT IN ('add', 'update', 'delete', 'reactivate')", "actionType")]
         if required:
             checks.append((f"act IN ('add', 'update') AND ({' OR '.join('(' + _blank(c) + ')' for c in required)})", "''"))
-        taken = "false"
         if unique:
-            add = f"act0 = 'add' AND (EXISTS (SELECT 1 FROM {target} x WHERE {live} AND {same('x', 'c')}) OR EXISTS (SELECT 1 FROM c d WHERE lower(trim(d.actionType)) = 'add' AND {same('d', 'c')} AND d.changeId < c.changeId))"
-            upd = f"act0 = 'update' AND EXISTS (SELECT 1 FROM {target} x WHERE {live} AND {same('x', 'c')} AND x.{key} <> c.{key})"
-            taken = f"({add}) OR ({upd})" if on_update else add
             checks.append(("taken", "concat_ws(' / ', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in unique) + ")"))
         checks.append(("act <> 'add' AND NOT known", key))
         self.rules = checks + list(rules)
         bad = " OR ".join(f"coalesce({c}, false)" for c, _ in self.rules)
         self.target, self.key, self.columns, self.status = target, key, columns, status
-        self.sql = f"""WITH {ctes}c0 AS ({changes}), c AS (SELECT c0.* {extra}, lower(trim(actionType)) AS act0 FROM c0 {joins}),
-            r AS (SELECT c.*, act0 AS act, EXISTS (SELECT 1 FROM {target} x WHERE x.{key} = c.{key}) AS known, {taken} AS taken FROM c),
+        taken = "r0 AS (SELECT c.*, act0 AS act, x.{key} IS NOT NULL AS known FROM c LEFT JOIN (SELECT DISTINCT {key} FROM {target}) x ON x.{key} = c.{key}), r AS (SELECT *, false AS taken FROM r0)".format(key=key, target=target)
+        if unique:
+            names = [f"u{i}" for i in range(len(unique))]
+            keys = lambda a: ", ".join(f"{value(a, c)} AS {n}" for c, n in zip(unique, names))
+            same = lambda a, b: " AND ".join(f"{a}.{n} = {b}.{n}" for n in names)
+            others = " OR ".join(f"coalesce({c}, false)" for c, k in self.rules if c != "taken")
+            changes_key = "act IN ('add', 'update')" if on_update else "act = 'add'"
+            own = f"act = 'add' OR lo <> r.{key} OR hi <> r.{key}" if on_update else "true"
+            mine = f"coalesce(r1.act = 'update' AND w.act = 'update' AND w.{key} = r1.{key}, false)"
+            taken = f"""st AS (SELECT {keys('x')}, min(x.{key}) AS lo, max(x.{key}) AS hi FROM {target} x WHERE {live} GROUP BY {', '.join(str(i + 1) for i in range(len(names)))}),
+            r00 AS (SELECT c.*, act0 AS act, x.{key} IS NOT NULL AS known, {keys('c')} FROM c LEFT JOIN (SELECT DISTINCT {key} FROM {target}) x ON x.{key} = c.{key}),
+            r0 AS (SELECT r00.*, lo, hi FROM r00 LEFT JOIN st ON {same('r00', 'st')}),
+            r1 AS (SELECT r.*, coalesce({changes_key} AND lo IS NOT NULL AND ({own}), false) AS stored, {others} AS others FROM r0 r),
+            cl AS (SELECT * FROM r1 WHERE {changes_key} AND NOT others AND NOT stored), fi AS (SELECT {', '.join(names)}, min(changeId) AS cid FROM cl GROUP BY ALL),
+            r AS (SELECT r1.* EXCLUDE ({', '.join(names)}, lo, hi, stored, others), r1.stored OR coalesce(r1.{changes_key} AND fi.cid < r1.changeId AND NOT ({mine}), false) AS taken
+                  FROM r1 LEFT JOIN fi ON {same('r1', 'fi')} LEFT JOIN cl w ON w.changeId = fi.cid AND {same('w', 'fi')})"""
+        self.sql = f"""WITH {ctes}c0 AS ({changes}), c AS (SELECT c0.* {extra}, lower(trim(actionType)) AS act0 FROM c0 {joins}), {taken},
             ok AS (SELECT * FROM r WHERE NOT ({bad})),
             la AS (SELECT * FROM ok WHERE act <> 'add' QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY changeId DESC) = 1)"""
 
@@ -285,7 +292,7 @@ FROM soHeader h JOIN od ON od.soHeaderId = h.soHeaderId LEFT JOIN tg ON tg.soHea
 
 # --- PO lines, request lines
 _POL = """SELECT podetailsId AS changeId, CASE WHEN qty % 4 = 0 THEN 'Update' WHEN qty % 4 = 1 THEN 'Delete' ELSE 'Add' END AS actionType, CASE WHEN qty % 4 IN (0, 1) THEN podetailsId END AS podetailsId, poId,
-    unitPrice + 10 AS unitPrice, CAST(CASE WHEN qty % 8 = 0 THEN qty + 1 ELSE qty - 1 END AS INT) AS qty, 'fixed' AS itemNote FROM poLineItem WHERE qty < 10"""
+    unitPrice + 10 AS unitPrice, CAST(CASE WHEN qty % 8 = 0 THEN qty + 1 ELSE qty - 1 END AS INT) AS qty, 'fixed' AS itemNote FROM poLineItem"""
 pol = lambda t: M.edit_purchase_order_lines(t, t.sql(_POL))
 _pl = Oracle("poLineItem", "podetailsId", f"SELECT q.*, h.foreignCurrencyRate AS rate, s.odrQty AS odr FROM ({_POL}) q LEFT JOIN poHeader h ON h.poId = q.poId LEFT JOIN poLineItem l ON l.podetailsId = q.podetailsId LEFT JOIN soLineItem s ON s.soLineItemId = l.soLineItemId",
              ["poId", "unitPrice", "qty", "itemNote"], rules=[("act = 'update' AND qty > odr", "podetailsId"), ("rate IS NULL", "poId")])
@@ -300,7 +307,7 @@ tc AS (SELECT poId FROM ch UNION SELECT l.poId FROM la JOIN poLineItem l ON l.po
 SELECT tc.poId, coalesce(CAST(sum(CASE WHEN s <> 1086 THEN p * q END) AS BIGINT), 0) AS poNetTotal, coalesce(CAST(sum(CASE WHEN s <> 1086 THEN p * q END) AS BIGINT), 0) AS poGrossTotal
 FROM tc LEFT JOIN af ON af.poId = tc.poId GROUP BY tc.poId""")
 _LRL = """SELECT lrDetailsId AS changeId, CASE WHEN qty % 3 = 0 THEN 'Add' WHEN qty % 3 = 1 THEN 'Update' ELSE 'Delete' END AS actionType, CASE WHEN qty % 3 = 0 THEN NULL ELSE lrDetailsId END AS lrDetailsId, lrHeaderId,
-    CASE WHEN qty % 6 = 0 THEN lrContainerId + 7 ELSE lrContainerId END AS lrContainerId, poDetailsId, CAST(CASE WHEN qty % 5 = 0 THEN 90 ELSE 2 END AS INT) AS qty, 'more' AS itemNote FROM lrLineItem WHERE qty < 16"""
+    CASE WHEN qty % 6 = 0 THEN lrContainerId + 7 ELSE lrContainerId END AS lrContainerId, poDetailsId, CAST(CASE WHEN qty % 5 = 0 THEN 90 ELSE 2 END AS INT) AS qty, 'more' AS itemNote FROM lrLineItem"""
 lrl = lambda t: M.edit_request_lines(t, t.sql(_LRL))
 _LL = f"""WITH c AS ({_LRL}), h AS (SELECT lrContainerId, poDetailsId, min(lrDetailsId) AS has FROM lrLineItem GROUP BY ALL),
 r0 AS (SELECT c.* REPLACE (CASE WHEN actionType = 'Add' AND h.has IS NOT NULL THEN h.has ELSE c.lrDetailsId END AS lrDetailsId), h.has FROM c LEFT JOIN h ON h.lrContainerId = c.lrContainerId AND h.poDetailsId = c.poDetailsId),

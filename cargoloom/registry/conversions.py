@@ -294,11 +294,11 @@ register("lock_stock_demand", _part(lock, "demand", "procurementProcessId", "loc
 SELECT procurementProcessId, lockQty + delta AS lockQty, CASE WHEN lockQty + delta = rawBomTotalQty THEN 1 ELSE 0 END AS status FROM g""")
 
 # --- corrections
-_changes = lambda t: t.shipmentLineItem.where(F.col("shipmentQty") <= 12).select(
+_changes = lambda t: t.shipmentLineItem.select(
     "shipmentLineItemId", F.when(F.col("shipmentQty") == 7, F.col("shipQty") + 1).otherwise(F.floor(F.col("shipQty") / 2).cast("int")).alias("newShipQty"), F.lit("recount").alias("newNotes"))
 correct = lambda t: C.correct_checkout(t, _changes(t))
 _CC = """WITH x AS (SELECT l.*, h.shipId, h.bol, h.companyId, h.pickupAddrId AS warehouseId, CAST(CASE WHEN l.shipmentQty = 7 THEN l.shipQty + 1 ELSE floor(l.shipQty / 2) END AS INT) AS nq
-    FROM shipmentLineItem l JOIN shipmentHeader h ON h.shipmentId = l.shipmentId WHERE l.shipmentQty <= 12)"""
+    FROM shipmentLineItem l JOIN shipmentHeader h ON h.shipmentId = l.shipmentId)"""
 register("correct_checkout_lines", _part(correct, "shipment_lines", "shipmentLineItemId", "shipQty", "lineItemNotes"), _CC + " SELECT shipmentLineItemId, nq AS shipQty, 'recount' AS lineItemNotes FROM x")
 register("correct_checkout_shipments", _part(correct, "shipments", "shipmentId", "shipmentWeight", "bolTotalShipmentWeight"), _CC + """
 , nw AS (SELECT l.shipmentId, CAST(sum(coalesce(x.nq, l.shipQty) * i.grossWeight) AS BIGINT) AS w FROM shipmentLineItem l LEFT JOIN x ON x.shipmentLineItemId = l.shipmentLineItemId
@@ -306,7 +306,8 @@ register("correct_checkout_shipments", _part(correct, "shipments", "shipmentId",
 SELECT h.shipmentId, coalesce(nw.w, h.shipmentWeight) AS shipmentWeight, CAST(sum(coalesce(nw.w, h.shipmentWeight)) OVER (PARTITION BY h.bol) AS BIGINT) AS bolTotalShipmentWeight
 FROM shipmentHeader h LEFT JOIN nw ON nw.shipmentId = h.shipmentId WHERE h.bol IN (SELECT bol FROM x)""")
 register("correct_checkout_balances", _part(correct, "balances"), _CC + ", d AS (SELECT warehouseId, companyId, invId, CAST(sum(shipQty - nq) AS BIGINT) AS q, 0 AS lk FROM x GROUP BY ALL) " + _BALANCES)
-register("correct_checkout_order_lines", _part(correct, "so_lines", "soLineItemId", "shpQty", "soLineItemStatus"), _CC + " SELECT soLineItemId, CAST(sum(nq) AS INT) AS shpQty, 2125 AS soLineItemStatus FROM x GROUP BY 1")
+register("correct_checkout_order_lines", _part(correct, "so_lines", "soLineItemId", "shpQty", "soLineItemStatus"), _CC + """
+SELECT s.soLineItemId, CAST(s.shpQty - sum(x.shipQty - x.nq) AS INT) AS shpQty, 2125 AS soLineItemStatus FROM soLineItem s JOIN x ON x.soLineItemId = s.soLineItemId GROUP BY s.soLineItemId, s.shpQty""")
 register("correct_checkout_orders", _part(correct, "so_headers", "soHeaderId", "soStatus"), _CC + """
 SELECT DISTINCT s.soHeaderId, 2125 AS soStatus FROM x JOIN soLineItem s ON s.soLineItemId = x.soLineItemId""")
 
@@ -339,8 +340,8 @@ n AS (SELECT poId, CAST(sum(unitPrice * qty) AS BIGINT) AS net FROM poLineItem W
 register("rerate_purchase_orders_lines", _part(rerate, "lines", "podetailsId", "homeCurrencyCost"), _RR + " SELECT l.podetailsId, l.unitPrice * q.rate AS homeCurrencyCost FROM poLineItem l JOIN q ON q.poId = l.poId")
 register("rerate_purchase_orders_headers", _part(rerate, "headers", "poId", "foreignCurrencyRate", "poNetTotal", "poGrossTotal"), _RR + """
 SELECT q.poId, q.rate AS foreignCurrencyRate, coalesce(n.net, 0) AS poNetTotal, coalesce(n.net, 0) AS poGrossTotal FROM q LEFT JOIN n ON n.poId = q.poId""")
-reprice = lambda t: C.reprice_lines(t, t.poLineItem.where(F.col("qty") > 40).select("podetailsId", (F.col("unitPrice") + 100).alias("unitCost")))
-_RP = """WITH x AS (SELECT podetailsId, poId, unitPrice + 100 AS np FROM poLineItem WHERE qty > 40)"""
+reprice = lambda t: C.reprice_lines(t, t.poLineItem.select("podetailsId", (F.col("unitPrice") + 100).alias("unitCost")))
+_RP = """WITH x AS (SELECT podetailsId, poId, unitPrice + 100 AS np FROM poLineItem)"""
 register("reprice_lines_lines", _part(reprice, "lines", "podetailsId", "unitPrice", "homeCurrencyCost"), _RP + """
 SELECT x.podetailsId, x.np AS unitPrice, x.np * h.foreignCurrencyRate AS homeCurrencyCost FROM x JOIN poHeader h ON h.poId = x.poId""")
 register("reprice_lines_headers", _part(reprice, "headers", "poId", "poNetTotal", "poGrossTotal"), _RP + """
@@ -372,11 +373,14 @@ SELECT DISTINCT poId, 'DO' AS recordType, '' AS doNo, '{AS_OF}' AS column2, '' A
 UNION ALL SELECT poId, 'DL', '', poName, '', supplierSku, CAST(qty AS VARCHAR), '' FROM l""")
 
 # --- work-order corrections
-_wo_requests = lambda t: t.workOrderLineItem.where(F.col("qty") >= 45).select(
+_wo_requests = lambda t: t.workOrderLineItem.select(
     F.col("workOrderLineItemId").alias("requestId"), "workOrderLineItemId", (F.col("qty") - 2).alias("newQty"), F.when(F.col("qty") == 50, F.col("qty")).otherwise(F.col("confirmQty") - 5).alias("newConfirmQty"),
     F.when(F.col("qty") == 47, "").otherwise("fewer").alias("notes"))
 confirm = lambda t: C.correct_confirm_qty(t, _wo_requests(t))
-_WC = """WITH g AS (SELECT *, qty - 2 AS nq, confirmQty - 5 AS nc FROM workOrderLineItem WHERE qty >= 45 AND qty NOT IN (47, 50) AND confirmQty - 5 <= qty - 2)"""
+_WC = """WITH g AS (SELECT *, qty - 2 AS nq, confirmQty - 5 AS nc FROM workOrderLineItem WHERE qty NOT IN (47, 50) AND confirmQty - 5 <= qty - 2)"""
+register("correct_confirm_qty_errors", _errors(confirm), """
+SELECT workOrderLineItemId AS requestId, workOrderLineItemId, 1 AS ruleNo, '' AS "key" FROM workOrderLineItem WHERE qty = 47
+UNION ALL SELECT workOrderLineItemId, workOrderLineItemId, 2, CAST(workOrderLineItemId AS VARCHAR) FROM workOrderLineItem WHERE CASE WHEN qty = 50 THEN qty ELSE confirmQty - 5 END > qty - 2""")
 register("correct_confirm_qty_lines", _part(confirm, "lines", "workOrderLineItemId", "qty", "confirmQty", "workOrderItemNote"), _WC + " SELECT workOrderLineItemId, nq AS qty, nc AS confirmQty, 'fewer' AS workOrderItemNote FROM g")
 register("correct_confirm_qty_order_lines", _part(confirm, "so_lines", "soLineItemId", "processQty"), _WC + " SELECT s.soLineItemId, CAST(s.processQty - 5 AS INT) AS processQty FROM soLineItem s JOIN g ON g.soLineItemId = s.soLineItemId")
 register("correct_confirm_qty_audit", _part(confirm, "audit", "workOrderLineItemId", "revisionNo", "payload"), _WC + """

@@ -117,7 +117,8 @@ r AS (SELECT c.lrHeaderId, c.lrName, p.customerCode AS customerName, c.earlyShip
       FROM lrContainer c JOIN lrHeader h ON c.lrHeaderId = h.lrHeaderId LEFT JOIN md_MasterCategory m ON h.lrStatus = m.categoryId
       LEFT JOIN md_MasterCategory ct ON c.containerTypeId = ct.categoryId LEFT JOIN f ON f.lrContainerId = c.lrContainerId LEFT JOIN poHeader p ON p.poId = f.poId
       WHERE h.lrStatus NOT IN (2130, 2131) AND c.containerStatus NOT IN (2130, 2131) GROUP BY ALL),
-p AS (SELECT *, row_number() OVER (ORDER BY earlyShipDate, lrHeaderId, forwarderBookingNo, containerType, customerName NULLS FIRST) AS rowNo, count(*) OVER () AS totalRecord FROM r)
+p AS (SELECT *, row_number() OVER (ORDER BY earlyShipDate NULLS FIRST, lrHeaderId, lrName NULLS FIRST, customerName NULLS FIRST, containerType NULLS FIRST, forwarderId NULLS FIRST, forwarderBookingNo NULLS FIRST,
+       forwarderBookingDate NULLS FIRST, ETD NULLS FIRST, ETA NULLS FIRST, status NULLS FIRST) AS rowNo, count(*) OVER () AS totalRecord FROM r)
 SELECT * REPLACE (CAST(earlyShipDate AS VARCHAR) AS earlyShipDate, CAST(forwarderBookingDate AS VARCHAR) AS forwarderBookingDate, CAST(ETD AS VARCHAR) AS ETD,
                   CAST(ETA AS VARCHAR) AS ETA) FROM p WHERE rowNo <= 500""")
 

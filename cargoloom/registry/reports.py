@@ -141,7 +141,7 @@ register("request_print_header", lambda t: R.request_print_header(t), f"""
 SELECT h.lrHeaderId, h.lrName, CAST(h.lrDate AS VARCHAR) AS lrDate, upper(x.companyName) AS companyName, {_COMPANY_LINE} AS companyAddress, {_COMPANY_PHONE} AS companyPhone
 FROM lrHeader h JOIN md_Company x ON x.companyId = h.companyId""")
 
-register("request_print_lines", lambda t: R.request_print_lines(t), """
+register("request_print_lines", lambda t: R.request_print_lines(t, carton_customers=(12, 13, 14, 22)), """
 WITH b AS (SELECT c.*, m.categoryName AS containerType, CASE WHEN containerNo = '' AND containerSealNo = '' THEN '' ELSE containerNo || ' | ' || containerSealNo END AS boxNo
            FROM lrContainer c JOIN md_MasterCategory m ON m.categoryId = c.containerTypeId WHERE containerStatus <> 2130),
 li AS (SELECT b.lrHeaderId, b.lrContainerId, b.lrName, b.containerSeq, b.boxNo, b.containerType, b.containerTypeId, b.notes, b.earlyShipDate, b.lateShipDate, p.portName AS POD,
@@ -219,7 +219,7 @@ register("invoice_summary", lambda t: R.invoice_summary(t), """
 SELECT h.shipmentId, c.customerName, h.shipId, h.invoiceId, h.customerPO || coalesce(h.customerInvoiceNo, '') AS csInvNPoNo, coalesce(h.customerInvoiceNo, '') AS customerInvoiceNo,
        CAST(h.invoiceDate AS VARCHAR) AS invoiceDate, h.customerPO, p.poName, h.pol, h.pod, CAST(h.ETA AS VARCHAR) AS ETA, CAST(h.ETD AS VARCHAR) AS ETD, 'FOB' AS tradeTerm,
        h.containerSeqNo, m.categoryName AS containerType, q.totalShipQty, 'PCS' AS "UOM", p.homeCurrencyCode AS currency, h.InvoiceAmount AS invoiceAmount, y.companyShortCode AS supplierName,
-       CASE WHEN z.lrHeaderId IS NOT NULL THEN 'FNP-' || h.invoiceId END AS supplierInvoiceId, CASE WHEN z.lrHeaderId IS NOT NULL THEN CAST(h.invoiceDate AS VARCHAR) END AS supplierInvoiceDate,
+       CASE WHEN z.lrHeaderId IS NOT NULL THEN 'SUP-' || h.invoiceId END AS supplierInvoiceId, CASE WHEN z.lrHeaderId IS NOT NULL THEN CAST(h.invoiceDate AS VARCHAR) END AS supplierInvoiceDate,
        CASE WHEN z.lrHeaderId IS NOT NULL THEN q.totalShipQty END AS supplierTotalShipQty, CASE WHEN z.lrHeaderId IS NOT NULL THEN 'PCS' END AS supplierUOM,
        CASE WHEN z.lrHeaderId IS NOT NULL THEN p.foreignCurrencyCode END AS supplierCurrency, CASE WHEN z.lrHeaderId IS NOT NULL THEN h.InvoiceAmount END AS supplierInvoiceAmount
 FROM shipmentHeader h LEFT JOIN md_Customer c ON c.customerId = h.customerId LEFT JOIN md_MasterCategory m ON m.categoryId = h.containerTypeId AND m.categoryParentID = 3153

@@ -80,14 +80,14 @@ register("cancel_sales_orders_lines", _pick(cancel, "lines", "soLineItemId", "so
 register("cancel_sales_orders_po_lines", _pick(cancel, "po_lines", "podetailsId", "itemStatus"),
          _c("""SELECT l.podetailsId, 1086 AS itemStatus FROM poLineItem l JOIN poHeader p ON p.poId = l.poId AND p.poStatus = 2143 JOIN k ON k.soName = p.poReferenceId WHERE l.itemStatus = 2143"""))
 
-_line_requests = lambda t: t.soLineItem.where(F.col("odrQty") <= 5).select("soHeaderId", "soLineItemId")
+_line_requests = lambda t: t.soLineItem.select("soHeaderId", "soLineItemId")
 cancel_lines = lambda t: T.cancel_sales_order_lines(t, _line_requests(t), AS_OF)
 register("cancel_sales_order_lines_deleted", lambda t: cancel_lines(t).deleted,
-         "SELECT l.soLineItemId FROM soLineItem l JOIN soHeader h ON h.soHeaderId = l.soHeaderId WHERE l.odrQty <= 5 AND h.soStatus = 1105")
+         "SELECT l.soLineItemId FROM soLineItem l JOIN soHeader h ON h.soHeaderId = l.soHeaderId WHERE h.soStatus = 1105")
 register("cancel_sales_order_lines_marked", _pick(cancel_lines, "lines", "soLineItemId", "soLineItemStatus", "odrQty"), """
-SELECT l.soLineItemId, 1107 AS soLineItemStatus, 0 AS odrQty FROM soLineItem l JOIN soHeader h ON h.soHeaderId = l.soHeaderId WHERE l.odrQty <= 5 AND h.soStatus <> 1105""")
+SELECT l.soLineItemId, 1107 AS soLineItemStatus, 0 AS odrQty FROM soLineItem l JOIN soHeader h ON h.soHeaderId = l.soHeaderId WHERE h.soStatus <> 1105""")
 register("cancel_sales_order_lines_headers", _pick(cancel_lines, "headers", "soHeaderId", "lastUpdatedDate"), f"""
-SELECT DISTINCT h.soHeaderId, '{AS_OF}' AS lastUpdatedDate FROM soLineItem l JOIN soHeader h ON h.soHeaderId = l.soHeaderId WHERE l.odrQty <= 5 AND h.soStatus <> 1105""")
+SELECT DISTINCT h.soHeaderId, '{AS_OF}' AS lastUpdatedDate FROM soLineItem l JOIN soHeader h ON h.soHeaderId = l.soHeaderId WHERE h.soStatus <> 1105""")
 
 close = lambda t: T.close_sales_orders(t, t.soHeader.select(F.concat(F.col("soStatus").cast("string"), F.lit("-"), F.col("soHeaderId").cast("string")).alias("requestId"), "soHeaderId",
                                                             F.when(F.col("soHeaderId") % 13 == 0, "").otherwise("reason").alias("notes")))
@@ -213,9 +213,12 @@ SELECT coalesce(b.warehouseId, d.warehouseId) AS warehouseId, coalesce(b.company
        coalesce(b.balanceQty, 0) + coalesce(d.q, 0) AS balanceQty, coalesce(b.lockQty, 0) + coalesce(d.q, 0) AS lockQty
 FROM inventoryBalanceWH b FULL JOIN d ON d.warehouseId = b.warehouseId AND d.companyId = b.companyId AND d.invId = b.invId"""))
 
-cancel_wo = lambda t: T.cancel_work_order_lines(t, t.workOrderLineItem.where(F.col("qty") <= 10).select(
+cancel_wo = lambda t: T.cancel_work_order_lines(t, t.workOrderLineItem.select(
     F.col("workOrderLineItemId").alias("requestId"), "workOrderLineItemId", F.when(F.col("qty") == 3, "").otherwise("broken").alias("notes")))
-_WOL = "WITH k AS (SELECT * FROM workOrderLineItem WHERE qty <= 10 AND qty <> 3 AND workOrderItemStatus <> 5236)"
+_WOL = "WITH k AS (SELECT * FROM workOrderLineItem WHERE qty <> 3 AND workOrderItemStatus <> 5236)"
+register("cancel_work_order_lines_errors", _errors(cancel_wo), """
+SELECT workOrderLineItemId AS requestId, workOrderLineItemId, 1 AS ruleNo, '' AS "key" FROM workOrderLineItem WHERE qty = 3
+UNION ALL SELECT workOrderLineItemId, workOrderLineItemId, 2, CAST(workOrderLineItemId AS VARCHAR) FROM workOrderLineItem WHERE workOrderItemStatus = 5236""")
 register("cancel_work_order_lines_lines", _pick(cancel_wo, "lines", "workOrderLineItemId", "confirmQty", "workOrderItemStatus", "workOrderItemNote"),
          _WOL + " SELECT workOrderLineItemId, 0 AS confirmQty, 5236 AS workOrderItemStatus, 'broken' AS workOrderItemNote FROM k")
 register("cancel_work_order_lines_order_lines", _pick(cancel_wo, "so_lines", "soLineItemId", "processQty"),

@@ -145,7 +145,7 @@ VIEWS: dict[str, str] = {
     "md_EmailList": """
         SELECT DISTINCT user_id * 10 + user_id % 8 AS emailListId, CAST(1 + user_id % 3 AS INT) AS companyId, CAST(1 + user_id % 8 AS INT) AS emailCategoryId,
                concat('user', user_id, '@example.test') AS emailAddress, CASE WHEN user_id % 5 = 4 THEN 0 ELSE 1 END AS status
-        FROM {events} WHERE user_id < 90""",
+        FROM {events}""",
     "md_Customer": """
         SELECT c_custkey AS customerId, CAST(1 + c_custkey % 3 AS INT) AS companyId,
                CASE WHEN c_custkey % 10 = 3 THEN CAST(1 + (c_custkey + 2) % 3 AS INT) ELSE 0 END AS internal_branchId,
@@ -316,7 +316,8 @@ VIEWS: dict[str, str] = {
                CAST(o_orderdate + INTERVAL 34 DAY AS DATE) AS ETD, CAST(o_orderdate + INTERVAL 55 DAY AS DATE) AS ETA,
                CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate + INTERVAL 31 DAY AS DATE) END AS containerPullOutDate,
                CAST(o_orderkey % 6 AS INT) AS numberOfPallets, CAST(o_orderkey % 900 AS BIGINT) AS shipmentWeight, CAST(o_orderkey % 1800 AS BIGINT) AS bolTotalShipmentWeight,
-               CASE o_orderkey % 4 WHEN 0 THEN '_NEW_' WHEN 1 THEN '_RTG_' WHEN 2 THEN '_ASN_' ELSE '_INV_' END AS apiStatus, '' AS note
+               CASE CASE WHEN CAST(floor(o_orderkey / 4) AS BIGINT) % 7 = 0 THEN o_orderkey % 4 ELSE CAST(floor(o_orderkey / 4) AS BIGINT) % 4 END
+                    WHEN 0 THEN '_NEW_' WHEN 1 THEN '_RTG_' WHEN 2 THEN '_ASN_' ELSE '_INV_' END AS apiStatus, '' AS note
         FROM {orders}""",
     "shipmentLineItem": f"""
         SELECT {_LINE_ID} AS shipmentLineItemId, l_orderkey AS shipmentId, {_LINE_ID} AS soLineItemId, {_LINE_ID} AS lrDetailsId, l_partkey AS invId,
