@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import shared_root
+
 #: Bytes of text that one vectorised step looks at; a longer single text is a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -31,11 +33,8 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder below the one that all executors share."""
+    return f"{shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
