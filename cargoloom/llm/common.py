@@ -22,11 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, under these exact names, whatever else the table holds."""
-    return df.select(*[F.col(f"`{n}`").alias(n) for n in names])
-
-
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text): the id as long, a null text as the empty one."""
     return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))

@@ -20,7 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_named, in_arrow, steps, stored, texts
@@ -30,6 +30,8 @@ from .words import BLANKS, LOWER, U, byte_sums, grams, mix, row_of, running, spa
 #: Bins a band and bands: a pair of similarity 0.8 shares no band about once in 200,000 cases.
 ROWS, BANDS = 6, 40
 _WALK = 1 << 12
+#: Bits of the map that bounds what two sets can share.
+BITS = 4096
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +88,7 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
-    """(doc_id, n_shingles, a, b, keys): a and b are 128 bits that tell shingle sets apart."""
+    """(doc_id, n_shingles, a, b, bits, keys): a and b are 128 bits that tell shingle sets apart, bits has one set for each shingle's hash."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in steps(column_named(batch, "text")):
@@ -96,11 +98,15 @@ def _signed(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
                 np.add.at(a, row, mix(runs + U(1)))
                 np.add.at(b, row, mix(runs ^ U(0x9FB21C651E98DF25)))
                 many = np.bincount(row, minlength=n)
+                bits = np.zeros((n, BITS), bool)
+                bits[row, (runs & U(BITS - 1)).astype(np.int64)] = True
+                bits = np.packbits(bits, axis=1).view(np.int64)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel()))
                 keys = band_keys(signatures(runs, row, n, rows * bands), rows)
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(many > 0, bands, 0))]).astype(np.int32)), pa.array(keys[many > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([column_named(batch, "doc_id")[lo:hi], pa.array(many.astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), keys],
-                                                 names=["doc_id", "n_shingles", "a", "b", "keys"])
-    return in_arrow(docs, sign, "doc_id long, n_shingles long, a long, b long, keys array<long>")
+                yield pa.RecordBatch.from_arrays([column_named(batch, "doc_id")[lo:hi], pa.array(many.astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), bits, keys],
+                                                 names=["doc_id", "n_shingles", "a", "b", "bits", "keys"])
+    return in_arrow(docs, sign, "doc_id long, n_shingles long, a long, b long, bits array<long>, keys array<long>")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -135,25 +141,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     docs = texts(docs)
     signed = stored(_signed(docs, words, rows, bands), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")).where("rep IS NOT NULL")
+    classes = signed.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
     classes = stored(classes, "classes")
     same = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     heads = same.join(classes.select("a", "b", "rep"), (same["doc_id"] == classes["rep"]) & (same["a"] == classes["a"]) & (same["b"] == classes["b"])) \
-        .select("rep", "keys").dropDuplicates(["rep"])
+        .select("rep", "n_shingles", "bits", "keys").dropDuplicates(["rep"])
+    heads = stored(heads, "heads")
     entries = heads.select("rep", F.explode("keys").alias("key")).select("key", F.col("rep").alias("node"))
-    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
+    facts = heads.select(F.col("rep").alias("node"), F.struct("n_shingles", "bits").alias("fact"))
 
-    def narrow(pairs: DataFrame) -> DataFrame:
-        """Sets of too different sizes can't be similar, whatever they share."""
-        of = lambda name: sizes.select(F.col("rep").alias(name), F.col("n").alias(f"{name}_n"))
-        return pairs.join(of("c"), "c").join(of("v"), "v").where((F.col("v_n") * 100 >= F.col("c_n") * percent) & (F.col("c_n") * 100 >= F.col("v_n") * percent))
+    def may_link(one: Column, other: Column) -> Column:
+        """A shingle whose bit the other set lacks isn't shared, which bounds the shared ones; sizes too far apart need no look at them."""
+        n, m = one["n_shingles"], other["n_shingles"]
+        lacking = F.aggregate(F.zip_with(one["bits"], other["bits"], lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda total, x: total + x)
+        return (n * 100 >= m * percent) & (m * 100 >= n * percent) & ((n - lacking) * 100 >= (m + lacking) * percent)
 
     def prepare(nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
         involved = nodes.withColumnRenamed("node", "doc_id")
         bodies = stored(docs.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "bodies")
         return lambda pairs: _confirmed(pairs, bodies, words, percent)
 
-    labels = star_components(entries, narrow, prepare)
+    labels = star_components(entries, facts, may_link, prepare)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "a", "b").join(named, ["a", "b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
