@@ -12,21 +12,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.history import change_json, line_qty_notices, notify_recipients, target_date_notices
+from ..plans.digests import Digest
 from ..sources.files import current_version, publish, read_published
 
 
-def read_changes(spark: SparkSession, path: str, schema: str, event_time: str, key: list[str], delay: str = "1 hour") -> DataFrame:
-    """Change rows as a stream, each (key) once within the watermark.
-
-    ``key`` should hold the record key and its version, so a file delivered
-    twice adds nothing.
-    """
-    return (spark.readStream.schema(schema).json(path)
-            .withWatermark(event_time, delay)
-            .dropDuplicatesWithinWatermark(key))
+def read_changes(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Change rows as a stream, as delivered: duplicates and late rows are sorted out by ``notice_stream``."""
+    return spark.readStream.schema(schema).json(path)
 
 
 def split_late(batch: DataFrame, event_time: str, arrival: str, delay_seconds: int) -> tuple[DataFrame, DataFrame]:
@@ -35,18 +31,29 @@ def split_late(batch: DataFrame, event_time: str, arrival: str, delay_seconds: i
     return batch.where(~late), batch.where(late)
 
 
-def notice_stream(changes: DataFrame, sink: str, checkpoint: str, event_time: str = "changedAt", arrival: str = "arrivedAt", delay_seconds: int = 3600) -> StreamingQuery:
-    """Change rows carrying old and new values -> notices; late rows go to a side table.
+def notice_stream(changes: DataFrame, sink: str, checkpoint: str, key: list[str], event_time: str = "changedAt", arrival: str = "arrivedAt", delay_seconds: int = 3600) -> StreamingQuery:
+    """Change rows carrying old and new values -> notices; late rows go to a side table, none is lost.
 
     Rows hold companyId, sourceModule, sourceRecordId, column, oldValue and newValue; rows without a change make no notice.
+    ``key`` holds the record key and its version: a row delivered again, in the same or a later batch, counts once.
+    Keys that were taken are kept by batch; a batch looks only at those since its earliest event.
     """
+    taken = f"{sink}/taken"
+    names = [f for f in changes.schema.fields if f.name in (*key, event_time)]
+    changes.sparkSession.createDataFrame([], T.StructType(names)).write.mode("overwrite").parquet(f"{taken}/batch=-1")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        on_time, late = split_late(batch, event_time, arrival, delay_seconds)
+        batch = batch.dropDuplicates(key).persist()
+        since = batch.agg(F.min(event_time)).first()[0]
+        known = batch.sparkSession.read.parquet(taken).where((F.col("batch") < batch_id) & (F.col(event_time) >= F.lit(since))).select(*key)
+        rows = batch.join(known, key, "left_anti").persist()
+        on_time, late = split_late(rows, event_time, arrival, delay_seconds)
         moved = change_json(on_time.where(~F.col("oldValue").eqNullSafe(F.col("newValue"))))
         notices = moved.select("companyId", "sourceModule", "sourceRecordId", F.concat(F.lit("Change "), "column").alias("eventType"), "payload")
         notices.write.mode("overwrite").parquet(f"{sink}/notices/batch={batch_id}")
         late.write.mode("overwrite").parquet(f"{sink}/late/batch={batch_id}")
+        rows.select(*[f.name for f in names]).write.mode("overwrite").parquet(f"{taken}/batch={batch_id}")
+        rows.unpersist()
         batch.unpersist()
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -57,7 +64,8 @@ def image_stream(images: DataFrame, table_root: str, table: str, key: str, versi
 
     The published table is the keyed state: each batch is compared with it and
     published as the next version, so the stream itself holds no unbounded state.
-    A batch that ran before (its version is the current one) is not applied twice.
+    A batch that ran before (its version is the current one) is not applied twice.  The table holds
+    ``version``; an image that isn't newer than the stored row changes nothing and makes no notice.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -66,8 +74,12 @@ def image_stream(images: DataFrame, table_root: str, table: str, key: str, versi
             return
         before = read_published(spark, table_root, table)
         columns = before.columns
+        if version not in columns:
+            raise ValueError(f"table {table} needs the column {version}")
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), F.col(version)).alias("_r")).select(key, "_r.*")
-        newest = newest.select(*columns)
+        stored = before.select(F.col(key).alias("_key"), F.col(version).alias("_stored"))
+        newer = F.col("_stored").isNull() | (F.col(version) > F.col("_stored"))
+        newest = newest.join(stored, F.col(key) == F.col("_key"), "left").where(newer).select(*columns)
         compare(before, newest).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
         publish(spark, table_root, {table: before.join(newest.select(key), key, "left_anti").unionByName(newest)}, version=done)
 
@@ -87,13 +99,16 @@ def recipient_compare(compare: Callable[[DataFrame, DataFrame], DataFrame], tabl
     return lambda old, new: notify_recipients(compare(old, new), tables, exclude_user)
 
 
-def digest_stream(documents: DataFrame, build: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
-    """Document images at a trigger flag -> digest lines per batch.
+def digest_stream(documents: DataFrame, build: Callable[[DataFrame], Digest], sink: str, checkpoint: str) -> StreamingQuery:
+    """Document images at a trigger flag -> digest lines and the documents with their advanced flag, per batch.
 
-    ``build`` turns a batch of documents into digest lines, for example by
-    putting the batch in place of the document table of a digest function.
+    ``build`` turns a batch of documents into a digest, for example by putting the batch in place of the
+    document table of a digest function.  ``advanced`` is what the document table takes over (``merge_rows``),
+    so that the same documents aren't due again.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        build(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        digest = build(batch)
+        digest.lines.write.mode("overwrite").parquet(f"{sink}/lines/batch={batch_id}")
+        digest.advanced.write.mode("overwrite").parquet(f"{sink}/advanced/batch={batch_id}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -27,8 +27,7 @@ def test_notice_stream(spark, tmp_path):
     src, out, ck = tmp_path / "in", tmp_path / "out", tmp_path / "ck"
 
     def run():
-        changes = feeds.read_changes(spark, str(src), CHANGE, "changedAt", ["changeId"])
-        feeds.notice_stream(changes, str(out), str(ck)).awaitTermination()
+        feeds.notice_stream(feeds.read_changes(spark, str(src), CHANGE), str(out), str(ck), ["changeId"]).awaitTermination()
 
     put(src, "a.json", [change(1, "5", "6"), change(2, "7", "7"), change(3, None, "1"), change(4, "1", "2", arrived="2024-01-01 12:30:00")])
     run()
@@ -40,6 +39,16 @@ def test_notice_stream(spark, tmp_path):
     assert sorted(r.sourceRecordId for r in notices().collect()) == [1, 3, 5]
     run()  # nothing new
     assert notices().count() == 3
+    # a row eight hours late, long behind the newest event, delivered twice; and the first late row once more
+    put(src, "c.json", [change(6, "1", "2", at="2024-01-02 10:00:00", arrived="2024-01-02 10:00:05")])
+    run()
+    late = change(7, "1", "9", at="2024-01-01 09:00:00", arrived="2024-01-02 11:00:00")
+    put(src, "d.json", [late, late, change(4, "1", "2", arrived="2024-01-02 11:00:00")])
+    run()
+    put(src, "e.json", [late, change(1, "5", "6", arrived="2024-01-02 12:00:00")])
+    run()
+    assert sorted(r.changeId for r in spark.read.parquet(f"{out}/late").collect()) == [4, 7]
+    assert sorted(r.sourceRecordId for r in notices().collect()) == [1, 3, 5, 6]
 
 
 HEAD = "workOrderHeaderId long, companyId int, workOrderName string, targetCompleteDate date, version int"
@@ -48,7 +57,7 @@ HEAD = "workOrderHeaderId long, companyId int, workOrderName string, targetCompl
 def test_image_stream_compares_with_the_published_table(spark, tmp_path):
     root, src, out, ck = (str(tmp_path / n) for n in ("table", "in", "out", "ck"))
     base = spark.createDataFrame([(1, 1, "W1", "2024-01-01"), (2, 1, "W2", "2024-01-01")], "workOrderHeaderId long, companyId int, workOrderName string, d string") \
-        .withColumn("targetCompleteDate", F.col("d").cast("date")).drop("d")
+        .withColumn("targetCompleteDate", F.col("d").cast("date")).drop("d").withColumn("version", F.lit(0))
     publish(spark, root, {"workOrderHeader": base})
     lines = spark.createDataFrame([(1, 100), (1, 101), (2, 200)], "workOrderHeaderId long, soHeaderId long")
     put(tmp_path / "in", "a.json", [dict(workOrderHeaderId=1, companyId=1, workOrderName="W1", targetCompleteDate="2024-01-02", version=1),
@@ -66,13 +75,30 @@ def test_image_stream_compares_with_the_published_table(spark, tmp_path):
     assert spark.read.parquet(out).count() == 3
 
 
+def test_an_older_image_does_not_move_the_table_back(spark, tmp_path):
+    root, out, ck = (str(tmp_path / n) for n in ("table", "out", "ck"))
+    row = lambda date, version: dict(workOrderHeaderId=1, companyId=1, workOrderName="W1", targetCompleteDate=date, version=version)
+    publish(spark, root, {"workOrderHeader": spark.createDataFrame([(1, 1, "W1", "2024-01-05", 5)], "workOrderHeaderId long, companyId int, workOrderName string, d string, version int")
+                          .withColumn("targetCompleteDate", F.col("d").cast("date")).drop("d")})
+    lines = spark.createDataFrame([(1, 100)], "workOrderHeaderId long, soHeaderId long")
+    for name, rows, want in (("a.json", [row("2024-01-03", 3)], ("2024-01-05", 5)), ("b.json", [row("2024-01-09", 7), row("2024-01-06", 6)], ("2024-01-09", 7)), ("c.json", [row("2024-01-06", 6)], ("2024-01-09", 7))):
+        put(tmp_path / "in", name, rows)
+        images = spark.readStream.schema(HEAD).json(str(tmp_path / "in"))
+        feeds.image_stream(images, root, "workOrderHeader", "workOrderHeaderId", "version", feeds.target_date_compare(lines), out, ck).awaitTermination()
+        after = read_published(spark, root, "workOrderHeader").first()
+        assert (str(after.targetCompleteDate), after.version) == want
+    assert {r.payload for r in spark.read.parquet(out).collect() if "2024-01-0" in r.payload and "2024-01-09" not in r.payload} == set()
+
+
 def test_digest_stream_equals_the_batch_digest(spark, tmp_path):
     t = StarSchemaTables(spark, "/root/testdata/sf0.001")
     flagged = t.soHeader.where(F.col("apiStatus") == "_NEW_")
     flagged.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(flagged.schema).parquet(str(tmp_path / "in"))
-    feeds.digest_stream(stream, lambda batch: new_sales_orders(t.replace(soHeader=batch)).lines, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    feeds.digest_stream(stream, lambda batch: new_sales_orders(t.replace(soHeader=batch)), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    advanced = spark.read.parquet(str(tmp_path / "out/advanced"))
+    assert advanced.count() == flagged.count() and {r.apiStatus for r in advanced.collect()} == {"_ACK_"}
+    got = spark.read.parquet(str(tmp_path / "out/lines")).drop("batch")
     want = new_sales_orders(t).lines
     assert got.count() == want.count() > 0
     assert got.select(want.columns).exceptAll(want).count() == 0
