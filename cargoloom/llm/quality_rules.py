@@ -1,7 +1,8 @@
 """Quality rules by compression bands.
 
 Zstandard ratios (compressed bytes / bytes) of the whole text and of fixed chunks of it are held
-against limits that depend on length: a ratio below the band tells repetition, above it noise.
+against limits that depend on length: a ratio below the band tells repetition, above it noise.  Noise in letters, digits
+or base64 stays below these bands, so a closer upper limit, between clean and random texts of the length, is held as well.
 Simple counts of words, symbols and repeats come along; two of them are hard limits.
 
 A null text counts as empty.  Rows are judged one by one, so repeated rows get equal verdicts, a null
@@ -22,6 +23,10 @@ from .words import BLANKS, byte_sums, grams, row_of, span_hash, spans
 BANDS = ((256, 0.30, 0.95), (1024, 0.25, 0.85), (8192, 0.20, 0.80))
 #: Chunks of so many bytes; a text of two chunks or more fails if over this share of them is outside the band.
 CHUNK, CHUNK_BAND, CHUNK_SHARE = 1024, (0.25, 0.90), 0.3
+#: (bytes, highest ratio), straight between in the logarithm of the bytes: at each length above clean prose (from 1 KB also
+#: above source and Markdown) and below random base64, letters with digits and bytes, in words and lines too.  A text of two chunks or more also fails if over
+#: CHUNK_SHARE of them are above the limit of their size.
+NOISE = ((256, 0.89), (512, 0.785), (1024, 0.73), (4096, 0.70), (8192, 0.68))
 LEVEL = 3
 #: Hard limits: words at least, and percent of words in repeated windows of so many words.
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -83,15 +88,35 @@ def band_reason(n: int, ratio: float, odd: float) -> str | None:
     return "odd chunks" if odd > CHUNK_SHARE else None
 
 
-def _ratios(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Ratio of the whole text, share of its whole chunks outside the chunk band."""
+def noise_limit(n: int) -> float:
+    """The highest ratio of a text of n bytes that isn't noise; shorter texts than the first have none."""
+    return float(np.interp(np.log2(n), np.log2([b for b, _ in NOISE]), [r for _, r in NOISE])) if n >= NOISE[0][0] else np.inf
+
+
+def noise_reason(n: int, ratio: float, sizes: list[float]) -> str | None:
+    """Why a text of n bytes with these ratios of its chunks counts as noise; None if it doesn't."""
+    if ratio > noise_limit(n):
+        return "incompressible"
+    return "odd chunks" if sum(s > noise_limit(CHUNK) for s in sizes) > CHUNK_SHARE * len(sizes) else None
+
+
+def _sizes(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, list[float]]:
+    """Ratio of the whole text, ratios of its whole chunks if it has two or more."""
     if not data:
-        return 1.0, 0.0
+        return 1.0, []
     whole = len(packer.compress(data)) / len(data)
-    if len(data) < 2 * CHUNK:
-        return whole, 0.0
-    sizes = [len(packer.compress(data[i:i + CHUNK])) / CHUNK for i in range(0, len(data) - CHUNK + 1, CHUNK)]
-    return whole, sum(not CHUNK_BAND[0] <= s <= CHUNK_BAND[1] for s in sizes) / len(sizes)
+    return whole, [len(packer.compress(data[i:i + CHUNK])) / CHUNK for i in range(0, len(data) - CHUNK + 1, CHUNK)] if len(data) >= 2 * CHUNK else []
+
+
+def _odd(sizes: list[float]) -> float:
+    """Share of chunks outside the chunk band."""
+    return sum(not CHUNK_BAND[0] <= s <= CHUNK_BAND[1] for s in sizes) / len(sizes) if sizes else 0.0
+
+
+def _ratios(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float]:
+    """Ratio of the whole text, share of its whole chunks outside the chunk band."""
+    whole, sizes = _sizes(data, packer)
+    return whole, _odd(sizes)
 
 
 def _judge(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -105,9 +130,10 @@ def _judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         repeat = _repeated_words(hashes, first, WINDOW)
         failed = (n_words < LEAST_WORDS) | (100 * repeat > REPEAT_PERCENT * n_words)
         raw = data.tobytes()
-        ratios = [_ratios(raw[a:b], packer) for a, b in zip(offsets[:-1], offsets[1:])]
-        why = ["too short" if n < LEAST_WORDS else "repeated words" if bad else band_reason(int(size), *r)
-               for n, bad, size, r in zip(n_words, failed, np.diff(offsets), ratios)]
+        sizes = [_sizes(raw[a:b], packer) for a, b in zip(offsets[:-1], offsets[1:])]
+        ratios = [(whole, _odd(some)) for whole, some in sizes]
+        why = ["too short" if n < LEAST_WORDS else "repeated words" if bad else band_reason(int(size), *r) or noise_reason(int(size), *s)
+               for n, bad, size, r, s in zip(n_words, failed, np.diff(offsets), ratios, sizes)]
         parts.append((n_words, chars, _per_row(_SYMBOL[data], offsets), _duplicate_lines(data, offsets, sums), repeat, failed,
                       np.array([r[0] for r in ratios]), np.array([r[1] for r in ratios]), np.array(why, object), np.array([w is None for w in why])))
     cols = [np.concatenate(c) for c in zip(*parts)]
