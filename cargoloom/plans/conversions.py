@@ -48,13 +48,17 @@ class PurchaseOrders(NamedTuple):
     so_lines: DataFrame
     so_headers: DataFrame
     errors: DataFrame
+    added_lines: DataFrame
+    relinked: DataFrame
 
 
 def convert_to_purchase_orders(t: Tables, requests: DataFrame, as_of) -> PurchaseOrders:
     """Approved orders with open quantity -> one PO per order, or a refresh of the PO the order has.
 
     The rate is the one valid on the day for the company and the currency pair;
-    a missing rate, price or currency is an error.  Requests are (requestId, soHeaderId).
+    a missing rate, price or currency is an error.  Requests are (requestId, soHeaderId).  Lines that an order
+    gained after its PO was made are ``added_lines`` of that PO.  ``relinked`` names the request lines (lrDetailsId, soLineItemId,
+    poName) whose order line got a line of a new PO; its id is the store's business.
     """
     rows = requests.join(t.soHeader, "soHeaderId")
     lines = t.soLineItem.where((F.col("odrQty") - F.col("poQty") > 0) & (F.col("soLineItemStatus") == SO["approved"])) \
@@ -96,7 +100,12 @@ def convert_to_purchase_orders(t: Tables, requests: DataFrame, as_of) -> Purchas
     ordered = t.soLineItem.select(F.col("soLineItemId").alias("_sl"), F.col("odrQty").alias("_odr"))
     refreshed_lines = t.poLineItem.join(again.select("poId"), "poId", "left_semi").join(ordered, F.col("soLineItemId") == F.col("_sl")) \
         .withColumns({"qty": F.col("_odr"), "itemStatus": F.lit(PO["draft"])}).select(*t.poLineItem.columns)
-    taken = new_lines.select("soLineItemId", "qty").unionByName(refreshed_lines.select("soLineItemId", "qty"))
+    # order lines without any PO line, gained after the PO was made
+    on_pos = t.poLineItem.where(F.col("soLineItemId").isNotNull()).select("soLineItemId")
+    added_lines = lookup(detail.where(F.col("_poId").isNotNull()).join(on_pos, "soLineItemId", "left_anti"), t.poHeader, {"_poId": "poId"}, poName="poName") \
+        .select(F.col("_poId").alias("poId"), *new_lines.columns)
+    relinked = t.lrLineItem.select("lrDetailsId", "soLineItemId").join(new_lines.select("soLineItemId", "poName"), "soLineItemId").select("lrDetailsId", "soLineItemId", "poName")
+    taken = new_lines.select("soLineItemId", "qty").unionByName(refreshed_lines.select("soLineItemId", "qty")).unionByName(added_lines.select("soLineItemId", "qty"))
     # a refreshed PO line carries the whole order quantity, so the ordered quantity is what is on POs now
     on_po = taken.groupBy(F.col("soLineItemId").alias("_sl")).agg(F.sum("qty").alias("_q"))
     so_lines = t.soLineItem.join(on_po, F.col("soLineItemId") == F.col("_sl")).withColumn("poQty", F.least(F.col("poQty") + F.col("_q"), F.col("odrQty")).cast("int"))
@@ -108,7 +117,7 @@ def convert_to_purchase_orders(t: Tables, requests: DataFrame, as_of) -> Purchas
         .join(so_lines.select(F.col("soLineItemId").alias("_sl"), F.col("poQty").alias("_po")), F.col("soLineItemId") == F.col("_sl"), "left")
     open_left = after.groupBy("soHeaderId").agg(F.sum(F.col("odrQty") - F.coalesce("_po", "poQty")).alias("_open")).where(F.col("_open") == 0).select("soHeaderId")
     so_heads = t.soHeader.join(open_left, "soHeaderId", "left_semi").withColumn("soStatus", F.lit(SO["production"]))
-    return PurchaseOrders(heads, new_lines, refreshed, refreshed_lines, so_lines, so_heads, checked.errors)
+    return PurchaseOrders(heads, new_lines, refreshed, refreshed_lines, so_lines, so_heads, checked.errors, added_lines, relinked)
 
 
 # --- purchase order -> the internal supplier's order -----------------------------------------------------------
@@ -120,12 +129,14 @@ class InternalOrders(NamedTuple):
     po_headers: DataFrame
     po_lines: DataFrame
     errors: DataFrame
+    added_lines: DataFrame
 
 
 def raise_internal_orders(t: Tables, requests: DataFrame, as_of) -> InternalOrders:
     """Approved POs at an internal supplier -> orders of that branch, or an update of the order it has.
 
-    Lines without division stay draft, and then the order does too.  Requests are (requestId, poId).
+    Lines without division stay draft, and then the order does too.  Requests are (requestId, poId).  Lines that a PO
+    gained after its order was raised, and that no order line refers to, are ``added_lines`` of that order, as drafts.
     """
     buyers = t.md_Customer.where(F.col("internal_branchId") != 0).groupBy("companyId", "internal_branchId").agg(F.min("customerId").alias("_buyer"))
     places = t.md_ShipToDestination.groupBy("warehouseId").agg(F.min("shipToId").alias("_shipTo"))
@@ -164,10 +175,14 @@ def raise_internal_orders(t: Tables, requests: DataFrame, as_of) -> InternalOrde
     lines = shaped.where(F.col("_so").isNull()).drop("_so").join(heads.select("poId", "soName"), "poId").drop("poId")
     asked = shaped.where(F.col("_so").isNotNull()).select(F.col("ref_poLineItemId").alias("_ref"), F.col("_so").alias("_h"), F.col("odrQty").alias("_q"))
     updated = t.soLineItem.join(asked, (F.col("ref_poLineItemId") == F.col("_ref")) & (F.col("soHeaderId") == F.col("_h"))).withColumn("odrQty", F.col("_q")).select(*t.soLineItem.columns)
+    known_refs = t.soLineItem.where(F.col("ref_poLineItemId").isNotNull()).select("ref_poLineItemId")
+    added_lines = shaped.where(F.col("_so").isNotNull()).join(known_refs, "ref_poLineItemId", "left_anti") \
+        .select(F.col("_so").alias("soHeaderId"), "ref_poLineItemId", "invID", "customerskuId", "customerSku", "csCost", "currencyCode", "odrQty", "itemReference1",
+                F.lit(SO["draft"]).alias("soLineItemStatus"))
     done = good.select("poId").distinct()
     po_heads = t.poHeader.join(done, "poId", "left_semi").withColumn("poStatus", F.lit(PO["released"]))
     po_lines = t.poLineItem.join(done, "poId", "left_semi").withColumn("itemStatus", F.lit(PO["released"]))
-    return InternalOrders(heads, lines, updated, po_heads, po_lines, checked.errors)
+    return InternalOrders(heads, lines, updated, po_heads, po_lines, checked.errors, added_lines)
 
 
 # --- purchase order -> loading request --------------------------------------------------------------------------
