@@ -78,6 +78,12 @@ register("convert_to_purchase_orders_orders", _part(convert, "so_headers", "soHe
 SELECT s.soHeaderId, 2125 AS soStatus FROM soLineItem s LEFT JOIN sl ON sl.soLineItemId = s.soLineItemId WHERE s.soHeaderId IN (SELECT soHeaderId FROM g)
 GROUP BY s.soHeaderId HAVING sum(s.odrQty - coalesce(sl.poQty, s.poQty)) = 0""")
 
+# the same on the whole poHeader
+_each_po = lambda t: C.convert_to_purchase_orders(t, _each(t.soHeader, "soHeaderId"), AS_OF)
+_WPO = _PO.replace("WHERE poStatus IN (1077, 2143, 1087)", "")
+register("convert_to_purchase_orders_whole_refreshed", _part(_each_po, "refreshed_lines", "podetailsId", "qty", "itemStatus"), _WPO + " SELECT podetailsId, qty, 1079 AS itemStatus FROM rl")
+register("convert_to_purchase_orders_whole_order_lines", _part(_each_po, "so_lines", "soLineItemId", "poQty"), _WPO + " SELECT soLineItemId, poQty FROM sl")
+
 # --- purchase order -> internal supplier's order
 internal = lambda t: C.raise_internal_orders(t, _each(t.poHeader, "poId"), AS_OF)
 _IN_RULES = [("poStatus <> 1085", "poName"), ("coalesce(branch, 0) = 0", "poName"), ("podetailsId IS NULL", "poName"), ("qty > odr", "poName"),
