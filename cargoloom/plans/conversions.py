@@ -387,12 +387,14 @@ class WorkOrders(NamedTuple):
     headers: DataFrame
     lines: DataFrame
     so_lines: DataFrame
+    errors: DataFrame
 
 
 def convert_to_work_orders(t: Tables, as_of, company_id=None, lines: DataFrame | None = None, default_location: str = "L1") -> WorkOrders:
     """Open order lines -> one work order per customer, ship date, port and third party; due seven days before shipping.
 
-    ``lines`` may hold the wanted ``soLineItemId`` values.
+    ``lines`` may hold the wanted ``soLineItemId`` values.  An open line whose location has no warehouse is an error
+    and gets no work order; the others do.
     """
     open_lines = t.soLineItem.where((F.col("odrQty") > F.col("processQty")) & ~F.col("soLineItemStatus").isin(SO["cancelled"], SO["closed"], SO["draft"])) \
         .select("soLineItemId", "soHeaderId", F.col("invID").alias("invId"), (F.col("odrQty") - F.col("processQty")).alias("woQty"))
@@ -401,16 +403,18 @@ def convert_to_work_orders(t: Tables, as_of, company_id=None, lines: DataFrame |
     orders = keep_if(t.soHeader, "companyId", company_id).where(~F.col("soStatus").isin(SO["cancelled"], SO["closed"], SO["draft"]))
     places = t.md_Warehouse.groupBy("locNo").agg(F.min("warehouseId").alias("warehouseId"))
     orders = orders.withColumn("_loc", F.when(blank("locNo"), default_location).otherwise(F.col("locNo")))
-    orders = lookup(orders, places, {"_loc": "locNo"}, "inner", warehouseId="warehouseId")
+    orders = lookup(orders, places, {"_loc": "locNo"}, warehouseId="warehouseId")
     group = ["companyId", "customerId", "earlyShipDate", "portOfDestination", "thirdParty"]
-    rows = open_lines.join(orders.select("soHeaderId", "soName", "warehouseId", *group), "soHeaderId")
+    rows = open_lines.join(orders.select("soHeaderId", "soName", "warehouseId", "_loc", *group), "soHeaderId")
+    checked = validate(rows, [Rule("Location {} has no warehouse", F.col("warehouseId").isNull(), F.col("_loc"))], "soLineItemId", ["soHeaderId"], strict=False)
+    rows = checked.accepted.drop("_loc")
     heads = rows.groupBy(*group).agg(F.min("warehouseId").alias("warehouseId"))
     heads = allocate_numbers(heads, t.md_SequenceNumber, "WO", "companyId", ["customerId", "earlyShipDate", "portOfDestination", "thirdParty"], as_of, "workOrderName")
     made = rows.drop("warehouseId").join(heads.select(*group, "workOrderName"), group)
     heads = heads.withColumns({"workOrderDate": F.lit(as_of).cast("date"), "targetCompleteDate": F.date_sub("earlyShipDate", 7), "workOrderStatus": F.lit(WO["open"])}) \
         .withColumnRenamed("earlyShipDate", "shipDate")
     wo_lines = made.select("workOrderName", "soHeaderId", "soName", "soLineItemId", "invId", F.col("woQty").alias("qty"), F.col("woQty").alias("confirmQty"), F.lit(WO["open"]).alias("workOrderItemStatus"))
-    return WorkOrders(heads, wo_lines, add_qty(t.soLineItem, wo_lines, "soLineItemId", "processQty", "qty"))
+    return WorkOrders(heads, wo_lines, add_qty(t.soLineItem, wo_lines, "soLineItemId", "processQty", "qty"), checked.errors)
 
 
 # --- procurement ------------------------------------------------------------------------------------------------
