@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .bpe import decode, encode
 from .classifier import classify, fit
 from .common import table
 from .dac import read_documents, write_dac
+from .decontaminate import contamination
 from .license_scan import license_scan
 from .line_dedup import repeated_lines
 from .minhash import near_duplicates
@@ -65,8 +67,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_line_dedup, op4_minhash_near_dedup, op5_license_scans, op6_quality_rules, op7_warc, op8_winnowing, op9_byte_bpe, op10_quality_classifier)
+    f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_line_dedup, op4_minhash_near_dedup, op5_license_scans, op6_quality_rules, op7_warc, op8_winnowing, op9_byte_bpe, op10_quality_classifier,
+                           op12_decontamination)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_decontamination": oracles.DECONTAMINATION}
