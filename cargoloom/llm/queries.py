@@ -17,6 +17,7 @@ from .license_scan import license_scan
 from .line_dedup import repeated_lines
 from .minhash import near_duplicates
 from .packing import best_fit_packing
+from .prefix_trie import prefix_trie, rebuilt
 from .quality_rules import quality_rules
 from .warc import read_warc, write_warc
 from .winnow import edited_likeness
@@ -71,9 +72,13 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations"))).drop("node", "parent")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_line_dedup, op4_minhash_near_dedup, op5_license_scans, op6_quality_rules, op7_warc, op8_winnowing, op9_byte_bpe, op10_quality_classifier,
-                           op12_decontamination)
+                           op12_decontamination, op13_prefix_trie)
 }
 
-ORACLES: dict[str, str] = {"op12_decontamination": oracles.DECONTAMINATION}
+ORACLES: dict[str, str] = {"op12_decontamination": oracles.DECONTAMINATION, "op13_prefix_trie": oracles.PREFIX_TRIE}
