@@ -52,7 +52,7 @@ def validate(df: DataFrame, rules: list[Rule], row_id: str, scope: list[str], st
     errors = flagged.select(*scope, row_id, F.explode("_failures").alias("_f")) \
         .select(*scope, row_id, "_f.ruleNo", "_f.rule", "_f.key")
     clean = flagged.where(F.size("_failures") == 0).drop("_failures")
-    if strict:
+    if strict and scope != [row_id]:  # a row that is a scope of its own has nobody to fail for
         bad = flagged.where(F.size("_failures") > 0).select(*scope).distinct()
         clean = clean.join(bad, scope, "left_anti")
     return Checked(clean, errors)
@@ -130,6 +130,13 @@ def flag_groups(df: DataFrame, checks: list[tuple[list[str], dict[str, Column]]]
     return out
 
 
+def flag_rows(df: DataFrame, keys: DataFrame, on: list[str], out: str) -> DataFrame:
+    """Mark the rows whose key is listed."""
+    listed = keys.select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(on)]).distinct().withColumn(out, F.lit(True))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(on)])
+    return df.join(listed, same, "left").withColumn(out, F.coalesce(out, F.lit(False))).drop(*[f"_f{i}" for i in range(len(on))])
+
+
 def in_file_duplicates(df: DataFrame, columns: list[str], out: str) -> DataFrame:
     """Mark rows whose key occurs more than once."""
     return flag_groups(df, [(columns, {out: repeats()})])

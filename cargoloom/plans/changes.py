@@ -12,7 +12,7 @@ from ..functions.numbering import allocate_codes
 from ..functions.text import blank, number_or_null, text_key
 from ..operators.changes import ADD, DELETE, UPDATE, Applied, ChangeSpec, action_is, apply_changes
 from ..operators.lookup import lookup
-from ..operators.ordering import running_max
+from ..operators.ordering import Falling, running_max
 from ..operators.validate import Rule, differs, flag_groups, validate
 from ..sources.tables import Tables
 from .conversions import _with_totals, add_qty
@@ -62,7 +62,7 @@ def change_currency_rates(t: Tables, changes: DataFrame) -> Rates:
     asked = changes.select(*pair, F.col("startDate").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("int").alias("_id"), F.struct(*columns).alias("_change"))
     known = t.md_CurrencyRate.select(*pair, F.col("endDate").alias("_at"), F.lit(0).alias("_side"), F.col("rateId").cast("int").alias("_id"),
                                      F.lit(None).cast(asked.schema["_change"].dataType).alias("_change"))
-    laid = running_max(known.unionByName(asked), [F.col("_at").desc(), F.col("_side"), F.col("_id"), F.col("_change.changeId")], pair, rateId=F.col("_id"))
+    laid = running_max(known.unionByName(asked), [Falling("_at"), "_side", "_id", F.col("_change.changeId")], pair, rateId=F.col("_id"))
     newest = laid.where(F.col("_side") == 1).select("_change.*", "rateId")
     added = newest.where(F.col("rateId").isNull()).drop("rateId").withColumn("status", F.lit(1))
     last = newest.where(F.col("rateId").isNotNull()).groupBy(F.col("rateId").alias("_id")).agg(
@@ -146,7 +146,8 @@ def change_sub_categories(t: Tables, changes: DataFrame) -> Categories:
     added = lookup(lookup(done.added, t.md_Company, {"companyId": "companyId"}, _marketing="isMarketing"),
                    t.md_InventoryCategory.where(F.col("prodCategoryParentID") == 1), {"prodCategoryParentID": "prodCategoryId"}, _prefix="prodCategoryCode")
     needs = (F.col("_marketing") == 0) & blank("prodCategoryCode")
-    free = allocate_codes(added.where(needs), t.md_InventoryCategory, "prodCategoryCode", "_prefix", ["changeId"], 3)
+    used = t.md_InventoryCategory.select("prodCategoryCode").unionByName(added.where(~blank("prodCategoryCode")).select("prodCategoryCode"))
+    free = allocate_codes(added.where(needs), used, "prodCategoryCode", "_prefix", ["changeId"], 3)
     free = free.withColumn("prodCategoryCode", F.col("newCode")).drop("newCode")
     flags = done.changed.where(F.col("status") == 1).select(F.col("prodCategoryId").alias("productSubCategory"), F.col("isBuffer").alias("_buffer")).distinct()
     items = t.md_Inventory.join(flags, "productSubCategory").where(F.col("isBuffer") != F.col("_buffer")).withColumn("isBuffer", F.col("_buffer")).select(*t.md_Inventory.columns)
@@ -189,7 +190,8 @@ def change_products(t: Tables, changes: DataFrame) -> Applied:
         Rule("Gross weight {} is not a number", edit & F.col("grossWeight").isNull(), F.col("_grossText")), Rule("Net weight {} is not a number", edit & F.col("netWeight").isNull(), F.col("_netText"))])
     added = lookup(done.added, categories, {"productSubCategory": "prodCategoryId"}, _prefix="prodCategoryCode")
     blank_code = added.where(blank("itemCode"))
-    coded = allocate_codes(blank_code, t.md_Inventory, "itemCode", "_prefix", ["changeId"], 4).withColumn("itemCode", F.col("newCode")).drop("newCode")
+    used = t.md_Inventory.select("itemCode").unionByName(added.where(~blank("itemCode")).select("itemCode"))
+    coded = allocate_codes(blank_code, used, "itemCode", "_prefix", ["changeId"], 4).withColumn("itemCode", F.col("newCode")).drop("newCode")
     added = added.where(~blank("itemCode")).unionByName(coded).drop("_prefix")
     named = lookup(added, t.md_inventoryType, {"productType": "inventoryTypeId"}, _template="namingConvention", _tname="inventoryType")
     named = named.withColumn("productName", F.when(blank("_template"), F.col("productName")).otherwise(
@@ -280,15 +282,21 @@ class LinesEdited(NamedTuple):
 
 
 def _priced_lines(t: Tables, lines: DataFrame) -> DataFrame:
-    """Requested lines with the facts of their customer SKU; lines without an active SKU of the order's customer drop out."""
-    rows = lines.join(t.soHeader.select("soHeaderId", "companyId", "customerId", F.col("soStatus").alias("_orderStatus")), "soHeaderId")
+    """Requested lines with the facts of their order and customer SKU, NULL where there is none (``_unpriced``)."""
+    rows = lookup(lines, t.soHeader, {"soHeaderId": "soHeaderId"}, companyId="companyId", customerId="customerId", _orderStatus="soStatus")
     skus = t.md_CustomerSku.where(F.col("statusflag") == 1)
-    rows = lookup(rows, skus, {"customerskuId": "customerskuId", "companyId": "companyId", "customerId": "customerId"}, "inner", invID="invID", customerSku="customerSku", merchantSku="merchantSKU",
+    rows = lookup(rows, skus, {"customerskuId": "customerskuId", "companyId": "companyId", "customerId": "customerId"}, invID="invID", customerSku="customerSku", merchantSku="merchantSKU",
                   EAN="EAN", _skuCost="csCost", _cur="currencyCode", soItemDesc="itemDesc")
-    rows = lookup(rows, t.md_MasterCategory, {"_cur": "categoryId"}, "inner", currencyCode="categoryName")
+    rows = lookup(rows, t.md_MasterCategory, {"_cur": "categoryId"}, currencyCode="categoryName")
     return rows.withColumn("isItemPriceChanged", F.when(F.col("csCost") != F.col("_skuCost"), 1).otherwise(0))
 
 
+def _unpriced() -> list[Rule]:
+    order, sku = F.col("_orderStatus").isNull(), F.col("invID").isNull()
+    return [Rule("Order {} does not exist", order, F.col("soHeaderId")), Rule("Customer SKU {} is not set up", ~order & sku, F.col("customerskuId")),
+            Rule("Customer SKU {} has no currency", ~sku & F.col("currencyCode").isNull(), F.col("customerSku"))]
+
+
 _LINE = ["soHeaderId", "invID", "customerSku", "merchantSku", "EAN", "currencyCode", "csCost", "odrQty", "soItemDesc", "itemNote", "tagDivision"]
 
 
@@ -299,7 +307,7 @@ def add_sales_order_lines(t: Tables, lines: DataFrame, as_of) -> LinesEdited:
         F.max(F.when(F.col("soLineItemStatus") != SO["cancelled"], 1).otherwise(0)).alias("_live"), F.min("soLineItemId").alias("_line"))
     rows = rows.join(own, (F.col("soHeaderId") == F.col("_h")) & (F.col("customerSku") == F.col("_s")), "left").drop("_h", "_s")
     rows = flag_groups(rows, [(["soHeaderId"], {"_currencies": differs("currencyCode")})])
-    checked = validate(rows, [Rule("SKU {} is on the order already", F.col("_live") == 1, F.col("customerSku")), Rule("An order has one currency", F.col("_currencies"))], "changeId", ["soHeaderId"])
+    checked = validate(rows, [Rule("SKU {} is on the order already", F.col("_live") == 1, F.col("customerSku")), Rule("An order has one currency", F.col("_currencies")), *_unpriced()], "changeId", ["soHeaderId"])
     good = checked.accepted
     added = good.where(F.col("_line").isNull()).select("changeId", *_LINE).withColumns({"poQty": F.lit(0), "shpQty": F.lit(0), "soLineItemStatus": F.lit(SO["draft"])})
     news = ["csCost", "odrQty", "merchantSku", "EAN", "itemNote", "tagDivision"]
@@ -322,7 +330,7 @@ def replace_sales_order_lines(t: Tables, lines: DataFrame, as_of) -> LinesEdited
     on_order = t.soLineItem.select(F.col("soHeaderId").alias("_h"), F.col("customerSku").alias("_s")).distinct().withColumn("_on", F.lit(True))
     rows = rows.join(on_order, (F.col("soHeaderId") == F.col("_h")) & (F.col("customerSku") == F.col("_s")), "left").drop("_h", "_s")
     rows = flag_groups(rows, [(["soHeaderId"], {"_currencies": differs("currencyCode")})])
-    checked = validate(rows, [Rule("SKU {} is on the order already", F.col("soLineItemId").isNull() & F.col("_on"), F.col("customerSku")), Rule("An order has one currency", F.col("_currencies"))],
+    checked = validate(rows, [Rule("SKU {} is on the order already", F.col("soLineItemId").isNull() & F.col("_on"), F.col("customerSku")), Rule("An order has one currency", F.col("_currencies")), *_unpriced()],
                        "changeId", ["soHeaderId"])
     good = checked.accepted
     added = good.where(F.col("soLineItemId").isNull()).select("changeId", *_LINE).withColumns({"poQty": F.lit(0), "shpQty": F.lit(0), "soLineItemStatus": F.lit(SO["draft"])})

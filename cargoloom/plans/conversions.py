@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from ..functions.numbering import allocate_numbers
 from ..functions.payload import parse_payload
 from ..functions.text import blank
+from ..operators.admission import unserved
 from ..operators.history import audit_feed
 from ..operators.ledger import BALANCE_KEY, ledger_apply, release
 from ..operators.lookup import config_value, keep_if, lookup, rate_at
-from ..operators.ordering import running_totals
-from ..operators.validate import Rule, differs, exceeds, flag_groups, validate
+from ..operators.validate import Rule, differs, exceeds, flag_groups, flag_rows, validate
 from ..sources.tables import Tables
 from .loads import ReceiptDocuments, receive
 from .transitions import LR, PO, SO, UNTAGGED, WO
@@ -275,9 +275,8 @@ class Shipments(NamedTuple):
 def ship_loading_requests(t: Tables, requests: DataFrame, as_of) -> Shipments:
     """Released containers -> one bill of lading per container and one shipment per order in it.
 
-    A request passes when its demand, together with that of the requests before
-    it in the batch, fits the stock of the company's main warehouse, so a batch
-    never takes stock twice.
+    A request passes when its demand fits what the accepted requests before
+    it in the batch have left of the stock of the company's main warehouse; a rejected one holds nothing.
     """
     heads = requests.join(t.lrHeader.select("lrHeaderId", "companyId", "lrName"), "lrHeaderId")
     heads = lookup(heads, main_warehouse(t), {"companyId": "companyId"}, warehouseId="warehouseId")
@@ -286,11 +285,8 @@ def ship_loading_requests(t: Tables, requests: DataFrame, as_of) -> Shipments:
     lines = t.lrLineItem.where((F.col("qty") > F.col("processQty")) & (F.col("itemStatus") == LR["released"])) \
         .select("lrDetailsId", "lrContainerId", "soHeaderId", "soLineItemId", F.col("invID").alias("invId"), "supplierSku", (F.col("qty") - F.col("processQty")).alias("shipQty"), "itemNote")
     rows = lines.join(boxes, "lrContainerId").join(heads, "lrHeaderId")
-    demand = rows.groupBy("lrHeaderId", "companyId", "warehouseId", "invId").agg(F.sum("shipQty").alias("_need"))
-    demand = running_totals(demand, ["lrHeaderId"], ["companyId", "warehouseId", "invId"], _upto=F.col("_need"))
-    demand = lookup(demand, t.inventoryBalanceWH, {c: c for c in BALANCE_KEY}, _stock="balanceQty")
-    short = demand.where(F.col("_upto") > F.coalesce("_stock", F.lit(0))).select("lrHeaderId", "invId", F.lit(True).alias("_short"))
-    rows = rows.join(short, ["lrHeaderId", "invId"], "left")
+    demand = lookup(rows.select("requestId", "lrHeaderId", *BALANCE_KEY, "shipQty"), t.inventoryBalanceWH, {c: c for c in BALANCE_KEY}, _stock="balanceQty")
+    rows = flag_rows(rows, unserved(demand, "requestId", "lrHeaderId", BALANCE_KEY, "shipQty", "_stock"), ["requestId", *BALANCE_KEY], "_short")
     checked = validate(rows, [Rule("{} has not enough stock", F.col("_short"), F.col("supplierSku"))], "lrDetailsId", ["requestId"])
     good = checked.accepted.drop("_short")
 
@@ -359,11 +355,9 @@ def ship_order_processes(t: Tables, requests: DataFrame, as_of) -> ProcessShipme
     lines = t.orderProcessLineItem.select("opLineItemId", "opId", "soLineItemId", "invId", "confirmQty", "lineStatus")
     rows = heads.join(lines, "opId")
     stock = t.inventoryBalanceWH.groupBy("companyId", "invId").agg(F.sum(F.col("balanceQty") - F.col("lockQty")).alias("_free"))
-    need = rows.groupBy("opId", "companyId", "invId").agg(F.sum("confirmQty").alias("_need"))
-    need = running_totals(need, ["opId"], ["companyId", "invId"], _upto=F.col("_need"))
-    need = lookup(need, stock, {"companyId": "companyId", "invId": "invId"}, _free="_free")
-    short = need.where(F.col("_upto") > F.coalesce("_free", F.lit(0))).select("opId", "invId", F.lit(True).alias("_short"))
-    rows = rows.join(short, ["opId", "invId"], "left")
+    need = lookup(rows.select("requestId", "opId", "companyId", "invId", "confirmQty"), stock, {"companyId": "companyId", "invId": "invId"}, _free="_free")
+    barred = rows.where(~F.col("opStatus").eqNullSafe(1091)).select("requestId")
+    rows = flag_rows(rows, unserved(need, "requestId", "opId", ["companyId", "invId"], "confirmQty", "_free", barred), ["requestId", "companyId", "invId"], "_short")
     rows = lookup(rows, t.soLineItem, {"soLineItemId": "soLineItemId"}, customerSku="customerSku", merchantSku="merchantSku")
     checked = validate(rows, [Rule("{} is shipped already", F.col("opStatus") == 1090, F.col("opName")), Rule("{} is not confirmed", F.col("opStatus") != 1091, F.col("opName")),
                               Rule("{} has not enough stock", F.col("_short"), F.col("customerSku"))], "opLineItemId", ["requestId"])
@@ -505,14 +499,17 @@ class Locked(NamedTuple):
 def lock_stock(t: Tables, requests: DataFrame) -> Locked:
     """Reserve stock for demand rows (requestId, procurementProcessId, warehouseId, newLockQty).
 
-    The stated quantity replaces the locked one.  Every row must fit the free
-    stock, counting the rows before it; demand locked in full is done.
+    The stated quantity replaces the locked one.  A request's rows must fit the free
+    stock that the accepted requests before it have left; demand locked in full is done.
     """
     rows = requests.join(t.procurementProcess.select("procurementProcessId", "companyId", "soLineItemId", F.col("rawBomInvId").alias("invId"), "lockQty", "rawBomTotalQty"), "procurementProcessId")
     rows = rows.withColumn("_delta", F.col("newLockQty") - F.col("lockQty"))
-    rows = running_totals(rows, ["procurementProcessId"], BALANCE_KEY, _upto=F.col("_delta").cast("long"))
     rows = lookup(rows, t.inventoryBalanceWH, {c: c for c in BALANCE_KEY}, _free=F.col("balanceQty") - F.col("lockQty"))
-    checked = validate(rows, [Rule("Warehouse {} has not enough free stock", F.col("_free").isNull() | (F.col("_upto") > F.col("_free")), F.col("warehouseId"))], "procurementProcessId", ["requestId"])
+    known = rows.where(F.col("_free").isNotNull())
+    barred = rows.where(F.col("_free").isNull()).select("requestId")
+    short = unserved(known, "requestId", "procurementProcessId", BALANCE_KEY, "_delta", "_free", barred)
+    rows = flag_rows(rows, short, ["requestId", *BALANCE_KEY], "_short")
+    checked = validate(rows, [Rule("Warehouse {} has not enough free stock", F.col("_free").isNull() | F.col("_short"), F.col("warehouseId"))], "procurementProcessId", ["requestId"])
     good = checked.accepted
     locks = good.select("procurementProcessId", "companyId", "soLineItemId", "warehouseId", "invId", F.col("_delta").alias("lockQty"))
     none = good.select(*BALANCE_KEY, F.lit(0).alias("qty"))

@@ -21,6 +21,10 @@ from ..operators.validate import Checked, Rule, differs, exceeds, flag_groups, i
 from ..sources.tables import Tables
 
 
+#: Characters of a piece that PO texts are looked up by.
+GRAM = 4
+
+
 def _staged(df: DataFrame, file_column: str, file: str | None, company_id=None) -> DataFrame:
     return keep_if(keep_if(df, file_column, file), "companyId", company_id)
 
@@ -34,22 +38,33 @@ def unknown(label: str, id_column: str, key: str, when: Column | None = None) ->
     return Rule(f"{label} {{}} is not set up", failed if when is None else failed & when, F.col(key))
 
 
+def _grams(text: str, size: Column) -> Column:
+    """The distinct pieces of ``size`` characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
+
+
 def orders_holding(staged: DataFrame, orders: DataFrame) -> DataFrame:
     """(company, customer, PO text) triples whose PO text occurs inside the PO text of an existing order.
 
-    Instead of comparing every staged PO with every order of its customer, each
-    order's PO text is cut into its substrings of the staged lengths, and the two
-    sides meet in an equi join.  Work grows with the number of orders and is the
-    same for a customer with very many orders.
+    Only orders of staged customers are looked at.  Their texts are laid out by pieces of GRAM characters (shorter staged texts by their
+    length), as far as staged texts have these pieces.  A staged text whose pieces don't all occur is on no order; of the
+    others the rarest piece picks the orders that may hold it.  Only those are cut into pieces of the staged lengths, and both sides
+    meet in an equi join, so a customer with very many orders makes no pairs.
     """
-    asked = staged.where(~blank("customerPO")).select("companyId", "customerId", F.lower(F.trim("customerPO")).alias("_po")).distinct()
-    lengths = asked.select(F.array_sort(F.collect_set(F.length("_po"))).alias("l")).scalar()
-    text = F.lower(F.trim("customerPO"))
-    known = orders.select("companyId", "customerId", text.alias("_text")).where(F.length("_text") > 0).distinct().withColumn("_lengths", lengths)
-    pieces = F.flatten(F.transform(F.filter("_lengths", lambda n: n <= F.length("_text")),
-                                   lambda n: F.transform(F.sequence(F.lit(1), F.length("_text") - n + 1), lambda i: F.substring("_text", i, n))))
-    grams = known.select("companyId", "customerId", F.explode(F.array_distinct(pieces)).alias("_po"))
-    return grams.join(asked, ["companyId", "customerId", "_po"], "left_semi").distinct()
+    by = ["companyId", "customerId"]
+    asked = staged.where(~blank("customerPO")).select(*by, F.lower(F.trim("customerPO")).alias("_po")).distinct()
+    size = F.least(F.length("_po"), F.lit(GRAM))
+    wanted = asked.select(*by, "_po", F.explode(_grams("_po", size)).alias("_gram"))
+    sizes = wanted.groupBy(*by).agg(F.collect_set(F.length("_gram")).alias("_sizes"), F.collect_set(F.length("_po")).alias("_lengths"))  # at most GRAM sizes
+    texts = orders.select(*by, F.lower(F.trim("customerPO")).alias("_text")).where(F.length("_text") > 0).distinct().join(sizes, by)
+    pieces = F.flatten(F.transform(F.filter("_sizes", lambda n: n <= F.length("_text")), lambda n: _grams("_text", n)))
+    postings = texts.select(*by, "_text", "_lengths", F.explode(pieces).alias("_gram")).join(wanted.select(*by, "_gram").distinct(), [*by, "_gram"], "left_semi")
+    found = postings.groupBy(*by, "_gram").agg(F.count(F.lit(1)).alias("_times"))
+    rarest = wanted.join(found, [*by, "_gram"], "left").groupBy(*by, "_po").agg(F.min_by("_gram", F.struct("_times", "_gram")).alias("_gram"), F.bool_and(F.col("_times").isNotNull()).alias("_all"))
+    likely = rarest.where("_all")
+    candidates = postings.join(likely.select(*by, "_gram").distinct(), [*by, "_gram"], "left_semi").select(*by, "_text", "_lengths").distinct()
+    cut = F.flatten(F.transform(F.filter("_lengths", lambda n: n <= F.length("_text")), lambda n: _grams("_text", n)))
+    return candidates.select(*by, F.explode(F.array_distinct(cut)).alias("_po")).join(likely.select(*by, "_po"), [*by, "_po"], "left_semi").distinct()
 
 
 # --- sales orders ---------------------------------------------------------------------------------------------
@@ -446,7 +461,8 @@ def check_product_file(t: Tables, file: str | None = None, company_id=None, stri
     checked = validate(rows, rules, "logId", ["fileName"], strict)
     accepted = checked.accepted.withColumn("itemDesc", F.when(blank("description"), F.col("productName")).otherwise(F.upper("description")))
     blank_code = accepted.where(blank("itemCode"))
-    given = allocate_codes(blank_code, t.md_Inventory, "itemCode", "_subCode", ["logId"], 4)
+    used = t.md_Inventory.select("itemCode").unionByName(accepted.where(~blank("itemCode")).select("itemCode"))
+    given = allocate_codes(blank_code, used, "itemCode", "_subCode", ["logId"], 4)
     given = given.withColumn("itemCode", F.col("newCode")).drop("newCode")
     return Checked(_typed_items(accepted.where(~blank("itemCode")).unionByName(given)), checked.errors)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.permission import may_add
 from ..operators.lookup import code_name, keep_if, lookup
-from ..operators.ordering import ordinal
+from ..operators.ordering import Falling, ordinal
 from ..sources.tables import Tables
 
 
@@ -402,6 +402,6 @@ def change_log(t: Tables, user_id, company_id=None, module=None, ids: DataFrame
     mine = t.notificationRecipient.where((F.col("userID") == user_id) & (F.col("isRead").cast("int") == 0)).select("notificationID").distinct()
     rows = only(keep_if(keep_if(t.actionNotification, "corporateId", company_id), "sourceModule", module), ids)
     rows = rows.join(mine, F.col("actionNotificationID") == F.col("notificationID"), "left_semi")
-    rows = ordinal(rows, [F.col("createDate").desc(), F.col("actionNotificationID")], within=["sourceModule", "sourceRecordId"])
+    rows = ordinal(rows, [Falling("createDate"), "actionNotificationID"], within=["sourceModule", "sourceRecordId"])
     return rows.select("rowNo", "actionNotificationID", "sourceModule", "sourceRecordId", "eventType", "comment",
                        F.date_format("createDate", "yyyy-MM-dd hh:mma").alias("createDate"))

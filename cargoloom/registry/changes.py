@@ -248,8 +248,11 @@ _ADD = _LINES.format(line="CAST(NULL AS VARCHAR(40))", where="")
 _LID = "min(concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey))"
 _FULL = _LINES.format(line=f"CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE {_LID} END", where="WHERE l_linenumber < 5")
 _PRICED = """p AS (SELECT c.*, h.soStatus, k.invID, k.customerSku, k.merchantSKU, k.EAN, CASE WHEN c.csCost <> k.csCost THEN 1 ELSE 0 END AS isItemPriceChanged, m.categoryName AS currencyCode, k.itemDesc AS soItemDesc
-    FROM c JOIN soHeader h ON h.soHeaderId = c.soHeaderId JOIN md_CustomerSku k ON k.statusflag = 1 AND k.customerskuId = c.customerskuId AND k.companyId = h.companyId AND k.customerId = h.customerId
-    JOIN md_MasterCategory m ON m.categoryId = k.currencyCode)"""
+    FROM c LEFT JOIN soHeader h ON h.soHeaderId = c.soHeaderId LEFT JOIN md_CustomerSku k ON k.statusflag = 1 AND k.customerskuId = c.customerskuId AND k.companyId = h.companyId AND k.customerId = h.customerId
+    LEFT JOIN md_MasterCategory m ON m.categoryId = k.currencyCode)"""
+_UNPRICED = [("soStatus IS NULL", "soHeaderId"), ("soStatus IS NOT NULL AND invID IS NULL", "customerskuId"), ("invID IS NOT NULL AND currencyCode IS NULL", "customerSku")]
+_UNPRICED_ANY = " OR ".join(f"({c})" for c, _ in _UNPRICED)
+_UNPRICED_ERR = "".join(f" UNION ALL SELECT soHeaderId, changeId, {n} AS ruleNo, CAST({k} AS VARCHAR) FROM r WHERE {c}" for n, (c, k) in enumerate(_UNPRICED, 3))
 
 
 def _own_sku(t):
@@ -264,8 +267,8 @@ add = lambda t: M.add_sales_order_lines(_own_sku(t), t.sql(_ADD), AS_OF)
 _AD = f"""WITH c AS ({_ADD}), {_PRICED}, {_SL},
 o AS (SELECT soHeaderId, customerSku, bool_or(soLineItemStatus <> 1107) AS live, min(soLineItemId) AS line FROM sl GROUP BY ALL),
 r AS (SELECT p.*, coalesce(o.live, false) AS live, o.line FROM p LEFT JOIN o ON o.soHeaderId = p.soHeaderId AND o.customerSku = p.customerSku),
-g AS (SELECT * FROM r WHERE soHeaderId NOT IN (SELECT soHeaderId FROM r WHERE live))"""
-register("add_sales_order_lines_errors", lambda t: add(t).errors.drop("rule"), _AD + """ SELECT soHeaderId, changeId, 1 AS ruleNo, customerSku AS "key" FROM r WHERE live""")
+g AS (SELECT * FROM r WHERE soHeaderId NOT IN (SELECT soHeaderId FROM r WHERE live OR {_UNPRICED_ANY}))"""
+register("add_sales_order_lines_errors", lambda t: add(t).errors.drop("rule"), _AD + """ SELECT soHeaderId, changeId, 1 AS ruleNo, customerSku AS "key" FROM r WHERE live""" + _UNPRICED_ERR)
 register("add_sales_order_lines_added", lambda t: add(t).added.select("changeId", "soHeaderId", "invID", "customerSku", "currencyCode", "csCost", "odrQty", "soLineItemStatus"), _AD + """
 SELECT changeId, soHeaderId, invID, customerSku, currencyCode, csCost, odrQty, 1105 AS soLineItemStatus FROM g WHERE line IS NULL""")
 register("add_sales_order_lines_revived", lambda t: add(t).changed.select("soLineItemId", "odrQty", "itemNote", "soLineItemStatus"), _AD + """
@@ -275,8 +278,9 @@ register("add_sales_order_lines_headers", lambda t: add(t).headers.select("soHea
 full = lambda t: M.replace_sales_order_lines(t, t.sql(_FULL), AS_OF)
 _FU = f"""WITH c AS ({_FULL}), {_PRICED},
 r AS (SELECT p.*, p.soLineItemId IS NULL AND EXISTS (SELECT 1 FROM soLineItem s WHERE s.soHeaderId = p.soHeaderId AND s.customerSku = p.customerSku) AS dup FROM p),
-g AS (SELECT * FROM r WHERE soHeaderId NOT IN (SELECT soHeaderId FROM r WHERE dup)), od AS (SELECT DISTINCT soHeaderId, soStatus FROM g),
+g AS (SELECT * FROM r WHERE soHeaderId NOT IN (SELECT soHeaderId FROM r WHERE dup OR {_UNPRICED_ANY})), od AS (SELECT DISTINCT soHeaderId, soStatus FROM g),
 w AS (SELECT s.*, od.soStatus, g.soLineItemId AS hit, g.odrQty AS nq, g.tagDivision AS nt FROM soLineItem s JOIN od ON od.soHeaderId = s.soHeaderId LEFT JOIN g ON g.soLineItemId = s.soLineItemId)"""
+register("replace_sales_order_lines_errors", lambda t: full(t).errors.drop("rule"), _FU + """ SELECT soHeaderId, changeId, 1 AS ruleNo, customerSku AS "key" FROM r WHERE dup""" + _UNPRICED_ERR)
 register("replace_sales_order_lines_added", lambda t: full(t).added.select("changeId", "soHeaderId", "customerSku", "odrQty", "soLineItemStatus"), _FU + """
 SELECT changeId, soHeaderId, customerSku, odrQty, 1105 AS soLineItemStatus FROM g WHERE soLineItemId IS NULL""")
 register("replace_sales_order_lines_changed", lambda t: full(t).changed.select("soLineItemId", "odrQty", "soLineItemStatus"), _FU + """

@@ -39,12 +39,8 @@ _BALANCES = """SELECT coalesce(b.warehouseId, d.warehouseId) AS warehouseId, coa
 FROM inventoryBalanceWH b FULL JOIN d ON d.warehouseId = b.warehouseId AND d.companyId = b.companyId AND d.invId = b.invId"""
 _HOME = "CASE {c} WHEN 2 THEN 'MYR' ELSE 'SGD' END"
 
-# --- order -> purchase order; orders whose PO has not been released count as having none
-def _with_released_pos(t):
-    return t.replace(poHeader=t.poHeader.where(F.col("poStatus").isin(1077, 2143, 1087)))
-
-
-convert = lambda t: C.convert_to_purchase_orders(_with_released_pos(t), _each(t.soHeader, "soHeaderId"), AS_OF)
+# --- order -> purchase order; some orders have none, and some have gained lines since theirs was made
+convert = lambda t: C.convert_to_purchase_orders(t, _each(t.soHeader, "soHeaderId"), AS_OF)
 _PO_RULES = [("soStatus <> 6237", "soName"), ("soLineItemId IS NULL", "soName"), ("soLineItemId IS NOT NULL AND supplierSku IS NULL", "sku"), ("rate IS NULL", "soName")]
 _PO = f"""WITH r AS (SELECT h.*, l.soLineItemId, l.invID, l.odrQty - l.poQty AS openQty, l.merchantSku AS mk, l.customerSku AS ck, l.EAN, k.supplierskuId, k.supplierSku, k.supCost,
         m.categoryName AS currencyCode, i.itemCode, i.inventorySKU AS sku, CASE WHEN coalesce(k.itemDesc, '') = '' THEN i.itemDesc ELSE k.itemDesc END AS dsc, {_HOME.format(c='h.companyId')} AS home,
@@ -53,8 +49,7 @@ _PO = f"""WITH r AS (SELECT h.*, l.soLineItemId, l.invID, l.odrQty - l.poQty AS
     FROM soHeader h LEFT JOIN soLineItem l ON l.soHeaderId = h.soHeaderId AND l.odrQty > l.poQty AND l.soLineItemStatus = 6237
     LEFT JOIN md_SupplierSku k ON k.statusflag = 1 AND k.companyId = h.companyId AND k.supplierId = h.supplierId AND k.invId = l.invID
     LEFT JOIN md_MasterCategory m ON m.categoryId = k.currencyCode LEFT JOIN md_Inventory i ON i.invID = l.invID),
-p AS (SELECT * FROM poHeader WHERE poStatus IN (1077, 2143, 1087)),
-g AS (SELECT r.*, (SELECT min(poId) FROM p WHERE p.poReferenceId = r.soName) AS pid FROM r WHERE soHeaderId NOT IN (SELECT soHeaderId FROM r WHERE {_bad(_PO_RULES)})),
+g AS (SELECT r.*, (SELECT min(poId) FROM poHeader p WHERE p.poReferenceId = r.soName) AS pid FROM r WHERE soHeaderId NOT IN (SELECT soHeaderId FROM r WHERE {_bad(_PO_RULES)})),
 w AS (SELECT companyId, min(warehouseId) AS warehouseId FROM md_Warehouse GROUP BY 1),
 hd AS (SELECT soHeaderId, companyId, supplierId, soName, shipToId, portOfLanding, portOfDestination, earlyShipDate, lateShipDate, home, rate, customerPO, thirdPartyPO,
               CAST(sum(openQty * supCost) AS BIGINT) AS net, CAST(sum(openQty) AS BIGINT) AS qty, row_number() OVER (PARTITION BY companyId ORDER BY soHeaderId) AS n
@@ -63,8 +58,11 @@ hn AS (SELECT hd.*, {_no('PO')} AS poName FROM hd JOIN md_SequenceNumber z ON z.
 nl AS (SELECT hn.poName, g.soLineItemId, g.invID, g.itemCode, g.supplierskuId, g.supplierSku, g.currencyCode, g.EAN, g.ck AS merchantSku, g.supCost AS unitPrice, g.supCost * g.rate AS homeCurrencyCost,
               g.dsc AS poItemDesc, g.mk AS itemReference1, g.openQty AS qty, 1079 AS itemStatus FROM g JOIN hn ON hn.soHeaderId = g.soHeaderId),
 rl AS (SELECT l.podetailsId, l.soLineItemId, s.odrQty AS qty FROM poLineItem l JOIN (SELECT DISTINCT pid FROM g WHERE pid IS NOT NULL) x ON x.pid = l.poId JOIN soLineItem s ON s.soLineItemId = l.soLineItemId),
+al AS (SELECT g.pid AS poId, h.poName, g.soLineItemId, g.invID, g.itemCode, g.supplierskuId, g.supplierSku, g.currencyCode, g.EAN, g.ck AS merchantSku, g.supCost AS unitPrice, g.supCost * g.rate AS homeCurrencyCost,
+              g.dsc AS poItemDesc, g.mk AS itemReference1, g.openQty AS qty, 1079 AS itemStatus FROM g JOIN poHeader h ON h.poId = g.pid
+       WHERE NOT EXISTS (SELECT 1 FROM poLineItem l WHERE l.soLineItemId = g.soLineItemId)),
 sl AS (SELECT s.soLineItemId, s.soHeaderId, s.odrQty, s.soLineItemStatus, CAST(least(s.poQty + q.q, s.odrQty) AS INT) AS poQty
-       FROM soLineItem s JOIN (SELECT soLineItemId, sum(qty) AS q FROM (SELECT soLineItemId, qty FROM nl UNION ALL SELECT soLineItemId, qty FROM rl) GROUP BY 1) q ON q.soLineItemId = s.soLineItemId)"""
+       FROM soLineItem s JOIN (SELECT soLineItemId, sum(qty) AS q FROM (SELECT soLineItemId, qty FROM nl UNION ALL SELECT soLineItemId, qty FROM rl UNION ALL SELECT soLineItemId, qty FROM al) GROUP BY 1) q ON q.soLineItemId = s.soLineItemId)"""
 register("convert_to_purchase_orders_errors", _errors(convert), _PO + " " + _err(_PO_RULES, "CAST(soHeaderId AS VARCHAR)", "soHeaderId"))
 register("convert_to_purchase_orders_headers", _part(convert, "headers"), _PO + f"""
 SELECT hn.soHeaderId, hn.companyId, hn.supplierId, hn.soName AS poReferenceId, hn.shipToId, hn.portOfLanding, hn.portOfDestination, CAST(hn.earlyShipDate AS VARCHAR) AS earlyShipDate,
@@ -78,11 +76,8 @@ register("convert_to_purchase_orders_orders", _part(convert, "so_headers", "soHe
 SELECT s.soHeaderId, 2125 AS soStatus FROM soLineItem s LEFT JOIN sl ON sl.soLineItemId = s.soLineItemId WHERE s.soHeaderId IN (SELECT soHeaderId FROM g)
 GROUP BY s.soHeaderId HAVING sum(s.odrQty - coalesce(sl.poQty, s.poQty)) = 0""")
 
-# the same on the whole poHeader
-_each_po = lambda t: C.convert_to_purchase_orders(t, _each(t.soHeader, "soHeaderId"), AS_OF)
-_WPO = _PO.replace("WHERE poStatus IN (1077, 2143, 1087)", "")
-register("convert_to_purchase_orders_whole_refreshed", _part(_each_po, "refreshed_lines", "podetailsId", "qty", "itemStatus"), _WPO + " SELECT podetailsId, qty, 1079 AS itemStatus FROM rl")
-register("convert_to_purchase_orders_whole_order_lines", _part(_each_po, "so_lines", "soLineItemId", "poQty"), _WPO + " SELECT soLineItemId, poQty FROM sl")
+register("convert_to_purchase_orders_added_lines", _part(convert, "added_lines"), _PO + " SELECT * FROM al")
+register("convert_to_purchase_orders_relinked", _part(convert, "relinked"), _PO + " SELECT l.lrDetailsId, l.soLineItemId, nl.poName FROM lrLineItem l JOIN nl ON nl.soLineItemId = l.soLineItemId")
 
 # --- purchase order -> internal supplier's order
 internal = lambda t: C.raise_internal_orders(t, _each(t.poHeader, "poId"), AS_OF)
@@ -149,16 +144,32 @@ FROM l JOIN hn ON hn.lrHeaderId = l.lrHeaderId JOIN soLineItem s ON s.soLineItem
 register("raise_internal_requests_source_lines", _part(mirror, "source_lines", "lrDetailsId", "confirmQty", "itemStatus"), _MI + """
 SELECT l.lrDetailsId, CAST(l.confirmQty + l.qty AS INT) AS confirmQty, 2135 AS itemStatus FROM l JOIN hn ON hn.lrHeaderId = l.lrHeaderId""")
 
+def _admitted(rows, request, order, key, need, limit, barred="false"):
+    """CTEs: ``short`` (request, k) of what is short at its request's turn, one request after the other."""
+    k = " || '/' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in key)
+    return f"""qn AS MATERIALIZED (SELECT {request} AS request, {k} AS k, CAST(sum({need}) AS BIGINT) AS need, CAST(max(coalesce({limit}, 0)) AS BIGINT) AS lim FROM {rows} GROUP BY 1, 2),
+qf AS MATERIALIZED (SELECT {request} AS request, min({order}) AS ord, bool_or(coalesce({barred}, false)) AS barred FROM {rows} GROUP BY 1),
+qc AS MATERIALIZED (SELECT * FROM qn WHERE k IN (SELECT k FROM qn GROUP BY k HAVING sum(greatest(need, 0)) > max(lim))),
+qo AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ord, request) AS n, request, barred, needs FROM qf JOIN (SELECT request, list({{'k': k, 'need': need, 'lim': lim}}) AS needs FROM qc GROUP BY 1) USING (request)),
+qs AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)) AS used, CAST([] AS VARCHAR[]) AS lacks
+  UNION ALL
+  SELECT n, CASE WHEN barred OR len(lacks) > 0 THEN used ELSE map_concat(used, map_from_entries(list_transform(needs, lambda x: {{'k': x.k, 'v': x.need + coalesce(used[x.k], 0)}}))) END, lacks
+  FROM (SELECT qo.n, qo.barred, qo.needs, qs.used, list_transform(list_filter(qo.needs, lambda x: x.need + coalesce(qs.used[x.k], 0) > x.lim), lambda x: x.k) AS lacks FROM qs JOIN qo ON qo.n = qs.n + 1)),
+short AS (SELECT request, unnest(lacks) AS k FROM qs JOIN qo USING (n))"""
+
+
 # --- shipments
 ship = lambda t: C.ship_loading_requests(t, _each(t.lrHeader, "lrHeaderId"), AS_OF)
-_SH = f"""WITH w AS (SELECT companyId, min(warehouseId) AS wh FROM md_Warehouse GROUP BY 1),
+_SH = f"""WITH RECURSIVE w AS (SELECT companyId, min(warehouseId) AS wh FROM md_Warehouse GROUP BY 1),
 r0 AS (SELECT l.lrDetailsId, l.lrContainerId, l.soHeaderId, l.soLineItemId, l.invID AS invId, l.supplierSku, l.qty - l.processQty AS shipQty, l.itemNote, c.* EXCLUDE (lrContainerId, lrHeaderId, lrName),
               h.lrHeaderId, h.companyId, h.lrName, w.wh
        FROM lrLineItem l JOIN lrContainer c ON c.lrContainerId = l.lrContainerId AND c.containerStatus = 2135 JOIN lrHeader h ON h.lrHeaderId = c.lrHeaderId LEFT JOIN w ON w.companyId = h.companyId
        WHERE l.qty > l.processQty AND l.itemStatus = 2135),
-dm AS (SELECT lrHeaderId, companyId, wh, invId, sum(sum(shipQty)) OVER (PARTITION BY companyId, wh, invId ORDER BY lrHeaderId) AS upto FROM r0 GROUP BY lrHeaderId, companyId, wh, invId),
-r AS (SELECT r0.*, dm.upto > coalesce(b.balanceQty, 0) AS short FROM r0 JOIN dm ON dm.lrHeaderId = r0.lrHeaderId AND dm.invId = r0.invId
-      LEFT JOIN inventoryBalanceWH b ON b.warehouseId = r0.wh AND b.companyId = r0.companyId AND b.invId = r0.invId),
+r1 AS (SELECT r0.*, b.balanceQty FROM r0 LEFT JOIN inventoryBalanceWH b ON b.warehouseId = r0.wh AND b.companyId = r0.companyId AND b.invId = r0.invId),
+{_admitted("r1", "lrHeaderId", "lrHeaderId", ["companyId", "wh", "invId"], "shipQty", "balanceQty")},
+r AS (SELECT r1.*, short.request IS NOT NULL AS short FROM r1 LEFT JOIN short ON short.request = r1.lrHeaderId
+      AND short.k = coalesce(CAST(r1.companyId AS VARCHAR), '') || '/' || coalesce(CAST(r1.wh AS VARCHAR), '') || '/' || coalesce(CAST(r1.invId AS VARCHAR), '')),
 g0 AS (SELECT * FROM r WHERE lrHeaderId NOT IN (SELECT lrHeaderId FROM r WHERE short)),
 bo AS (SELECT x.lrContainerId, {_no('BOL')} AS bol FROM (SELECT companyId, lrContainerId, row_number() OVER (PARTITION BY companyId ORDER BY lrContainerId) AS n FROM (SELECT DISTINCT companyId, lrContainerId FROM g0)) x
        JOIN md_SequenceNumber z ON z.csID = x.companyId AND z.condition = 'BOL'),
@@ -199,12 +210,14 @@ GROUP BY s.soHeaderId HAVING bool_and(coalesce(sl.soLineItemStatus, s.soLineItem
 
 process = lambda t: C.ship_order_processes(t, _each(t.orderProcess, "opId"), AS_OF)
 _OP_RULES = [("opStatus = 1090", "opName"), ("opStatus <> 1091", "opName"), ("short", "customerSku")]
-_OP = f"""WITH w AS (SELECT companyId, min(warehouseId) AS wh FROM md_Warehouse GROUP BY 1),
+_OP = f"""WITH RECURSIVE w AS (SELECT companyId, min(warehouseId) AS wh FROM md_Warehouse GROUP BY 1),
 r0 AS (SELECT h.*, l.opLineItemId, l.soLineItemId, l.invId, l.confirmQty, w.wh FROM orderProcess h JOIN orderProcessLineItem l ON l.opId = h.opId LEFT JOIN w ON w.companyId = h.companyId),
 f AS (SELECT companyId, invId, sum(balanceQty - lockQty) AS free FROM inventoryBalanceWH GROUP BY ALL),
-dm AS (SELECT opId, companyId, invId, sum(sum(confirmQty)) OVER (PARTITION BY companyId, invId ORDER BY opId) AS upto FROM r0 GROUP BY opId, companyId, invId),
-r AS (SELECT r0.*, dm.upto > coalesce(f.free, 0) AS short, s.customerSku, s.merchantSku FROM r0 JOIN dm ON dm.opId = r0.opId AND dm.invId = r0.invId
-      LEFT JOIN f ON f.companyId = r0.companyId AND f.invId = r0.invId LEFT JOIN soLineItem s ON s.soLineItemId = r0.soLineItemId),
+r1 AS (SELECT r0.*, f.free FROM r0 LEFT JOIN f ON f.companyId = r0.companyId AND f.invId = r0.invId),
+{_admitted("r1", "opId", "opId", ["companyId", "invId"], "confirmQty", "free", "opStatus IS DISTINCT FROM 1091")},
+r AS (SELECT r1.*, short.request IS NOT NULL AS short, s.customerSku, s.merchantSku FROM r1
+      LEFT JOIN short ON short.request = r1.opId AND short.k = coalesce(CAST(r1.companyId AS VARCHAR), '') || '/' || coalesce(CAST(r1.invId AS VARCHAR), '')
+      LEFT JOIN soLineItem s ON s.soLineItemId = r1.soLineItemId),
 g AS (SELECT * FROM r WHERE opId NOT IN (SELECT opId FROM r WHERE {_bad(_OP_RULES)})),
 hs AS (SELECT g.opId, g.opName, g.companyId, g.customerId, g.shipToId, g.wh, CAST(sum(g.confirmQty * i.grossWeight) AS BIGINT) AS shipmentWeight, row_number() OVER (PARTITION BY g.companyId ORDER BY g.opId) AS n
        FROM g JOIN md_Inventory i ON i.invID = g.invId GROUP BY g.opId, g.opName, g.companyId, g.customerId, g.shipToId, g.wh),
@@ -290,11 +303,14 @@ SELECT h.poId, CASE WHEN h.poId IN (SELECT poId FROM a) AND NOT EXISTS (SELECT 1
 _lock_requests = lambda t: t.procurementProcess.where(F.col("status") == 0).select(
     F.col("soHeaderId").cast("string").alias("requestId"), "procurementProcessId", F.col("companyId").alias("warehouseId"), (F.col("lockQty") + F.col("processQty")).alias("newLockQty"))
 lock = lambda t: C.lock_stock(t, _lock_requests(t))
-_LK = """WITH r0 AS (SELECT procurementProcessId, soHeaderId, companyId, companyId AS warehouseId, rawBomInvId AS invId, soLineItemId, lockQty, rawBomTotalQty, CAST(processQty AS BIGINT) AS delta FROM procurementProcess WHERE status = 0),
-r AS (SELECT r0.*, sum(delta) OVER (PARTITION BY r0.warehouseId, r0.companyId, r0.invId ORDER BY procurementProcessId ROWS UNBOUNDED PRECEDING) AS upto, b.balanceQty - b.lockQty AS free
-      FROM r0 LEFT JOIN inventoryBalanceWH b ON b.warehouseId = r0.warehouseId AND b.companyId = r0.companyId AND b.invId = r0.invId),
-g AS (SELECT * FROM r WHERE soHeaderId NOT IN (SELECT soHeaderId FROM r WHERE free IS NULL OR upto > free))"""
-register("lock_stock_errors", _errors(lock), _LK + """ SELECT CAST(soHeaderId AS VARCHAR) AS requestId, procurementProcessId, 1 AS ruleNo, CAST(warehouseId AS VARCHAR) AS "key" FROM r WHERE free IS NULL OR upto > free""")
+_LK = f"""WITH RECURSIVE r0 AS (SELECT procurementProcessId, soHeaderId, companyId, companyId AS warehouseId, rawBomInvId AS invId, soLineItemId, lockQty, rawBomTotalQty, CAST(processQty AS BIGINT) AS delta FROM procurementProcess WHERE status = 0),
+r1 AS (SELECT r0.*, b.balanceQty - b.lockQty AS free FROM r0 LEFT JOIN inventoryBalanceWH b ON b.warehouseId = r0.warehouseId AND b.companyId = r0.companyId AND b.invId = r0.invId),
+r2 AS (SELECT *, soHeaderId IN (SELECT soHeaderId FROM r1 WHERE free IS NULL) AS barred FROM r1 WHERE free IS NOT NULL),
+{_admitted("r2", "CAST(soHeaderId AS VARCHAR)", "procurementProcessId", ["warehouseId", "companyId", "invId"], "delta", "free", "barred")},
+r AS (SELECT r1.*, short.request IS NOT NULL AS lacks FROM r1
+      LEFT JOIN short ON short.request = CAST(r1.soHeaderId AS VARCHAR) AND short.k = CAST(r1.warehouseId AS VARCHAR) || '/' || CAST(r1.companyId AS VARCHAR) || '/' || CAST(r1.invId AS VARCHAR)),
+g AS (SELECT * FROM r WHERE soHeaderId NOT IN (SELECT soHeaderId FROM r WHERE free IS NULL OR lacks))"""
+register("lock_stock_errors", _errors(lock), _LK + """ SELECT CAST(soHeaderId AS VARCHAR) AS requestId, procurementProcessId, 1 AS ruleNo, CAST(warehouseId AS VARCHAR) AS "key" FROM r WHERE free IS NULL OR lacks""")
 register("lock_stock_balances", _part(lock, "balances"), _LK + ", d AS (SELECT warehouseId, companyId, invId, 0 AS q, CAST(sum(delta) AS BIGINT) AS lk FROM g GROUP BY ALL) " + _BALANCES)
 register("lock_stock_demand", _part(lock, "demand", "procurementProcessId", "lockQty", "status"), _LK + """
 SELECT procurementProcessId, lockQty + delta AS lockQty, CASE WHEN lockQty + delta = rawBomTotalQty THEN 1 ELSE 0 END AS status FROM g""")

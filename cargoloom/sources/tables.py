@@ -10,9 +10,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from .erp_views import DRIVER_TABLES, VIEWS, with_views
 
+_schemas: dict[str, StructType] = {}
+
 
 class Tables:
     """Case-insensitive attribute access to named DataFrames."""
@@ -62,7 +65,12 @@ class StarSchemaTables(Tables):
         return self._frames[key]
 
     def _read(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        path = f"{self._dir}/{name}.parquet"
+        reader = self._spark.read
+        # a file's columns are looked up once; later plans are built without a job
+        if path not in _schemas:
+            _schemas[path] = reader.parquet(path).schema
+        return reader.schema(_schemas[path]).parquet(path)
 
     def _derive(self, key: str) -> DataFrame:
         if key not in self._canonical:

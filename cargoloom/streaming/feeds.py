@@ -9,15 +9,15 @@ replay after a failure writes the same rows to the same place.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.history import change_json, line_qty_notices, notify_recipients, target_date_notices
 from ..plans.digests import Digest
-from ..sources.files import current_version, publish, read_published
+from ..sources.cells import CELL, commit, day_cell, drop_cells, forget, hash_cell, manifest, put_changes, put_table, read_cells, successor, touched_cells
 
 
 def read_changes(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -27,61 +27,85 @@ def read_changes(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def split_late(batch: DataFrame, event_time: str, arrival: str, delay_seconds: int) -> tuple[DataFrame, DataFrame]:
     """(on time, late) by how long a row took to arrive."""
-    late = (F.unix_timestamp(arrival) - F.unix_timestamp(event_time)) > delay_seconds
+    late = F.coalesce((F.unix_timestamp(arrival) - F.unix_timestamp(event_time)) > delay_seconds, F.lit(False))
     return batch.where(~late), batch.where(late)
 
 
-def notice_stream(changes: DataFrame, sink: str, checkpoint: str, key: list[str], event_time: str = "changedAt", arrival: str = "arrivedAt", delay_seconds: int = 3600) -> StreamingQuery:
+def notice_stream(changes: DataFrame, sink: str, checkpoint: str, key: list[str], event_time: str = "changedAt", arrival: str = "arrivedAt", delay_seconds: int = 3600,
+                  horizon_days: int = 30, cells: int = 16) -> StreamingQuery:
     """Change rows carrying old and new values -> notices; late rows go to a side table, none is lost.
 
     Rows hold companyId, sourceModule, sourceRecordId, column, oldValue and newValue; rows without a change make no notice.
-    ``key`` holds the record key and its version: a row delivered again, in the same or a later batch, counts once.
-    Keys that were taken are kept by batch; a batch looks only at those since its earliest event.
+    ``key`` holds the record key and its version: a row delivered again, in the same or a later batch, counts once;
+    it has the same event time then.  The keys that were taken are a table of cells by event day and key; a batch reads and rewrites the cells its rows fall in, a very
+    late row the one of its own day.  Days more than ``horizon_days`` before the newest event are dropped; rows from before them
+    and rows without event time can't be told from rows delivered again, and go to ``late`` each time they come.
     """
-    taken = f"{sink}/taken"
-    names = [f for f in changes.schema.fields if f.name in (*key, event_time)]
-    changes.sparkSession.createDataFrame([], T.StructType(names)).write.mode("overwrite").parquet(f"{taken}/batch=-1")
+    state = f"{sink}/state"
+    names = [c for c in changes.columns if c in (*key, event_time)]
+    cell = day_cell(event_time, *key, cells=cells)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark, version = batch.sparkSession, f"batch-{batch_id:012d}"
         batch = batch.dropDuplicates(key).persist()
-        since = batch.agg(F.min(event_time)).first()[0]
-        known = batch.sparkSession.read.parquet(taken).where((F.col("batch") < batch_id) & (F.col(event_time) >= F.lit(since))).select(*key)
-        rows = batch.join(known, key, "left_anti").persist()
+        of = successor(spark, state, version)
+        newest = batch.agg(F.date_format(F.max(event_time), "yyyy-MM-dd")).first()[0]
+        top = max(filter(None, [newest, *(c.partition(".")[0] for c in of.tables.get("taken", {}))]), default="0001-01-01")
+        floor = (date.fromisoformat(top) - timedelta(days=min(horizon_days, date.fromisoformat(top).toordinal() - 1))).isoformat() if top > "0001" else top
+        before = F.coalesce(F.date_format(event_time, "yyyy-MM-dd") < F.lit(floor), F.lit(True))
+        current = batch.where(~before)
+        if "taken" not in of.tables:
+            put_table(current.select(*names).limit(0), state, "taken", of, cell)
+        near = touched_cells(current, cell)
+        taken = read_cells(spark, state, "taken", of, near)
+        rows = current.join(taken.select(*key), key, "left_anti").persist()
         on_time, late = split_late(rows, event_time, arrival, delay_seconds)
         moved = change_json(on_time.where(~F.col("oldValue").eqNullSafe(F.col("newValue"))))
         notices = moved.select("companyId", "sourceModule", "sourceRecordId", F.concat(F.lit("Change "), "column").alias("eventType"), "payload")
         notices.write.mode("overwrite").parquet(f"{sink}/notices/batch={batch_id}")
-        late.write.mode("overwrite").parquet(f"{sink}/late/batch={batch_id}")
-        rows.select(*[f.name for f in names]).write.mode("overwrite").parquet(f"{taken}/batch={batch_id}")
+        late.unionByName(batch.where(before)).write.mode("overwrite").parquet(f"{sink}/late/batch={batch_id}")
+        put_changes(state, "taken", of, cell, names, rows.select(*names))
+        drop_cells(of, "taken", lambda c: c.partition(".")[0] < floor)
+        commit(spark, state, of)
+        forget(spark, state)
         rows.unpersist()
         batch.unpersist()
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def image_stream(images: DataFrame, table_root: str, table: str, key: str, version: str, compare: Callable[[DataFrame, DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
+def image_stream(images: DataFrame, table_root: str, table: str, key: str, version: str, compare: Callable[[DataFrame, DataFrame], DataFrame], sink: str, checkpoint: str,
+                 cells: int = 64) -> StreamingQuery:
     """New row images -> notices against the table's current rows, then the table moves on.
 
-    The published table is the keyed state: each batch is compared with it and
-    published as the next version, so the stream itself holds no unbounded state.
-    A batch that ran before (its version is the current one) is not applied twice.  The table holds
+    The table (``cells.put_table`` with ``hash_cell(key, cells=cells)``) is the keyed state: a batch reads the cells that its keys fall in, compares with them and
+    rewrites them, so its work follows the batch and the stream itself holds no state.
+    A batch that ran before (its version counts already) is not applied twice.  The table holds
     ``version``; an image that isn't newer than the stored row changes nothing and makes no notice.
     """
+    cell = hash_cell(key, cells=cells)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = f"batch-{batch_id}"
-        if current_version(spark, table_root) == done:
+        spark, done = batch.sparkSession, f"batch-{batch_id:012d}"
+        now = manifest(spark, table_root)
+        if now is None or now.version == done:
+            if now is None:
+                raise ValueError(f"no table below {table_root}")
             return
-        before = read_published(spark, table_root, table)
-        columns = before.columns
-        if version not in columns:
+        of = successor(spark, table_root, done)
+        newest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), F.col(version)).alias("_r")).select(key, "_r.*").persist()
+        near = read_cells(spark, table_root, table, of, touched_cells(newest, cell))
+        before = near.drop(CELL)
+        if version not in before.columns:
             raise ValueError(f"table {table} needs the column {version}")
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), F.col(version)).alias("_r")).select(key, "_r.*")
         stored = before.select(F.col(key).alias("_key"), F.col(version).alias("_stored"))
         newer = F.col("_stored").isNull() | (F.col(version) > F.col("_stored"))
-        newest = newest.join(stored, F.col(key) == F.col("_key"), "left").where(newer).select(*columns)
-        compare(before, newest).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        publish(spark, table_root, {table: before.join(newest.select(key), key, "left_anti").unionByName(newest)}, version=done)
+        fresh = newest.join(stored, F.col(key) == F.col("_key"), "left").where(newer).select(*before.columns).persist()
+        compare(before, fresh).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        put_changes(table_root, table, of, cell, [key], fresh)
+        commit(spark, table_root, of)
+        fresh.unpersist()
+        newest.unpersist()
 
     return images.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import random
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,11 +20,10 @@ from cargoloom.operators import ledger
 from cargoloom.operators.changes import ChangeSpec, apply_changes
 from cargoloom.operators.history import as_of, as_of_join, build_history, changed_rows
 from cargoloom.operators.lookup import config_value, pivot_attributes, rate_at, resolve
-from cargoloom.operators.ordering import ordinal, running_max, running_totals
+from cargoloom.operators.ordering import Falling, ordinal, running_max, running_totals
 from cargoloom.operators.paging import cut_page, paged_listing
 from cargoloom.operators.transitions import LineSpec, TransitionSpec, merge_rows, move_lines, status_transition
 from cargoloom.operators.validate import KEYS_PER_MESSAGE, Rule, error_summary, first_errors, in_file_duplicates, open_qty_guard, required, single_value_per_group, validate
-from cargoloom.operators import paging
 from cargoloom.plans.loads import orders_holding
 
 
@@ -92,14 +92,28 @@ def test_empty_input_is_numbered(spark):
     assert ordinal(spark.range(0), ["id"]).count() == 0
 
 
-def test_pages_partition_the_listing(spark, monkeypatch):
+def test_pages_partition_the_listing(spark):
     df = spark.range(95).withColumn("tie", F.lit("same"))
     pages = [rows(paged_listing(df, {1: "tie"}, 1, "DESC", ["id"], s, 20), "rowNo", "id", "totalRecord") for s in (1, 21, 41, 61, 81)]
     flat = [r for p in pages for r in p]
     assert flat == [(i + 1, i, 95) for i in range(95)]
     assert paged_listing(df, {1: "tie"}, 1, "ASC", ["id"], 200, 10).count() == 0
-    monkeypatch.setattr(paging, "TOP_K_ROWS", 10)  # a deep page takes the ranked way and agrees
-    assert rows(cut_page(df, [F.col("id").asc()], 31, 5), "rowNo", "id") == [(i, i - 1) for i in range(31, 36)]
+    assert rows(cut_page(df, [F.col("id")], 31, 5), "rowNo", "id") == [(i, i - 1) for i in range(31, 36)]
+
+
+def test_pages_at_any_depth_equal_a_numbered_sort(spark):
+    df = spark.range(1_100_000).select("id", F.pmod(F.xxhash64("id"), F.lit(1000)).alias("v"), F.when(F.col("id") % 7 > 0, F.col("id") % 5).alias("w"))
+    values = df.toPandas()  # noqa: F841, read by the SQL below
+    for direction, start in (("ASC", 1), ("DESC", 99_990), ("ASC", 1_000_000), ("DESC", 1_099_995)):
+        got = rows(paged_listing(df, {1: "v"}, 1, direction, ["id"], start, 20), "rowNo", "id", "totalRecord")
+        order = f"v {direction}, id"
+        assert got == duckdb.sql(f"SELECT * FROM (SELECT row_number() OVER (ORDER BY {order}) AS n, id, 1100000 FROM values) WHERE n BETWEEN {start} AND {start + 19} ORDER BY n").fetchall()
+
+
+def test_equal_rows_of_a_page_are_numbered_once_each(spark):
+    df = spark.createDataFrame([(1, "a")] * 30 + [(2, "b")] * 5, "k int, t string").repartition(4)
+    pages = [r for s in (1, 11, 21, 31) for r in rows(paged_listing(df, {1: "k"}, 1, "ASC", ["t"], s, 10), "rowNo", "k", "totalRecord")]
+    assert pages == [(i + 1, 1 if i < 30 else 2, 35) for i in range(35)]
 
 
 def test_resolve_takes_the_lowest_match_case_insensitively(spark):
@@ -277,3 +291,22 @@ def test_orders_holding_matches_brute_force(spark):
     want = sorted({(c, k, p.lower()) for c, k, p in asked if any(k == ok and p.lower() in o for _, ok, o in orders)})
     schema = "companyId int, customerId int, customerPO string"
     assert rows(orders_holding(spark.createDataFrame(asked, schema), spark.createDataFrame(orders, schema))) == want
+
+
+@given(st.lists(st.text("ab-1", min_size=1, max_size=9), max_size=8), st.lists(st.text("ab-1", max_size=14), max_size=8))
+@settings(max_examples=8, deadline=None)
+def test_po_texts_of_all_lengths_are_found_inside_orders(spark, staged, known):
+    a = spark.createDataFrame([(1, 7, t) for t in staged] + [(2, 7, "b")], "companyId int, customerId int, customerPO string")
+    b = spark.createDataFrame([(1, 7, t) for t in known] + [(1, 8, "".join(staged))], "companyId int, customerId int, customerPO string")
+    want = {t.strip() for t in staged if t.strip() and any(t.strip() in k.strip() for k in known)}
+    assert {r["_po"] for r in orders_holding(a, b).collect()} == want
+
+
+def test_numbering_writes_narrow_rows_whatever_the_width(spark):
+    df = spark.range(200).select("id", (F.col("id") % 3).alias("g"), F.repeat(F.lit("wide"), 1000).alias("w"))
+    got = rows(ordinal(df, [F.col("id")], within=["g"]), "g", "id", "rowNo")
+    assert got == sorted((i % 3, i, i // 3 + 1) for i in range(200))
+    falling = rows(ordinal(df, [Falling("id")]), "id", "rowNo")
+    assert falling == [(i, 200 - i) for i in range(200)]
+    plan = ordinal(df, ["id"])._jdf.queryExecution().analyzed().toString()
+    assert plan.count("repeat(wide") == 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cargoloom.operators.history import notify_recipients
 from cargoloom.plans.digests import new_sales_orders
+from cargoloom.sources import cells
 from cargoloom.sources.files import current_version, publish, read_published, read_staged, write_template
 from cargoloom.sources.tables import StarSchemaTables
 from cargoloom.streaming import feeds
@@ -58,7 +59,9 @@ def test_image_stream_compares_with_the_published_table(spark, tmp_path):
     root, src, out, ck = (str(tmp_path / n) for n in ("table", "in", "out", "ck"))
     base = spark.createDataFrame([(1, 1, "W1", "2024-01-01"), (2, 1, "W2", "2024-01-01")], "workOrderHeaderId long, companyId int, workOrderName string, d string") \
         .withColumn("targetCompleteDate", F.col("d").cast("date")).drop("d").withColumn("version", F.lit(0))
-    publish(spark, root, {"workOrderHeader": base})
+    of = cells.successor(spark, root, "first")
+    cells.put_table(base, root, "workOrderHeader", of, cells.hash_cell("workOrderHeaderId"))
+    cells.commit(spark, root, of)
     lines = spark.createDataFrame([(1, 100), (1, 101), (2, 200)], "workOrderHeaderId long, soHeaderId long")
     put(tmp_path / "in", "a.json", [dict(workOrderHeaderId=1, companyId=1, workOrderName="W1", targetCompleteDate="2024-01-02", version=1),
                                     dict(workOrderHeaderId=1, companyId=1, workOrderName="W1", targetCompleteDate="2024-01-09", version=2),
@@ -68,7 +71,7 @@ def test_image_stream_compares_with_the_published_table(spark, tmp_path):
     notices = spark.read.parquet(out)
     assert sorted((r.sourceModule, r.sourceRecordId) for r in notices.collect()) == [("SalesOrder", 100), ("SalesOrder", 101), ("WorkOrder", 1)]
     assert '"newValue":"2024-01-09"' in notices.first().payload
-    after = {r.workOrderHeaderId: str(r.targetCompleteDate) for r in read_published(spark, root, "workOrderHeader").collect()}
+    after = {r.workOrderHeaderId: str(r.targetCompleteDate) for r in cells.read_table(spark, root, "workOrderHeader").collect()}
     assert after == {1: "2024-01-09", 2: "2024-01-01"}
     again = spark.readStream.schema(HEAD).json(src)  # the same files under a new checkpoint: batch 0 is the current version
     feeds.image_stream(again, root, "workOrderHeader", "workOrderHeaderId", "version", feeds.target_date_compare(lines), out, str(tmp_path / "ck2")).awaitTermination()
@@ -78,14 +81,16 @@ def test_image_stream_compares_with_the_published_table(spark, tmp_path):
 def test_an_older_image_does_not_move_the_table_back(spark, tmp_path):
     root, out, ck = (str(tmp_path / n) for n in ("table", "out", "ck"))
     row = lambda date, version: dict(workOrderHeaderId=1, companyId=1, workOrderName="W1", targetCompleteDate=date, version=version)
-    publish(spark, root, {"workOrderHeader": spark.createDataFrame([(1, 1, "W1", "2024-01-05", 5)], "workOrderHeaderId long, companyId int, workOrderName string, d string, version int")
-                          .withColumn("targetCompleteDate", F.col("d").cast("date")).drop("d")})
+    stored = spark.createDataFrame([(1, 1, "W1", "2024-01-05", 5)], "workOrderHeaderId long, companyId int, workOrderName string, d string, version int").withColumn("targetCompleteDate", F.col("d").cast("date")).drop("d")
+    of = cells.successor(spark, root, "first")
+    cells.put_table(stored, root, "workOrderHeader", of, cells.hash_cell("workOrderHeaderId"))
+    cells.commit(spark, root, of)
     lines = spark.createDataFrame([(1, 100)], "workOrderHeaderId long, soHeaderId long")
     for name, rows, want in (("a.json", [row("2024-01-03", 3)], ("2024-01-05", 5)), ("b.json", [row("2024-01-09", 7), row("2024-01-06", 6)], ("2024-01-09", 7)), ("c.json", [row("2024-01-06", 6)], ("2024-01-09", 7))):
         put(tmp_path / "in", name, rows)
         images = spark.readStream.schema(HEAD).json(str(tmp_path / "in"))
         feeds.image_stream(images, root, "workOrderHeader", "workOrderHeaderId", "version", feeds.target_date_compare(lines), out, ck).awaitTermination()
-        after = read_published(spark, root, "workOrderHeader").first()
+        after = cells.read_table(spark, root, "workOrderHeader").first()
         assert (str(after.targetCompleteDate), after.version) == want
     assert {r.payload for r in spark.read.parquet(out).collect() if "2024-01-0" in r.payload and "2024-01-09" not in r.payload} == set()
 

@@ -15,8 +15,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import duckdb
 from pyspark.sql import SparkSession
 
+from cargoloom.operators.ordering import release
 from cargoloom.registry import all_oracles, all_queries
 from cargoloom.sources.erp_views import DRIVER_TABLES
+from cargoloom.sources.tables import StarSchemaTables
 
 
 def session() -> SparkSession:
@@ -35,13 +37,18 @@ def main() -> int:
     spark, con = session(), duckdb.connect()
     for t in DRIVER_TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{opt.sf}/{t}.parquet'")
-    oracles, bad = all_oracles(), 0
+    oracles, bad, tables = all_oracles(), 0, StarSchemaTables(spark, opt.sf)
     for name, run in all_queries().items():
         if opt.names and not any(name.startswith(n) for n in opt.names):
             continue
         started = time.time()
         try:
+            for t in DRIVER_TABLES:
+                tables.get(t)  # looks the tables' columns up
+            spark.sparkContext.setJobGroup(name, name)
             df = run(spark, opt.sf)
+            if jobs := len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)):
+                print(f"JOBS {name} {jobs} while its plan was built")
             cols, rows = df.columns, [tuple(r) for r in df.collect()]
             took = time.time() - started
             if len(set(c.lower() for c in cols)) != len(cols):
@@ -67,6 +74,7 @@ def main() -> int:
         except Exception as e:  # report and go on with the next query
             bad += 1
             print(f"ERROR {name}: {str(e)[:700]}")
+        release()
     print(f"{bad} bad")
     return bad
 
