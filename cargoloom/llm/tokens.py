@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with each distinct chunk encoded once per worker.
 
 A text is cut before blanks that follow something that isn't white space.  The byte-level pattern never
-crosses such a place, so the ids of the chunks, one after the other, are the ids of the whole text.
+crosses such a place, and no added token does, so the ids of the chunks, one after the other, are the ids of the whole text.
+An added token that stands in a text gets its own id, as the library does it.
 """
 
 from __future__ import annotations
@@ -51,11 +52,14 @@ class _Slots(dict):
 class ChunkEncoder:
     def __init__(self, vocabulary: str):
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        ids = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.bytes_of = np.zeros(max(ids.values()) + 1, np.int64)
+        ids, added = self.tokenizer.get_vocab(with_added_tokens=False), self.tokenizer.get_added_tokens_decoder()
+        self.bytes_of = np.zeros(max([*ids.values(), *added]) + 1, np.int64)
         for token, i in ids.items():
             self.bytes_of[i] = len(token)  # a character of the file stands for a byte
+        for i, token in added.items():
+            if re.search(r"\s", token.content) or token.lstrip or token.rstrip or token.single_word:
+                raise ValueError(f"the added token {token.content!r} reaches over blanks, where texts are cut")
+            self.bytes_of[i] = len(token.content.encode())
         self.spaced, self.plain = _Slots(self, " "), _Slots(self, "")
         self.count, self.used, self.loose = 0, 0, set()  # loose: chunks that end in white space
         self.ids = np.zeros(1 << 16, np.uint32)

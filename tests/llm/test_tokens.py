@@ -13,9 +13,7 @@ PIECES = [" ", "  ", "\n", "\t", "\r\n", " ", "　", "\x1c", "\x85", " ", "a"
 
 @pytest.fixture(scope="module")
 def library():
-    whole = Tokenizer.from_file(tokens.DEFAULT_VOCABULARY)
-    whole.encode_special_tokens = True
-    return whole
+    return Tokenizer.from_file(tokens.DEFAULT_VOCABULARY)
 
 
 def random_texts(n, seed=5):
@@ -30,6 +28,11 @@ def test_chunks_give_the_ids_of_the_whole_text(library):
         assert ids[offsets[i]:offsets[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_an_added_token_in_a_text_has_its_own_id():
+    ids, _ = tokens.ChunkEncoder(tokens.DEFAULT_VOCABULARY).encode(["hello <|endoftext|> world"])
+    assert ids.tolist() == [31373, 220, 50256, 995]
+
+
 def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 50)
     own = tokens.ChunkEncoder(tokens.DEFAULT_VOCABULARY)
