@@ -110,7 +110,7 @@ def train(rows: list[tuple[np.ndarray, int]], seed: int = 1) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Train on labelled rows that aren't held out."""
+    """Train on labelled rows that aren't held out; of rows that share an id the one with the smallest text teaches."""
     known = labels.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label"))
     taught = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         model = train([held[i] for i in sorted(held)])
         yield pa.RecordBatch.from_pydict({"weight": [model.weight.tobytes()], "bias": [model.bias]})
 
-    found = in_arrow(rows.repartition(1), learn, "weight binary, bias double").first()
+    found = in_arrow(rows.repartition(1).sortWithinPartitions("doc_id", "text"), learn, "weight binary, bias double").first()
     return Model(np.frombuffer(bytes(found["weight"]), np.float32), found["bias"]) if found else train([])
 
 
