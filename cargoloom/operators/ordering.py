@@ -56,7 +56,7 @@ def all_true(conditions: Sequence[Column]) -> Column:
 
 
 def _running(df: DataFrame, order_by: Sequence[str | Column], within: Sequence[str], columns: dict[str, Column],
-             fold: Callable[[str], Column], combine: Callable[[Column, Column], Column]) -> DataFrame:
+             fold: Callable[[str], Column], combine: Callable[[Column, Column], Column], apart: bool = False) -> DataFrame:
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     groups, orders, n = [f"__g{i}" for i in range(len(within))], [f"__o{i}" for i in range(len(order))], range(len(columns))
     # rows that are equal in all these columns share their total, so each of them is one row here
@@ -77,9 +77,14 @@ def _running(df: DataFrame, order_by: Sequence[str | Column], within: Sequence[s
              .where(F.col("_earlier") > 0)
              .select(F.col("_part").alias("_cpart"), *[F.col(g).alias(f"__c{g}") for g in groups], *[f"_c{i}" for i in n]))
     met = all_true([F.col("_part") == F.col("_cpart")] + [F.col(g).eqNullSafe(F.col(f"__c{g}")) for g in groups])
-    ranks = local.join(carry, met, "left").select(*groups, *orders, *[combine(F.col(f"_l{i}"), F.col(f"_c{i}")).alias(f"__r{i}") for i in n])
+    ties = apart and not ranged.where("_v0 > 1").isEmpty()
+    ranks = local.join(carry, met, "left").select(*groups, *orders, *[combine(F.col(f"_l{i}"), F.col(f"_c{i}")).alias(f"__r{i}") for i in n], *([F.col("_v0").alias("__same")] if ties else []))
     back = all_true([F.col(c).eqNullSafe(F.col(g)) for c, g in zip(within, groups)] + [value_of(c).eqNullSafe(F.col(o)) for c, o in zip(order, orders)])
-    return df.join(ranks, back).select(*df.columns, *[F.col(f"__r{i}").alias(name) for i, name in enumerate(columns)])
+    joined = df.join(ranks, back)
+    if ties:  # rows that are equal in the whole order follow each other by their contents
+        twins = Window.partitionBy(*groups, *orders).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+        joined = joined.withColumn("__r0", F.col("__r0") - F.col("__same") + F.row_number().over(twins))
+    return joined.select(*df.columns, *[F.col(f"__r{i}").alias(name) for i, name in enumerate(columns)])
 
 
 class Falling:
@@ -112,4 +117,4 @@ def running_max(df: DataFrame, order_by: Sequence[str | Column | Falling], withi
 
 def ordinal(df: DataFrame, order_by: Sequence[str | Column | Falling], within: Sequence[str] = (), name: str = "rowNo") -> DataFrame:
     """Gap-free 1-based position of each row, per group when ``within`` is given."""
-    return running_totals(df, order_by, within, **{name: F.lit(1).cast("long")})
+    return _running(df, order_by, within, {name: F.lit(1).cast("long")}, F.sum, lambda here, earlier: here + F.coalesce(earlier, F.lit(0)), apart=True)

@@ -308,5 +308,6 @@ def test_numbering_writes_narrow_rows_whatever_the_width(spark):
     assert got == sorted((i % 3, i, i // 3 + 1) for i in range(200))
     falling = rows(ordinal(df, [Falling("id")]), "id", "rowNo")
     assert falling == [(i, 200 - i) for i in range(200)]
+    assert rows(ordinal(df, ["g"], name="n"), "n") == [(i + 1,) for i in range(200)]  # ties are numbered apart
     plan = ordinal(df, ["id"])._jdf.queryExecution().analyzed().toString()
     assert plan.count("repeat(wide") == 1
