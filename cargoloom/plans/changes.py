@@ -414,7 +414,8 @@ def edit_request_lines(t: Tables, changes: DataFrame) -> RequestLinesEdited:
     checked = validate(rows, [
         Rule("Line {} is not open for edits", F.col("_state").isNotNull() & ~F.col("_state").isin(LR["draft"], LR["rejected"], LR["reopened"]), F.col("lrDetailsId")),
         Rule("Line {} does not exist", action_is(UPDATE, DELETE) & F.col("_state").isNull(), F.col("lrDetailsId")),
-        Rule("PO line {} is asked beyond its quantity", (F.col("_diff") > 0) & (F.col("_lrQty") + F.col("_sum") > F.col("_qty")), F.col("_po"))], "changeId", ["changeId"])
+        Rule("PO line {} is asked beyond its quantity", (F.col("_diff") > 0) & (F.col("_lrQty") + F.col("_sum") > F.col("_qty")), F.col("_po")),
+        Rule("PO line {} does not exist", action_is(ADD) & F.col("_qty").isNull(), F.col("_po"))], "changeId", ["changeId"])
     good = checked.accepted
     added = good.where(action_is(ADD) & F.col("_has").isNull()).join(t.lrHeader.select("lrHeaderId", "lrName"), "lrHeaderId").select(
         "changeId", "lrHeaderId", "lrName", "lrContainerId", F.col("_soLine").alias("soLineItemId"), F.col("_order").alias("poId"), "poDetailsId", F.col("_sku").alias("supplierSku"), F.col("_inv").alias("invID"),

@@ -318,17 +318,17 @@ r0 AS (SELECT c.* REPLACE (CASE WHEN actionType = 'Add' AND h.has IS NOT NULL TH
 r1 AS (SELECT r0.*, l.qty AS old, l.itemNote AS oldNote, l.itemStatus AS state, coalesce(l.poDetailsId, r0.poDetailsId) AS po FROM r0 LEFT JOIN lrLineItem l ON l.lrDetailsId = r0.lrDetailsId),
 r2 AS (SELECT r1.*, CASE WHEN actionType = 'Delete' THEN 0 WHEN actionType = 'Add' AND has IS NOT NULL THEN old + qty ELSE qty END - coalesce(old, 0) AS diff FROM r1),
 r AS (SELECT r2.*, p.lrQty AS plr, p.qty AS pq, sum(diff) OVER (PARTITION BY po) AS total FROM r2 LEFT JOIN poLineItem p ON p.podetailsId = r2.po),
-g AS (SELECT * FROM r WHERE NOT (state IS NOT NULL AND state NOT IN (2132, 2134, 2145)) AND NOT (actionType <> 'Add' AND state IS NULL) AND NOT coalesce(diff > 0 AND plr + total > pq, false))"""
+g AS (SELECT * FROM r WHERE NOT (state IS NOT NULL AND state NOT IN (2132, 2134, 2145)) AND NOT (actionType <> 'Add' AND state IS NULL) AND NOT coalesce(diff > 0 AND plr + total > pq, false) AND NOT (actionType = 'Add' AND pq IS NULL))"""
 register("edit_request_lines_errors", lambda t: lrl(t).errors.drop("rule"), _LL + """
 SELECT changeId, 1 AS ruleNo, lrDetailsId AS "key" FROM r WHERE state IS NOT NULL AND state NOT IN (2132, 2134, 2145) UNION ALL SELECT changeId, 2, lrDetailsId FROM r WHERE actionType <> 'Add' AND state IS NULL
-UNION ALL SELECT changeId, 3, po FROM r WHERE diff > 0 AND plr + total > pq""")
+UNION ALL SELECT changeId, 3, po FROM r WHERE diff > 0 AND plr + total > pq UNION ALL SELECT changeId, 4, po FROM r WHERE actionType = 'Add' AND pq IS NULL""")
 register("edit_request_lines_added", lambda t: lrl(t).added.select("changeId", "lrName", "lrContainerId", "poId", "soHeaderId", "supplierSku", "qty"), _LL + """
 SELECT g.changeId, h.lrName, g.lrContainerId, p.poId, s.soHeaderId, p.supplierSku, g.qty FROM g JOIN lrHeader h ON h.lrHeaderId = g.lrHeaderId JOIN poLineItem p ON p.podetailsId = g.poDetailsId LEFT JOIN soLineItem s ON s.soLineItemId = p.soLineItemId
 WHERE g.actionType = 'Add' AND g.has IS NULL""")
 register("edit_request_lines_changed", lambda t: lrl(t).changed.select("lrDetailsId", "qty", "itemNote"), _LL + """
 SELECT lrDetailsId, CAST(old + diff AS INT) AS qty, CASE WHEN actionType = 'Add' AND oldNote <> '' THEN oldNote || ', ' || itemNote ELSE itemNote END AS itemNote FROM g WHERE actionType = 'Update' OR (actionType = 'Add' AND has IS NOT NULL)""")
 register("edit_request_lines_deleted", lambda t: lrl(t).deleted.select("lrDetailsId"), _LL + " SELECT lrDetailsId FROM g WHERE actionType = 'Delete'")
-register("edit_request_lines_po_lines", lambda t: lrl(t).po_lines.select("podetailsId", "lrQty"), _LL + " SELECT po AS podetailsId, CAST(plr + sum(diff) AS INT) AS lrQty FROM g GROUP BY po, plr")
+register("edit_request_lines_po_lines", lambda t: lrl(t).po_lines.select("podetailsId", "lrQty"), _LL + " SELECT po AS podetailsId, CAST(plr + sum(diff) AS INT) AS lrQty FROM g WHERE pq IS NOT NULL GROUP BY po, plr")
 
 # --- containers, bookings, shipments
 _BOX = """SELECT lrHeaderId, containerSeq, CASE WHEN containerSeq = 1 THEN '' ELSE concat('BX', lrHeaderId) END AS containerNo, CASE WHEN lrHeaderId % 8 = 0 THEN NULL ELSE 'S1' END AS containerSealNo, 3155 AS containerTypeId FROM lrContainer"""
