@@ -68,7 +68,7 @@ def check_hot_group(spark):
 
 def test_ordinal_without_group_and_descending(spark):
     df = spark.range(1000).withColumn("v", (F.col("id") * 37) % 1000)
-    assert all(r.rowNo == 1000 - r.v for r in ordinal(df, [F.col("v").desc()]).collect())
+    assert all(r.rowNo == 1000 - r.v for r in ordinal(df, [Falling("v")]).collect())
 
 
 @settings(max_examples=5, deadline=None)
