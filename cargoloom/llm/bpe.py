@@ -7,9 +7,10 @@ the leftmost of equal ones.  A long word is folded rank by rank instead, replaci
 pair at once, which gives the same for ranks that come from training: a pair's bytes can't have been
 merged later than a longer token that holds the pair.
 
-Frequent words are folded once: the distinct words of a bounded number of documents, up to a bound, form a
-literal table by hash that documents look into first.  This changes no result, only how often a word is
-folded.  A null text is empty: no tokens.  Repeated rows are encoded each, a null id stays null, other
+Frequent words are folded once: the distinct words of all documents are counted, and each place of a hash
+table of fixed size holds the word that occurs most of those that fall on it.  Documents look into that table
+first.  This changes no result, only how often a word is folded.  A word too long for the table is folded where
+it stands, so a very long text without a break costs its own length only.  A null text is empty: no tokens.  Repeated rows are encoded each, a null id stays null, other
 columns are ignored, an empty table gives no rows.
 """
 
@@ -23,17 +24,16 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import stored, texts
 
 DEFAULT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: (?U): white space as Unicode has it.
 PATTERN = "(?U)" + public_tokenizers.PATTERN
-#: Documents whose words are counted for the table of frequent words, words in it, and places of its hash.
-TABLE_DOCUMENTS, TABLE_WORDS, TABLE_PLACES = 16_000, 1 << 17, 1 << 19
+#: Places of the table of frequent words, and bytes of the longest word in it: together they bound its size.
+TABLE_PLACES, TABLE_WORD = 1 << 18, 32
 #: Bytes from which a word is folded rank by rank.
 LONG_WORD = 256
 #: Tasks that fold the frequent words.
@@ -168,39 +168,33 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def _place(word: bytes) -> int:
-    hashed = xxhash.xxh64_intdigest(word, seed=42)
-    return (hashed - (1 << 64) if hashed >= 1 << 63 else hashed) % TABLE_PLACES
+def _place(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(TABLE_PLACES)).cast("int")
 
 
-def frequent_words(docs: DataFrame, ranks: str) -> dict[str, tuple[list, str]]:
-    """Words and their ids by hash place; of words that share a place the most frequent stays."""
-    some = docs.limit(TABLE_DOCUMENTS).select(F.explode(words_of(F.col("text"))).alias("word"))
-    most = some.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(TABLE_WORDS)
+def frequent_words(docs: DataFrame, ranks: str) -> DataFrame:
+    """One row: ``words`` and their ``ids`` by place, null where no word falls.  Counted over all documents."""
+    counted = docs.select(F.explode(words_of(F.col("text"))).alias("word")).where(F.octet_length("word") <= TABLE_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    most = counted.groupBy(_place(F.col("word")).alias("place")).agg(F.max_by("word", F.struct("n", "word")).alias("word"))
     folded = _let(_tables(**_merge_arrays(ranks)), lambda t: _with_merges(t, lambda merges: merges.fold(F.col("word"))))
-    rows = most.repartition(FOLD_TASKS).select("word", "n", folded.alias("ids")).collect()  # at most TABLE_WORDS
-    words: list[str | None] = [None] * TABLE_PLACES
-    ids: list[list[int] | None] = [None] * TABLE_PLACES
-    for row in sorted(rows, key=lambda r: (-r.n, r.word)):
-        place = _place(row.word.encode())
-        if words[place] is None:
-            words[place], ids[place] = row.word, row.ids
-    return {"words": (words, "array<string>"), "ids": (ids, "array<array<int>>")}
+    rows = stored(most.repartition(FOLD_TASKS, "place").select("place", "word", folded.alias("ids")), "bpe-words")
+    places = docs.sparkSession.range(TABLE_PLACES).select(F.col("id").cast("int").alias("place"))
+    laid = places.join(rows, "place", "left").agg(F.array_sort(F.collect_list(F.struct("place", "word", "ids"))).alias("rows"))  # TABLE_PLACES rows
+    return laid.select(F.struct(F.col("rows.word").alias("words"), F.col("rows.ids").alias("ids")).alias("table"))
 
 
 def encode(docs: DataFrame, ranks: str = DEFAULT_RANKS) -> DataFrame:
-    """(doc_id, ids) of every document, the ids as an array of integers.  No shuffle but for the table of frequent words."""
+    """(doc_id, ids) of every document, the ids as an array of integers.  Only counts of words are shuffled."""
     docs = texts(docs)
-    tables = _tables(**_merge_arrays(ranks), **frequent_words(docs, ranks))
+    merges, frequent = _tables(**_merge_arrays(ranks)), frequent_words(docs, ranks).scalar()
 
-    def all_ids(t: Column) -> Column:
-        def one(word: Column, merges: Merges, known_words: Column, known_ids: Column) -> Column:
-            place = F.pmod(F.xxhash64(word), F.lit(TABLE_PLACES)).cast("int")
-            return F.coalesce(F.when(F.get(known_words, place) == word, F.get(known_ids, place)), merges.fold(word))
-        return _with_merges(t, lambda merges: _let(t["words"], lambda w: _let(t["ids"], lambda i: F.flatten(F.transform(F.col("words"), lambda x: one(x, merges, w, i))))))
+    def all_ids(m: Merges, known_words: Column, known_ids: Column) -> Column:
+        def at(word: Column, place: Column) -> Column:
+            return F.coalesce(F.when(F.get(known_words, place) == word, F.get(known_ids, place)), m.fold(word))
+        return F.flatten(F.transform("words", lambda x: _let(_place(x), lambda place: at(x, place))))
 
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    return words.select("doc_id", _let(tables, all_ids).alias("ids"))
+    words = docs.select("doc_id", words_of(F.col("text")).alias("words"), frequent.alias("frequent"))
+    return words.select("doc_id", _let(merges, lambda t: _with_merges(t, lambda m: _let(F.col("frequent"), lambda f: _let(f["words"], lambda w: _let(f["ids"], lambda i: all_ids(m, w, i)))))).alias("ids"))
 
 
 def decode(encoded: DataFrame, ranks: str = DEFAULT_RANKS) -> DataFrame:
