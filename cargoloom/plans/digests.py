@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
@@ -99,14 +99,34 @@ class ShipmentMessage(NamedTuple):
     shipments: DataFrame
     advanced: DataFrame
     errors: DataFrame
+    items: DataFrame
+    ship_to: DataFrame
 
 
 # States a shipment may be in for each message, and the state it gets.
 _GATES = {"ASN": (("_RTG_", "_ASN_"), "_ASN_"), "RTG": (("_NEW_", "_RTG_"), "_RTG_"), "INV": (("_ASN_",), "_ASN_")}
 
 
+def _ship_to(t: Tables, shipments: DataFrame) -> DataFrame:
+    """The place a bill of lading goes to, that of its lowest shipment; a second street line moves the town to the third line."""
+    def text(column: str) -> Column:
+        return F.coalesce(F.col(column), F.lit(""))
+    first = shipments.groupBy("bol").agg(F.min_by("shipToId", "shipmentId").alias("shipToId"))
+    places = t.md_ShipToDestination
+    for column in ("shipToAddressLine2", "shipToState"):
+        if column not in places.columns:
+            places = places.withColumn(column, F.lit(""))
+    parts = ["locNo", "shipToLabel", "shipToName", "shipToAddressLine1", "shipToAddressLine2", "shipToCity", "shipToState", "shipToPostCode", "country"]
+    rows = lookup(first, places, {"shipToId": "shipToId"}, "inner", **{p: p for p in parts})
+    rows = lookup(rows, t.md_MasterCategory.where(F.col("categoryParentID") == 1), {"country": "categoryId"}, _country="categoryName")
+    town = F.concat(text("shipToCity"), F.lit(", "), text("shipToState"), F.lit(" "), text("shipToPostCode"), F.lit(", "), text("_country"))
+    return rows.select("bol", "locNo", "shipToLabel", F.col("shipToName").alias("addressName"), F.concat(text("shipToAddressLine1"), F.lit(", ")).alias("address"),
+                       F.when(blank("shipToAddressLine2"), town).otherwise(F.concat("shipToAddressLine2", F.lit(", "))).alias("address2"),
+                       F.when(blank("shipToAddressLine2"), F.lit("")).otherwise(town).alias("address3"))
+
+
 def shipment_message(t: Tables, kind: str, bols: DataFrame | None = None) -> ShipmentMessage:
-    """Per bill of lading: gate on state and needed fields, then orders, quantity and weight.
+    """Per bill of lading: gate on state and needed fields, then orders, quantity and weight, the items shipped and the place they go to.
 
     ASN needs the pick-up date, RTG the carrier's haulier and booking number;
     INV has the gate only.  One failing shipment stops its bill of lading.
@@ -125,4 +145,5 @@ def shipment_message(t: Tables, kind: str, bols: DataFrame | None = None) -> Shi
     rows = good.select("bol", "companyId", "shipmentId", "shipId", "soName", "shipmentWeight").join(shipped, "shipmentId")
     per_bol = rows.groupBy("bol", "companyId").agg(F.count(F.lit(1)).alias("totalOrders"), F.sum("ttlShipQty").alias("totalOrdersQty"), F.sum("shipmentWeight").alias("totalWeight"))
     advanced = good.withColumn("apiStatus", F.lit(to)).select(*t.shipmentHeader.columns) if kind != "INV" else good.limit(0).select(*t.shipmentHeader.columns)
-    return ShipmentMessage(per_bol, rows, advanced, checked.errors)
+    items = good.select("bol", "shipmentId").join(t.shipmentLineItem.select("shipmentId", "shipmentLineItemId", "customerSku", "merchantSku", "shipQty"), "shipmentId")
+    return ShipmentMessage(per_bol, rows, advanced, checked.errors, items, _ship_to(t, good))

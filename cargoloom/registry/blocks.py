@@ -185,4 +185,10 @@ SELECT bol, companyId, count(*) AS totalOrders, CAST(sum(q.n) AS BIGINT) AS tota
     register(f"shipment_message_{_kind.lower()}_errors", lambda t, k=_kind: D.shipment_message(t, k).errors.drop("rule"), "WITH h AS (SELECT * FROM shipmentHeader) " + " UNION ALL ".join(
         f"SELECT bol, shipmentId, {i} AS ruleNo, bol AS \"key\" FROM h WHERE {c}" for i, c in enumerate(_bad, 2)))
     if _to:
+        register(f"shipment_message_{_kind.lower()}_items", lambda t, k=_kind: D.shipment_message(t, k).items, _ms +
+                 " SELECT g.bol, g.shipmentId, l.shipmentLineItemId, l.customerSku, l.merchantSku, l.shipQty FROM g JOIN shipmentLineItem l ON l.shipmentId = g.shipmentId")
+        register(f"shipment_message_{_kind.lower()}_ship_to", lambda t, k=_kind: D.shipment_message(t, k).ship_to, _ms + """
+SELECT f.bol, d.locNo, d.shipToLabel, d.shipToName AS addressName, concat(d.shipToAddressLine1, ', ') AS address,
+       concat(d.shipToCity, ',  ', d.shipToPostCode, ', ', (SELECT c.categoryName FROM md_MasterCategory c WHERE c.categoryId = d.country AND c.categoryParentID = 1)) AS address2, '' AS address3
+FROM (SELECT bol, arg_min(shipToId, shipmentId) AS shipToId FROM g GROUP BY bol) f JOIN md_ShipToDestination d ON d.shipToId = f.shipToId""")
         register(f"shipment_message_{_kind.lower()}_advanced", lambda t, k=_kind: D.shipment_message(t, k).advanced.select("shipmentId", "apiStatus"), _ms + f" SELECT shipmentId, '{_to}' AS apiStatus FROM g")
