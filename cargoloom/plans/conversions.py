@@ -384,19 +384,28 @@ class WorkOrders(NamedTuple):
     errors: DataFrame
 
 
-def convert_to_work_orders(t: Tables, as_of, company_id=None, lines: DataFrame | None = None, default_location: str = "L1") -> WorkOrders:
+def convert_to_work_orders(t: Tables, as_of, company_id=None, lines: DataFrame | None = None, default_location: str = "L1",
+                           forced_warehouse: int | None = None) -> WorkOrders:
     """Open order lines -> one work order per customer, ship date, port and third party; due seven days before shipping.
 
-    ``lines`` may hold the wanted ``soLineItemId`` values.  An open line whose location has no warehouse is an error
-    and gets no work order; the others do.
+    ``lines`` may hold the wanted ``soLineItemId`` values; with ``forced_warehouse``, those whose order has no location go
+    to the location of that warehouse, instead of the default one.  An open line whose location has no warehouse is an
+    error and gets no work order; the others do.
     """
+    if forced_warehouse is not None and lines is None:
+        raise ValueError("a forced warehouse needs the lines it is for")
     open_lines = t.soLineItem.where((F.col("odrQty") > F.col("processQty")) & ~F.col("soLineItemStatus").isin(SO["cancelled"], SO["closed"], SO["draft"])) \
         .select("soLineItemId", "soHeaderId", F.col("invID").alias("invId"), (F.col("odrQty") - F.col("processQty")).alias("woQty"))
     if lines is not None:
         open_lines = open_lines.join(lines, "soLineItemId", "left_semi")
     orders = keep_if(t.soHeader, "companyId", company_id).where(~F.col("soStatus").isin(SO["cancelled"], SO["closed"], SO["draft"]))
     places = t.md_Warehouse.groupBy("locNo").agg(F.min("warehouseId").alias("warehouseId"))
-    orders = orders.withColumn("_loc", F.when(blank("locNo"), default_location).otherwise(F.col("locNo")))
+    fallback = F.lit(default_location)
+    if forced_warehouse is not None:
+        forced = t.md_Warehouse.where(F.col("warehouseId") == forced_warehouse).groupBy("warehouseId").agg(F.min("locNo").alias("locNo"))
+        orders = lookup(orders.withColumn("_forced", F.lit(forced_warehouse)), forced, {"_forced": "warehouseId"}, _forcedLoc="locNo")
+        fallback = F.coalesce("_forcedLoc", F.concat(F.lit("of warehouse "), F.lit(str(forced_warehouse))))
+    orders = orders.withColumn("_loc", F.when(blank("locNo"), fallback).otherwise(F.col("locNo")))
     orders = lookup(orders, places, {"_loc": "locNo"}, warehouseId="warehouseId")
     group = ["companyId", "customerId", "earlyShipDate", "portOfDestination", "thirdParty"]
     rows = open_lines.join(orders.select("soHeaderId", "soName", "warehouseId", "_loc", *group), "soHeaderId")

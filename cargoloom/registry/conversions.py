@@ -246,6 +246,15 @@ SELECT hn.workOrderName, r.soHeaderId, r.soName, r.soLineItemId, r.invId, r.woQt
 AND hn.earlyShipDate = r.earlyShipDate AND hn.portOfDestination = r.portOfDestination AND hn.thirdParty = r.thirdParty""")
 register("convert_to_work_orders_order_lines", _part(to_wo, "so_lines", "soLineItemId", "processQty"), _WO + " SELECT l.soLineItemId, l.odrQty AS processQty FROM soLineItem l JOIN r ON r.soLineItemId = l.soLineItemId")
 
+# every open line of an order without location goes to the one warehouse; no place at all is an error
+forced_wo = lambda t: C.convert_to_work_orders(t, AS_OF, lines=t.soLineItem.select("soLineItemId"), forced_warehouse=2)
+_WO_FORCED = _WO.replace("'L1'", "(SELECT min(f.locNo) FROM md_Warehouse f WHERE f.warehouseId = 2)")
+register("convert_to_work_orders_forced_headers", _part(forced_wo, "headers", "companyId", "customerId", "portOfDestination", "thirdParty", "warehouseId", "workOrderName"), _WO_FORCED + """
+SELECT companyId, customerId, portOfDestination, thirdParty, warehouseId, workOrderName FROM hn""")
+register("convert_to_work_orders_errors", _errors(lambda t: C.convert_to_work_orders(t, AS_OF, default_location="NOWHERE")), """
+SELECT l.soHeaderId, l.soLineItemId, 1 AS ruleNo, 'NOWHERE' AS "key" FROM soLineItem l JOIN soHeader h ON h.soHeaderId = l.soHeaderId
+WHERE l.odrQty > l.processQty AND l.soLineItemStatus NOT IN (1107, 1108, 1105) AND h.soStatus NOT IN (1107, 1108, 1105) AND h.locNo = ''""")
+
 # --- procurement
 procure = lambda t: C.procure_materials(t, _each(t.soHeader, "soHeaderId"))
 _PR = """WITH r AS (SELECT h.soHeaderId, h.companyId, h.soName, l.soLineItemId, l.invID AS invId, l.odrQty - l.poQty AS processQty, i.inventorySKU AS sku,
