@@ -335,16 +335,18 @@ _BOX = """SELECT lrHeaderId, containerSeq, CASE WHEN containerSeq = 1 THEN '' EL
 register("edit_containers", lambda t: M.edit_containers(t, t.sql(_BOX)).select("lrContainerId", "containerNo", "containerSealNo", "containerTypeId"), f"""
 SELECT x.lrContainerId, CASE WHEN c.containerNo = '' THEN x.containerNo ELSE c.containerNo END AS containerNo, coalesce(c.containerSealNo, '') AS containerSealNo, c.containerTypeId
 FROM lrContainer x JOIN ({_BOX}) c ON c.lrHeaderId = x.lrHeaderId AND c.containerSeq = x.containerSeq""")
-_BOOK = """SELECT concat(lrHeaderId - lrHeaderId % 8, '-', earlyShipDate) AS requestId, lrHeaderId, containerSeq, 3301 AS forwarderId, CASE WHEN lrHeaderId % 12 = 0 THEN '' ELSE concat('NB', lrHeaderId) END AS forwarderBookingNo, lateShipDate AS forwarderBookingDate,
+_BOOK = """SELECT concat(lrHeaderId, '-', CASE WHEN lrHeaderId % 40 = 0 THEN '' ELSE CAST(earlyShipDate AS VARCHAR(20)) END) AS requestId, lrHeaderId, containerSeq, 3301 AS forwarderId, CASE WHEN lrHeaderId % 12 = 0 THEN '' ELSE concat('NB', lrHeaderId) END AS forwarderBookingNo, lateShipDate AS forwarderBookingDate,
     ETD, ETA, CAST(CASE WHEN lrHeaderId % 40 = 0 THEN containerSeq ELSE 3 END AS INT) AS portId FROM lrContainer WHERE lrHeaderId % 8 = 0"""
 book = lambda t: M.book_containers(t, t.sql(_BOOK))
-_BK = f"""WITH c AS ({_BOOK}), r AS (SELECT c.*, x.lrContainerId, x.lrName, min(c.portId) OVER (PARTITION BY requestId) <> max(c.portId) OVER (PARTITION BY requestId) AS ports
-    FROM c JOIN lrContainer x ON x.lrHeaderId = c.lrHeaderId AND x.containerSeq = c.containerSeq), g AS (SELECT * FROM r WHERE NOT ports),
+_BK = f"""WITH c AS ({_BOOK}), r AS (SELECT c.*, x.lrContainerId, x.lrName, min(c.portId) OVER (PARTITION BY requestId) <> max(c.portId) OVER (PARTITION BY requestId) AS ports,
+    min(x.earlyShipDate) OVER (PARTITION BY requestId) <> max(x.earlyShipDate) OVER (PARTITION BY requestId) AS dates
+    FROM c JOIN lrContainer x ON x.lrHeaderId = c.lrHeaderId AND x.containerSeq = c.containerSeq), g AS (SELECT * FROM r WHERE NOT ports AND NOT dates),
 b AS (SELECT x.lrContainerId, x.lrHeaderId, g.forwarderBookingNo, g.portId FROM lrContainer x JOIN g ON g.lrContainerId = x.lrContainerId
       UNION SELECT x.lrContainerId, x.lrHeaderId, g.forwarderBookingNo, g.portId FROM lrContainer x JOIN g ON g.lrContainerId = x.ref_lrContainerId)"""
 register("book_containers_containers", lambda t: book(t).containers.select("lrContainerId", "forwarderBookingNo", "portId"), _BK + " SELECT lrContainerId, forwarderBookingNo, portId FROM b")
 register("book_containers_headers", lambda t: book(t).headers.select("lrHeaderId", "apiStatus"), _BK + " SELECT DISTINCT lrHeaderId, '_READYLOAD_' AS apiStatus FROM b WHERE forwarderBookingNo <> ''")
-register("book_containers_errors", lambda t: book(t).errors.drop("rule"), _BK + """ SELECT requestId, lrContainerId, 2 AS ruleNo, lrName AS "key" FROM r WHERE ports""")
+register("book_containers_errors", lambda t: book(t).errors.drop("rule"), _BK + """ SELECT requestId, lrContainerId, 1 AS ruleNo, lrName AS "key" FROM r WHERE dates
+UNION ALL SELECT requestId, lrContainerId, 2, lrName FROM r WHERE ports""")
 _FRT = """SELECT shipmentId, CASE WHEN shipmentId % 3 = 0 THEN '' ELSE 'NEWBOX' END AS containerNo, NULL AS containerSealNo, CAST(1 + shipmentId % 2 AS INT) AS haulierId, 3402 AS vesselId, ETA AS ETD, ETA FROM shipmentHeader WHERE shipmentStatus = 2150"""
 _FRT_SPARK = _FRT.replace("NULL AS containerSealNo", "CAST(NULL AS VARCHAR(20)) AS containerSealNo")
 register("edit_shipment_freight", lambda t: M.edit_shipment_freight(t, t.sql(_FRT_SPARK)).select("shipmentId", "containerNo", "containerSealNo", "haulierId", "vesselId", "ETD"), f"""
