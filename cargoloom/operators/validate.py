@@ -82,10 +82,18 @@ def first_errors(errors: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def nested_error_summary(errors: DataFrame, scope: list[str], document: str) -> DataFrame:
-    """One message per document, its keys listed: 'keys (document)'."""
-    per_doc = errors.select(*scope, "ruleNo", "rule", document, "key").distinct() \
-        .groupBy(*scope, "ruleNo", "rule", document).agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("_keys"))
-    return per_doc.withColumn("message", F.replace("rule", F.lit("{}"), F.concat("_keys", F.lit(" ("), document, F.lit(")")))).drop("_keys", "rule")
+    """Messages per file, rule and document with the distinct keys: 'keys (document)'.
+
+    One document may hold a large part of the keys, so its message is cut into
+    numbered parts of ``KEYS_PER_MESSAGE`` keys like those of ``error_summary``.
+    """
+    keys = errors.select(*scope, "ruleNo", "rule", F.coalesce(document, F.lit("")).alias(document), F.coalesce("key", F.lit("")).alias("key")).distinct()
+    placed = ordinal(keys, ["key"], within=[*scope, "ruleNo", document], name="_n")
+    part = F.floor((F.col("_n") - 1) / KEYS_PER_MESSAGE).cast("int") + 1
+    listed = F.concat(F.array_join(F.array_sort(F.collect_list("key")), ","), F.lit(" ("), F.col(document), F.lit(")"))
+    return placed.groupBy(*scope, "ruleNo", "rule", document, part.alias("part")) \
+        .agg(F.count(F.lit(1)).alias("keyCount"), listed.alias("_keys")) \
+        .withColumn("message", F.replace("rule", F.lit("{}"), F.col("_keys"))).drop("_keys", "rule")
 
 
 def _keys(df: DataFrame, columns: list[str]) -> list[Column]:

@@ -1,5 +1,7 @@
 """Bulk loads over all staged files: accepted rows, errors, messages, resulting documents."""
 
+from pyspark.sql import functions as F
+
 from ..operators import validate as val
 from ..plans import loads as B
 from . import register
@@ -66,6 +68,12 @@ _SUMMARY = f"""{_SO_ROWS}, e AS (SELECT DISTINCT * FROM ({_SO_ERRORS})), x(ruleN
 SELECT e.fileLoaded, e.ruleNo, 1 AS part, count(*) AS keyCount, replace(x.txt, '{{}}', string_agg("key", ',' ORDER BY "key")) AS message
 FROM e JOIN x ON x.ruleNo = e.ruleNo {{where}} GROUP BY e.fileLoaded, e.ruleNo, x.txt"""
 register("sales_order_load_messages", lambda t: val.error_summary(_check_so(t).errors, ["fileLoaded"]), _SUMMARY.replace("{where}", ""))
+_so_documents = lambda t: _check_so(t).errors.join(t.temp_SoFilelog.select("sofilelog_Id", F.coalesce("customerPO", F.lit("")).alias("customerPO")), "sofilelog_Id")
+_NESTED_ERRORS = _SO_ERRORS.replace("SELECT fileLoaded,", "SELECT fileLoaded, coalesce(customerPO, '') AS customerPO,")
+register("sales_order_load_nested_messages", lambda t: val.nested_error_summary(_so_documents(t), ["fileLoaded"], "customerPO"), f"""{_SO_ROWS},
+e AS (SELECT *, (row_number() OVER (PARTITION BY fileLoaded, customerPO, ruleNo ORDER BY "key") - 1) // 100 + 1 AS part FROM (SELECT DISTINCT * FROM ({_NESTED_ERRORS}))), x(ruleNo, txt) AS (VALUES {_TEXTS})
+SELECT e.fileLoaded, e.ruleNo, e.customerPO, CAST(e.part AS INT) AS part, count(*) AS keyCount, replace(x.txt, '{{}}', concat(string_agg("key", ',' ORDER BY "key"), ' (', e.customerPO, ')')) AS message
+FROM e JOIN x ON x.ruleNo = e.ruleNo GROUP BY e.fileLoaded, e.ruleNo, e.customerPO, e.part, x.txt""")
 register("sales_order_load_first_message", lambda t: val.first_errors(_check_so(t).errors, ["fileLoaded"]),
          _SUMMARY.replace("{where}", "WHERE e.ruleNo = (SELECT min(y.ruleNo) FROM e y WHERE y.fileLoaded = e.fileLoaded)"))
 
