@@ -402,9 +402,8 @@ def convert_to_work_orders(t: Tables, as_of, company_id=None, lines: DataFrame |
     places = t.md_Warehouse.groupBy("locNo").agg(F.min("warehouseId").alias("warehouseId"))
     fallback = F.lit(default_location)
     if forced_warehouse is not None:
-        forced = t.md_Warehouse.where(F.col("warehouseId") == forced_warehouse).groupBy("warehouseId").agg(F.min("locNo").alias("locNo"))
-        orders = lookup(orders.withColumn("_forced", F.lit(forced_warehouse)), forced, {"_forced": "warehouseId"}, _forcedLoc="locNo")
-        fallback = F.coalesce("_forcedLoc", F.concat(F.lit("of warehouse "), F.lit(str(forced_warehouse))))
+        forced = t.md_Warehouse.where(F.col("warehouseId") == forced_warehouse).agg(F.min("locNo").alias("locNo"))
+        fallback = F.coalesce(forced.scalar(), F.lit(f"of warehouse {forced_warehouse}"))
     orders = orders.withColumn("_loc", F.when(blank("locNo"), fallback).otherwise(F.col("locNo")))
     orders = lookup(orders, places, {"_loc": "locNo"}, warehouseId="warehouseId")
     group = ["companyId", "customerId", "earlyShipDate", "portOfDestination", "thirdParty"]
