@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cargoloom.plans import loads, reports
 from cargoloom.sources.tables import StarSchemaTables
 
-WIDE, MOST = F.lit("x" * 4000), 3_000_000
+WIDE, MOST = "x" * 4000, 3_000_000
 
 
 def written(spark, run):
@@ -20,14 +20,14 @@ def written(spark, run):
 
 def test_request_lines_are_written_without_unprinted_columns(spark):
     t = StarSchemaTables(spark, "/root/testdata/sf0.001")
-    lines = t.lrLineItem.withColumn("itemNote", F.concat(F.sha2(F.col("lrDetailsId"), 512), WIDE))
+    lines = t.lrLineItem.withColumn("itemNote", F.concat(F.sha2(F.col("lrDetailsId"), 512), F.lit(WIDE)))
     out, size = written(spark, lambda: reports.request_print_lines(t.replace(lrLineItem=lines)))
     assert size < MOST and out.count() > 1000
 
 
 def test_work_order_lines_are_written_compressed(spark):
     t = StarSchemaTables(spark, "/root/testdata/sf0.001")
-    out, size = written(spark, lambda: reports.work_order_print(t.replace(soLineItem=t.soLineItem.withColumn("soItemDesc", WIDE))))
+    out, size = written(spark, lambda: reports.work_order_print(t.replace(soLineItem=t.soLineItem.withColumn("soItemDesc", F.lit(WIDE)))))
     assert size < MOST and out.where("recordType = 'OL' AND length(itemDesc) = 4000").count() > 1000
 
 
