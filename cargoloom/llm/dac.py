@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import column_named, in_arrow, shared_folder, steps, stored, texts
 from .store import new_file, open_file
-from .tokens import DEFAULT_VOCABULARY, encoder
+from .tokens import DEFAULT_VOCABULARY, STEP_BYTES, encoder
 
 SEGMENT_IDS = 1 << 20
 BITS, RANK_EVERY = 8, 512
@@ -141,8 +141,8 @@ def _sorted_segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id:
     held, many = [], 0
     for batch in batches:
         keys, column = column_named(batch, "doc_id"), column_named(batch, "text")
-        for a, b, _, _ in steps(column):
-            ids, offsets = encoder(vocabulary).encode([t or "" for t in column[a:b].to_pylist()], end_id)
+        for a, b, _, _ in steps(column, STEP_BYTES):
+            ids, offsets = encoder(vocabulary).encode(column[a:b], end_id)
             nulls = np.array(keys[a:b].is_null())
             held.append((np.array(keys[a:b].fill_null(0)), nulls, np.diff(offsets), ids))
             many += len(ids)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_named, in_arrow, steps, stored, texts
-from .tokens import DEFAULT_VOCABULARY, encoder
+from .tokens import DEFAULT_VOCABULARY, STEP_BYTES, encoder
 
 CAPACITY, OPEN_BINS = 1024, 256
 #: Tokens that a task of the second round gets, in bins; its last open bins are the only ones that stay half empty.
@@ -104,8 +104,8 @@ def _packed(pieces: Iterator[tuple], capacity: int, most: int, round_no: int, at
 def token_pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, capacity: int) -> Iterator[tuple]:
     for batch in batches:
         keys, column = column_named(batch, "doc_id").to_pylist(), column_named(batch, "text")
-        for a, b, _, _ in steps(column):
-            ids, offsets = encoder(vocabulary).encode([t or "" for t in column[a:b].to_pylist()], end_id)
+        for a, b, _, _ in steps(column, STEP_BYTES):
+            ids, offsets = encoder(vocabulary).encode(column[a:b], end_id)
             raw = ids.astype("<u4").tobytes()
             for key, begin, end in zip(keys[a:b], offsets[:-1].tolist(), offsets[1:].tolist()):
                 for piece, (start, length) in enumerate(cut(end - begin, capacity)):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -42,6 +43,15 @@ def test_forgetting_changes_nothing(library, monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t, add_special_tokens=False).ids + [7] for t in texts]
 
 
+def test_words_that_meet_at_line_ends_are_no_chunks_of_their_own(library):
+    words = [f"word{chr(97 + i)}." for i in range(20)]
+    texts = [f"{a}{end}{b} {a}" for a in words for b in words for end in ("\n", "\n\n")] + [None, "", None, "\n", "a \nb", "a\r\nb", "a\n b", "\n\na", " \na\n", "a\n \nb", "a\n\n\n\n\nb"]
+    own = tokens.ChunkEncoder(tokens.DEFAULT_VOCABULARY)
+    ids, offsets = own.encode(pa.array(texts, pa.string())[1:])
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+    assert own.count < 10 * len(words)
+
+
 def test_levels_give_back_every_token():
     rng = np.random.default_rng(1)
     for ids in (np.zeros(1), np.array([255, 256, 65535, 65536, 2**32 - 1]), rng.integers(0, 60000, 5000), np.zeros(0)):
