@@ -1,203 +1,170 @@
-"""Byte-level BPE in Spark's own functions: ranked merges folded over the bytes of words, and decoding.
-
-Merge table: for tokens i and j, the token that their joined bytes make (its rank is its id).  The table
-is a literal of three integer arrays, compressed by row displacement: the entry of (i, j) stands at
-shift[i] + j and belongs to i if owner says so.  A word is folded merge by merge, the lowest rank first,
-the leftmost of equal ones.  A long word is folded rank by rank instead, replacing all places of the lowest
-pair at once, which gives the same for ranks that come from training: a pair's bytes can't have been
-merged later than a longer token that holds the pair.
-
-Frequent words are folded once: the distinct words of all documents are counted, and each place of a hash
-table of fixed size holds the word that occurs most of those that fall on it.  Documents look into that table
-first.  This changes no result, only how often a word is folded.  A word too long for the table is folded where
-it stands, so a very long text without a break costs its own length only.  A null text is empty: no tokens.  Repeated rows are encoded each, a null id stays null, other
-columns are ignored, an empty table gives no rows.
+"""Byte-level BPE: ranked merges folded over the bytes of distinct words, and decoding.
+
+Spark's regular expression parts the texts into words.  Of each Arrow batch the distinct words are folded together, with
+numpy: in a round, every word that still has a pair of tokens that make a token (its rank is its id) merges its lowest
+pair, at all places from the left that don't overlap; then words take the ids of their distinct word.
+
+Merging all places of a pair at once is the same as merging the leftmost lowest pair again and again if each token's own
+bytes, folded that way, give the token: then a merge never makes a lower pair.  (Were x and the new token y a lower token's
+bytes, nothing had been merged across their ends, so what lies between had been folded as by itself, to that
+token.)  ``merge_table`` checks this; for ranks that fail, only the leftmost pair is merged in a round.
+
+Nothing is shuffled and nothing kept between batches.  A very long text without a break is one word, folded rank by rank.  A null
+text is empty: no tokens.  Repeated rows are encoded each, a null id stays null, other columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
-import json
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import column_named, in_arrow, texts, utf8
+from .words import ragged, row_of
 
 DEFAULT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: (?U): white space as Unicode has it.
 PATTERN = "(?U)" + public_tokenizers.PATTERN
-#: Places of the table of frequent words, and bytes of the longest word in it: together they bound its size.
-TABLE_PLACES, TABLE_WORD = 1 << 18, 32
-#: Bytes from which a word is folded rank by rank.
-LONG_WORD = 256
-#: Tasks that fold the frequent words.
-FOLD_TASKS = 16
-#: Rank and place of a pair go into one number.
-_PLACES = 1 << 32
-#: The character of token 0 in the long way; all tokens' characters lie below the surrogates.
-_FIRST_CHAR = 0x100
-#: Places that the search for a shift looks at in one step.
-_LOOK = 2048
-
-
-def _tables(**arrays: tuple[list, str]) -> Column:
-    """A literal struct of arrays of any length: its text is parsed once, when the plan is made."""
-    kinds = ", ".join(f"{name}: {kind}" for name, (_, kind) in arrays.items())
-    return F.from_json(F.lit(json.dumps({name: values for name, (values, _) in arrays.items()})), f"struct<{kinds}>")
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+#: Words, and ids, that a step looks at; a text of more is a step of its own.
+STEP_WORDS, STEP_IDS = 1 << 19, 1 << 19
+#: Rank of a pair that makes no token.
+_NONE = 1 << 40
 
 
 @dataclass(frozen=True)
 class MergeTable:
-    shift: np.ndarray
-    owner: np.ndarray
+    """``keys``: pairs of tokens that make a token, as left * size + right, ascending; ``merged``: those tokens."""
+
+    keys: np.ndarray
     merged: np.ndarray
-    byte_ids: list[int]
+    byte_ids: np.ndarray
     tokens: list[bytes]
-
-
-@lru_cache(maxsize=2)
-def merge_table(path: str) -> MergeTable:
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    rows: dict[int, list[tuple[int, int]]] = {}
-    for token, rank in ranks.items():
-        for cut in range(1, len(token)):
-            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if left is not None and right is not None:
-                rows.setdefault(left, []).append((right, rank))
-    size = max(ranks.values()) + 1
-    # Rows with most entries choose their shift first; the first shift at which all entries fall on free places.
-    room = 2 * size + 4 * sum(map(len, rows.values()))
-    free = np.ones(room, bool)
-    shift, owner, merged = np.zeros(size, np.int64), np.full(room, -1), np.zeros(room, np.int64)
-    low = 0
-    for left, row in sorted(rows.items(), key=lambda r: -len(r[1])):
-        places = np.array([right for right, _ in row])
-        while not free[low]:
-            low += 1
-        for begin in range(low, room - size, _LOOK):
-            at = begin + np.flatnonzero(free[begin:begin + _LOOK]) - places.min()
-            at = at[free[at[:, None] + places[None, :]].all(axis=1)]
-            if len(at):
-                shift[left] = at[0]
+    at_once: bool
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that two tokens make, _NONE if none."""
+        if not len(self.keys):
+            return np.full(len(left), _NONE)
+        asked = left * len(self.tokens) + right
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return np.where(self.keys[at] == asked, self.merged[at], _NONE)
+
+    def fold(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, offsets of the words) from the words' bytes."""
+        ids, word = self.byte_ids[data], row_of(offsets)
+        low = np.full(len(ids), _NONE)
+        low[:-1] = np.where(word[:-1] == word[1:], self.pairs(ids[:-1], ids[1:]), _NONE)
+        done_ids, done_words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(ids):
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            least = np.repeat(np.minimum.reduceat(low, first), np.diff(first, append=len(ids)))
+            ended = least == _NONE
+            done_ids.append(ids[ended])
+            done_words.append(word[ended])
+            ids, word, low, least = (x[~ended] for x in (ids, word, low, least))
+            at = np.flatnonzero(low == least)
+            if not len(at):
                 break
-        else:
-            raise ValueError("the merge table needs more room")
-        free[shift[left] + places] = False
-        owner[shift[left] + places], merged[shift[left] + places] = left, [rank for _, rank in row]
-    last = int(np.flatnonzero(owner >= 0).max(initial=0)) + 1
+            if self.at_once:  # every other place of those that follow each other
+                run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+                at = at[(np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0]
+            else:
+                at = at[np.diff(word[at], prepend=-1) != 0]
+            ids[at] = low[at]
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            ids, word, low = ids[stays], word[stays], low[stays]
+            at -= np.arange(len(at))
+            changed = np.concatenate([at, at[at > 0] - 1])
+            after = np.minimum(changed + 1, len(ids) - 1)
+            same = (word[changed] == word[after]) & (changed < after)
+            low[changed] = np.where(same, self.pairs(ids[changed], ids[after]), _NONE)
+        ids, word = np.concatenate(done_ids), np.concatenate(done_words)
+        return ids[np.argsort(word, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(offsets) - 1))])
+
+
+def _rank_table(ranks: dict[bytes, int]) -> MergeTable:
+    size = max(ranks.values()) + 1
+    found = [(left * size + right, rank) for token, rank in ranks.items() for cut in range(1, len(token))
+             if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None]
+    keys, merged = np.array(sorted(found), np.int64).reshape(-1, 2).T
     tokens = [b""] * size
     for token, rank in ranks.items():
         tokens[rank] = token
-    return MergeTable(shift, owner[:last], merged[:last], [ranks[bytes([b])] for b in range(256)], tokens)
-
-
-def _merge_arrays(path: str) -> dict[str, tuple[list, str]]:
-    table = merge_table(path)
-    return {"shift": (table.shift.tolist(), "array<int>"), "owner": (table.owner.tolist(), "array<int>"), "merged": (table.merged.tolist(), "array<int>"),
-            "bytes": (table.byte_ids, "array<int>")}
+    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    own = sorted(ranks)
+    careful = MergeTable(keys, merged, byte_ids, tokens, False)
+    ids, offsets = careful.fold(np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in own])]))
+    whole = len(ids) == len(own) and ids.tolist() == [ranks[t] for t in own]
+    return MergeTable(keys, merged, byte_ids, tokens, True) if whole else careful
 
 
-class Merges:
-    """Column expressions over the arrays of one merge table."""
-
-    def __init__(self, shift: Column, owner: Column, merged: Column, bytes_: Column):
-        self.shift, self.owner, self.merged, self.bytes = shift, owner, merged, bytes_
-
-    def pair(self, left: Column, right: Column) -> Column:
-        """The token that two tokens make, null if none."""
-        place = F.get(self.shift, left) + right
-        return F.when(F.get(self.owner, place) == left, F.get(self.merged, place))
-
-    def _start(self, word: Column) -> Column:
-        latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character for each byte
-        return F.transform(F.split(latin, ""), lambda c: F.get(self.bytes, F.ascii(c)))
-
-    def _lowest(self, ids: Column) -> Column:
-        """Rank and place, in one number, of the lowest pair, the leftmost of equal ones; null if none merges."""
-        return F.array_min(F.transform(ids, lambda x, i: self.pair(x, F.get(ids, i + 1)) * _PLACES + i))
-
-    def _short(self, word: Column) -> Column:
-        """Merge by merge."""
-        def merge(ids: Column, _: Column) -> Column:
-            def at(low: Column) -> Column:
-                place = (low % _PLACES).cast("int")
-                joined = F.flatten(F.array(F.slice(ids, 1, place), F.array(F.shiftright(low, 32).cast("int")), F.slice(ids, place + 3, F.size(ids))))
-                return F.when(low.isNull(), ids).otherwise(joined)
-            return _let(self._lowest(ids), at)
-        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), self._start(word), merge)
-
-    def _long(self, word: Column) -> Column:
-        """Rank by rank, the word as a text with a character for each token."""
-        char = lambda i: F.decode(F.unhex(F.lpad(F.hex((i + _FIRST_CHAR).cast("long")), 4, "0")), "UTF-16BE")
-        ids = lambda text: F.transform(F.split(text, ""), lambda c: F.ascii(c) - _FIRST_CHAR)
-
-        def round_(state: Column, _: Column) -> Column:
-            def at(found: Column) -> Column:
-                low, place = F.shiftright(found["low"], 32).cast("int"), (found["low"] % _PLACES).cast("int")
-                pair = F.concat(char(F.get(found["ids"], place)), char(F.get(found["ids"], place + 1)))
-                return F.when(found["low"].isNull(), F.struct(state["text"].alias("text"), F.lit(False).alias("more"))) \
-                    .otherwise(F.struct(F.replace(state["text"], pair, char(low)).alias("text"), F.lit(True).alias("more")))
-            found = _let(ids(state["text"]), lambda i: F.struct(i.alias("ids"), self._lowest(i).alias("low")))
-            return F.when(state["more"], _let(found, at)).otherwise(state)
+@lru_cache(maxsize=2)
+def merge_table(path: str) -> MergeTable:
+    with open(path, "rb") as file:
+        return _rank_table({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)})
 
-        start = F.struct(F.array_join(F.transform(self._start(word), char), "").alias("text"), F.lit(True).alias("more"))
-        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, round_, lambda s: ids(s["text"]))
 
-    def fold(self, word: Column) -> Column:
-        """The ids of one word, as an array."""
-        return F.when(F.octet_length(word) < LONG_WORD, self._short(word)).otherwise(self._long(word))
+@lru_cache(maxsize=2)
+def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all tokens, offsets of the tokens)."""
+    tokens = merge_table(path).tokens
+    return np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
 
 
-def _with_merges(t: Column, body: Callable[[Merges], Column]) -> Column:
-    return _let(t["shift"], lambda s: _let(t["owner"], lambda o: _let(t["merged"], lambda m: _let(t["bytes"], lambda b: body(Merges(s, o, m, b))))))
+def _row_steps(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first row, last row + 1) of runs of whole rows of about ``most`` values."""
+    row = 0
+    while row < len(offsets) - 1:
+        upto = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1)
+        yield row, upto
+        row = upto
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def _place(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(TABLE_PLACES)).cast("int")
-
-
-def frequent_words(docs: DataFrame, ranks: str) -> DataFrame:
-    """One row: ``words`` and their ``ids`` by place, null where no word falls.  Counted over all documents."""
-    counted = docs.select(F.explode(words_of(F.col("text"))).alias("word")).where(F.octet_length("word") <= TABLE_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    most = counted.groupBy(_place(F.col("word")).alias("place")).agg(F.max_by("word", F.struct("n", "word")).alias("word"))
-    folded = _let(_tables(**_merge_arrays(ranks)), lambda t: _with_merges(t, lambda merges: merges.fold(F.col("word"))))
-    rows = stored(most.repartition(FOLD_TASKS, "place").select("place", "word", folded.alias("ids")), "bpe-words")
-    places = docs.sparkSession.range(TABLE_PLACES).select(F.col("id").cast("int").alias("place"))
-    laid = places.join(rows, "place", "left").agg(F.array_sort(F.collect_list(F.struct("place", "word", "ids"))).alias("rows"))  # TABLE_PLACES rows
-    return laid.select(F.struct(F.col("rows.word").alias("words"), F.col("rows.ids").alias("ids")).alias("table"))
-
-
 def encode(docs: DataFrame, ranks: str = DEFAULT_RANKS) -> DataFrame:
-    """(doc_id, ids) of every document, the ids as an array of integers.  Only counts of words are shuffled."""
-    docs = texts(docs)
-    merges, frequent = _tables(**_merge_arrays(ranks)), frequent_words(docs, ranks).scalar()
-
-    def all_ids(m: Merges, known_words: Column, known_ids: Column) -> Column:
-        def at(word: Column, place: Column) -> Column:
-            return F.coalesce(F.when(F.get(known_words, place) == word, F.get(known_ids, place)), m.fold(word))
-        return F.flatten(F.transform("words", lambda x: _let(_place(x), lambda place: at(x, place))))
-
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"), frequent.alias("frequent"))
-    return words.select("doc_id", _let(merges, lambda t: _with_merges(t, lambda m: _let(F.col("frequent"), lambda f: _let(f["words"], lambda w: _let(f["ids"], lambda i: all_ids(m, w, i)))))).alias("ids"))
+    """(doc_id, ids) of every document, the ids as an array of integers.  Nothing is shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = column_named(batch, "doc_id"), column_named(batch, "words")
+            for a, b in _row_steps(np.array(rows.offsets), STEP_WORDS):
+                many = np.concatenate([[0], np.cumsum(np.array(pc.list_value_length(rows[a:b])))])
+                found = rows[a:b].flatten().dictionary_encode()
+                ids, offsets = merge_table(ranks).fold(*utf8(found.dictionary))
+                word = np.array(found.indices).astype(np.int64)
+                sizes = np.diff(offsets)[word]
+                ends = np.concatenate([[0], np.cumsum(sizes)])[many]
+                ids = ids.astype(np.int32)[ragged(offsets[word], sizes)]
+                yield pa.RecordBatch.from_arrays([keys[a:b], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
+    return in_arrow(texts(docs).select("doc_id", words_of(F.col("text")).alias("words")), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: str = DEFAULT_RANKS) -> DataFrame:
-    """``encoded`` with the bytes of its ids joined, as ``decoded``; an unknown id has no bytes."""
-    tables = _tables(hex=([t.hex().upper() for t in merge_table(ranks).tokens], "array<string>"))
-    return encoded.withColumn("decoded", _let(tables, lambda t: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(t["hex"], i)), ""))))
+    """``encoded`` with the bytes of its ids joined, as ``decoded``; an unknown id has no bytes, null ids give null."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, at = _token_bytes(ranks)
+        for batch in batches:
+            rows = column_named(batch, "ids")
+            for a, b in _row_steps(np.array(rows.offsets), STEP_IDS):
+                some = rows[a:b]
+                many = np.concatenate([[0], np.cumsum(np.array(pc.fill_null(pc.list_value_length(some), 0)))])
+                ids = np.array(pc.fill_null(some.flatten(), -1)).astype(np.int64)
+                ids = np.where((ids >= 0) & (ids < len(at) - 1), ids, len(at) - 1)  # a place behind all tokens, without bytes
+                sizes = np.diff(at, append=at[-1])[ids]
+                out = data[ragged(at[ids], sizes)]
+                ends = np.concatenate([[0], np.cumsum(sizes)])[many].astype(np.int32)
+                valid = pa.array(np.packbits(np.array(some.is_valid()), bitorder="little")).buffers()[1] if some.null_count else None
+                decoded = pa.Array.from_buffers(pa.binary(), len(some), [valid, pa.py_buffer(ends), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, decoded], names=[*batch.schema.names, "decoded"])
+    return in_arrow(encoded, run, encoded.withColumn("decoded", F.lit(None).cast("binary")).schema)

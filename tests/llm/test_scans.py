@@ -186,6 +186,41 @@ def test_bpe_is_the_library_s(spark):
         assert list(r.ids) == library.encode_ordinary(text) and bytes(r.decoded) == text.encode(), repr(text[:60])
 
 
+def one_by_one(ranks, word):
+    """The leftmost lowest pair again and again."""
+    parts = [word[i:i + 1] for i in range(len(word))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        _, i = min(found)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_bpe_folds_ranks_of_any_kind():
+    rng, kinds = random.Random(8), set()
+    for trial in range(60):
+        own = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))).encode() for _ in range(rng.randint(0, 12))}, key=lambda t: (len(t), rng.random()) if trial % 2 else rng.random())
+        ranks = {bytes([b]): b for b in range(256)} | {token: 256 + i for i, token in enumerate(own)}
+        table = bpe._rank_table(ranks)
+        kinds.add(table.at_once)
+        words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 12))).encode() for _ in range(50)] + [b"a" * 30]
+        ids, offsets = table.fold(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])]))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [one_by_one(ranks, w) for w in words]
+    assert kinds == {True, False}
+
+
+def test_bpe_shuffles_nothing(spark):
+    plan = bpe.decode(bpe.encode(documents(spark, TEXTS)))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Subquery" not in plan
+
+
+def test_decoding_unknown_and_null_ids(spark):
+    rows = spark.createDataFrame([(1, [5, 60000, -1, None, 6], "x"), (2, None, "y"), (3, [], "z")], "doc_id long, ids array<int>, other string")
+    tokens = bpe.merge_table(bpe.DEFAULT_RANKS).tokens
+    assert {(r.doc_id, r.other, r.decoded and bytes(r.decoded)) for r in bpe.decode(rows).collect()} == {(1, "x", tokens[5] + tokens[6]), (2, "y", None), (3, "z", b"")}
+
+
 def test_steps_cut_between_rows():
     for kind in (pa.string(), pa.large_string()):
         column = pa.array(["ab", None, "c" * 10, "", "dé"], kind)[1:]
