@@ -4,7 +4,8 @@ Within a bucket only pairs with its centre (the smallest node) are candidates, s
 number of entries.  After they are judged, a centre has met every member and leaves the bucket.  Nodes of buckets
 whose other members aren't in one component yet are put together, with all that share a bucket with
 them, and go through more rounds, with MORE times as many centres in each; only pairs of different
-components are asked.  So no pair of a bucket is left out that could still join two components.
+components are asked.  A group of no more members than centres has all of them as centres and is done.  So no pair of a bucket
+is left out that could still join two components.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from .common import stored
 from .components import components
 
 #: Growth of the number of centres from round to round.
-MORE = 16
+MORE = 64
 #: Tasks over which the members of one group meet its centres.
 SHARES = 16
 
@@ -45,16 +46,19 @@ def star_components(entries: DataFrame, facts: DataFrame, may_link: Callable[[Co
         if labels is None or not new.isEmpty():
             labels = stored(components(links.select(F.col("c").alias("u"), F.col("v").alias("v"))), "components")
         known = rest.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("least")).where("lo < hi").select("key", "least")
+        mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("least"), F.count("*").alias("members")).where("lo < hi").select("key", "least", "members")
         rest = stored(known.join(mixed, "key"), "buckets")
         if rest.isEmpty():
             return labels
         if fan == 1:  # from now on a node has one key, the smallest node that shared buckets lead to
             together = components(rest.select(F.col("node").alias("u"), F.col("least").alias("v")))
-            rest = stored(rest.select("node", "component").distinct().join(together.select("node", F.col("component").alias("key")), "node"), "buckets")
+            together = stored(together.select("node", F.col("component").alias("key")), "groups")
+            rest = rest.select("node", "component").distinct().join(together, "node").join(together.groupBy("key").agg(F.count("*").alias("members")), "key")
+            rest = stored(rest, "buckets")
         fan *= MORE
         rows = rest.select("key", "node", "component").join(facts, "node").withColumn("share", F.pmod(F.xxhash64("node"), F.lit(SHARES)))
-        centres = rest.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(fan)).alias("part")).agg(F.min("node").alias("node")).select("key", "node")
+        part = F.when(F.col("members") > fan, F.pmod(F.xxhash64("node"), F.lit(fan))).otherwise(F.col("node"))
+        centres = rest.groupBy("key", part.alias("part")).agg(F.min("node").alias("node")).select("key", "node")
         heads = rows.join(centres, ["key", "node"]).select(
             F.col("key").alias("at"), F.col("node").alias("c"), F.col("component").alias("c_component"), F.col("fact").alias("c_fact"),
             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))).alias("c_share"))
